@@ -38,8 +38,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that stand between words: ASCII white space, or all of ASCII but letters and digits.
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,19 +49,30 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+class Words:
+    """The words of several texts: their hashes in order, and for each text the place of its first word (and one more)."""
+
+    def __init__(self, texts: list[str | None], between: np.ndarray = SPACES):
+        raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+        data = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", dtype=np.uint8)
+        powers, self._inverse = _tables(len(data) + 1)
+        apart = between[data]
+        self._starts = np.flatnonzero(apart[:-1] & ~apart[1:]) + 1
+        self._ends = np.flatnonzero(~apart[:-1] & apart[1:]) + 1
+        self._prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=self._prefix[1:])
+        self.edges = np.searchsorted(self._starts, np.cumsum([1] + [len(r) + 1 for r in raw]))
+
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """Hashes of the words, or of the first bytes of each."""
+        ends = self._ends if first is None else np.minimum(self._ends, self._starts + first)
+        return mix((self._prefix[ends] - self._prefix[self._starts]) * self._inverse[self._starts] + (ends - self._starts).astype(np.uint64))
+
+
+def word_hashes(texts: list[str | None], between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and for each text the place of its first word (one more at the end)."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", dtype=np.uint8)
-    powers, inverse = _tables(len(data) + 1)
-    space = _SPACE[data]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=prefix[1:])
-    hashes = mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    edges = np.cumsum([1] + [len(r) + 1 for r in raw])
-    return hashes, np.searchsorted(starts, edges)
+    words = Words(texts, between)
+    return words.hashes(), words.edges
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
