@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import chat_format, html_extraction, near_dup, packing, secrets, token_index, toxicity
+from quillspark.llm import chat_format, decontamination, html_extraction, near_dup, packing, secrets, sharding, token_index, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -28,6 +32,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "n_bytes", "shard", "depth", "page", "oversized")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -44,10 +53,17 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_html_extraction, op3_chat_format, op4_toxicity, op6_packing, op7_token_index, op8_secret_scan, op9_minhash_near_dup)
+    found = (
+        op1_decontamination, op2_html_extraction, op3_chat_format, op4_toxicity, op5_extendible_shards,
+        op6_packing, op7_token_index, op8_secret_scan, op9_minhash_near_dup, op10_exact_topk,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat_format.DIGEST_SQL}
+    return {"op3_chat_format": chat_format.DIGEST_SQL, "op10_exact_topk": topk_search.TOPK_SQL}
