@@ -32,3 +32,83 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     scratch.drop("edges")
     return labels
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """Each pair of nodes once, without loops."""
+    return edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, degree) of all nodes of (node); isolated ones have zero."""
+    pairs = undirected(edges)
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    return nodes.join(ends, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def degree_histogram(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(degree, nodes)."""
+    return degrees(edges, nodes).groupBy("degree").agg(F.count("*").alias("nodes"))
+
+
+def components_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) of all nodes; isolated ones are their own."""
+    return nodes.join(connected_components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(node, hop): nodes within so many undirected hops of the seeds (node), which have hop 0; equal ids join."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    seen = seeds.select("node").distinct().withColumn("hop", F.lit(0))
+    frontier = seen
+    for hop in range(1, hops + 1):
+        near = both.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        frontier = near.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def traverse(relations: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """The relations (subject, object, ...) within so many hops of seed concepts (concept), with the hop of each.
+
+    An end matches a concept if one text holds the other. Texts are first reduced to distinct ends, which are met with
+    the distinct concepts of a hop by a filter on each; relations then join by equality.
+    """
+    ends = relations.select(F.explode(F.array("subject", "object")).alias("end")).where("end <> ''").distinct()
+    frontier = seeds.where("concept <> ''").select("concept").distinct()
+    out, known = None, frontier
+    for hop in range(1, hops + 1):
+        touched = ends.join(frontier, F.col("end").contains(F.col("concept")) | F.col("concept").contains(F.col("end"))).select("end").distinct()
+        first = relations.join(touched, relations["subject"] == touched["end"], "left_semi")
+        second = relations.join(touched, relations["object"] == touched["end"], "left_semi")
+        found = first.union(second).distinct().withColumn("hop", F.lit(hop))
+        out = found if out is None else out.unionByName(found.join(out.select("subject", "object", "doc_id"), ["subject", "object", "doc_id"], "left_anti"))
+        reached = found.select(F.explode(F.array("subject", "object")).alias("concept")).distinct()
+        frontier = reached.join(known, "concept", "left_anti")
+        known = known.union(frontier)
+    return out
+
+
+def resolve(names: DataFrame, notes: DataFrame) -> DataFrame:
+    """(name, path): the note that a name means, by path, file name, stem or title, in this order, then by least path."""
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", "")
+    ways = (F.col("path"), F.substring_index("path", "/", -1), stem, F.col("title"))
+    keys = None
+    for order, way in enumerate(ways):
+        part = notes.select(way.alias("name"), "path", F.lit(order).alias("way"))
+        keys = part if keys is None else keys.union(part)
+    found = names.select("name").distinct().join(keys, "name")
+    return found.groupBy("name").agg(F.min(F.struct("way", "path"))["path"].alias("path"))
+
+
+def explicit_edges(notes: DataFrame) -> DataFrame:
+    """(src, dst, kind) of wikilinks between notes; a target's anchor is dropped; unknown targets give none."""
+    links = notes.select(F.col("path").alias("src"), F.explode("links").alias("raw")).select("src", F.trim(F.substring_index("raw", "#", 1)).alias("name")).where("name <> ''")
+    return links.join(resolve(links, notes), "name").select("src", F.col("path").alias("dst"), F.lit("link").alias("kind"))
+
+
+def concept_edges(relations: DataFrame, notes: DataFrame) -> DataFrame:
+    """(src, dst, kind): notes that own the two concepts of a relation as topics."""
+    owners = notes.select("path", F.explode("topics").alias("topic")).distinct()
+    first = relations.join(owners.select(F.col("path").alias("src"), F.col("topic").alias("subject")), "subject")
+    return first.join(owners.select(F.col("path").alias("dst"), F.col("topic").alias("object")), "object").select("src", "dst", F.lit("concept").alias("kind")).where("src <> dst").distinct()
