@@ -1,14 +1,20 @@
 """Near-duplicate detection: MinHash bands, sequential Bayesian pruning, exact verification, components.
 
-1. Every text becomes its set of distinct five-word shingles (64-bit hashes) and a MinHash signature. Texts with equal
-   sets form one class, represented by its least doc_id; only representatives go on.
-2. Bands of a signature are bucket keys. In each bucket a leader is drawn by hash, and every member is paired with it:
-   a bucket gives one pair less than it has members, however many copies it holds.
-3. A pair is compared batch by batch of its signatures. With a uniform prior, m matches among n give a Beta posterior;
-   the pair is dropped as soon as the posterior chance of reaching the threshold falls below ``miss``. Survivors are
+1. Every text becomes its set of distinct five-word shingles (64-bit hashes) and a MinHash signature: bucket keys, one
+   for each band, and a sketch with the low byte of each value. Texts with equal sets form one class, represented by its
+   least doc_id; only representatives go on.
+2. In each bucket a leader is drawn by hash, and every member is paired with it: a bucket gives one pair less than it
+   has members, however many copies it holds.
+3. A pair is compared batch by batch of its sketches. With a uniform prior, m matches among n give a Beta posterior;
+   the pair is dropped as soon as the posterior chance of reaching the threshold falls below ``MISS``. Survivors are
    confirmed on their full shingle sets, and links are joined to components.
 4. Only buckets that still hold several components go on. Their members are compared with each other in cells of
-   bounded size, again first by signatures, then by full sets; a cell gives a link only if it joins two components.
+   bounded size, again first by sketches. A cell with few surviving pairs gives these; a cell with more of them than
+   ``SPARSE`` a member (a large group of copies that are unlike each other) gives its members, which are then compared
+   within the cell by full sets. Either way a pair is confirmed exactly, and only pairs of different components count.
+
+Texts are read again only for documents in surviving pairs. They are found by a semi-join on a hash of the id with at
+most ``FILTER`` values, small enough to be broadcast whatever the input, before the exact join.
 
 With 32 bands of 4 rows two texts at similarity 0.75 share no bucket with probability 5e-6.
 
@@ -25,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.arrow import groups, longs, slices
 from quillspark.llm.shingle_hash import mix, shingle_set, word_hashes
@@ -39,6 +45,9 @@ HASHES = BANDS * ROWS
 BATCH = 32  # signature values compared at a time
 MISS = 1e-9  # chance at which a pair that reaches the threshold may be pruned
 CELL = 1024  # members of a bucket that one task compares with as many others
+SPARSE = 4  # surviving pairs a member up to which a cell gives pairs
+FILTER = 1 << 20  # values of the id hash that a broadcast filter holds at most
+PAIR = "src bigint, dst bigint"
 
 
 def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +67,15 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """Bucket keys of a signature, one for each band."""
+    rows = signature.reshape(BANDS, ROWS).astype(np.uint64)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = mix(keys + rows[:, k])
+    return keys.view(np.int64)
+
+
 def _as_signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -66,47 +84,47 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for start, end in slices(texts):
-            sizes, one, two, signatures = [], [], [], []
+            sizes, one, two, bands, sketches = [], [], [], [], []
             hashes, edges = word_hashes(texts[start:end])
             for i in range(end - start):
                 s = shingle_set(hashes[edges[i] : edges[i + 1]], WORDS)
                 sizes.append(len(s))
                 one.append(_as_signed(int(s.sum(dtype=np.uint64))))
                 two.append(_as_signed(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))))
-                signatures.append(minhash(s).tobytes() if len(s) else None)
+                if len(s):
+                    signature = minhash(s)
+                    bands.append(band_keys(signature))
+                    sketches.append(signature.astype(np.uint8).tobytes())
+                else:
+                    bands.append(None)
+                    sketches.append(None)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, end - start), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(signatures, pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+                [ids.slice(start, end - start), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, signature) of each row; (n_shingles, set_a, set_b) tells its shingle set."""
+    """(doc_id, n_shingles, set_a, set_b, bands, sketch) of each row; (n_shingles, set_a, set_b) tells its shingle set."""
     columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary")
-
+    return columns.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch binary")
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the sorted shingle hashes of each row as little-endian bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, end in slices(texts, 2_000_000):
-                hashes, edges = word_hashes(texts[start:end])
-                sets = [shingle_set(hashes[edges[i] : edges[i + 1]], WORDS).tobytes() for i in range(end - start)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles binary")
+def sets_of(texts: list[str | None]) -> list[np.ndarray]:
+    """The sorted shingle hashes of each text."""
+    hashes, edges = word_hashes(texts)
+    return [shingle_set(hashes[edges[i] : edges[i + 1]], WORDS) for i in range(len(texts))]
 
 
 @lru_cache(maxsize=64)
 def least_matches(n: int, miss: float = MISS) -> int:
-    """The fewest matches among ``n`` that keep a pair: with fewer, P(similarity >= threshold | matches) < miss.
+    """The fewest matches among ``n`` bytes that keep a pair: with fewer, P(similarity >= threshold | matches) < miss.
 
-    Under a uniform prior the posterior is Beta(m + 1, n - m + 1); its upper tail at t is P(Binomial(n + 1, t) <= m).
+    Bytes of unequal values match by chance once in 256. Under a uniform prior of the chance of a match the posterior
+    is Beta(m + 1, n - m + 1); its upper tail at t is P(Binomial(n + 1, t) <= m).
     """
-    t, tail = THRESHOLD[0] / THRESHOLD[1], 0.0
+    t = THRESHOLD[0] / THRESHOLD[1]
+    t, tail = t + (1 - t) / 256, 0.0
     for m in range(n + 2):
         tail += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
         if tail >= miss:
@@ -129,8 +147,8 @@ def linked(shared: int, size_a: int, size_b: int) -> bool:
     return THRESHOLD[1] * shared >= THRESHOLD[0] * (size_a + size_b - shared)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dtype: type = np.uint32, width: int = HASHES) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(-1, width)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +158,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of texts that are linked."""
     for batch in batches:
-        keep = []
-        for i in range(batch.num_rows):
-            a, b = (np.frombuffer(batch.column(k)[i].as_py(), dtype=np.uint64) for k in (2, 3))
-            keep.append(linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["src", "dst"])
+        src, dst = longs(batch.column(0)), longs(batch.column(1))
+        keep, last, one = np.zeros(len(src), dtype=bool), None, None
+        for i in range(len(src)):
+            # Pairs of one leader follow one another.
+            if src[i] != last:
+                last, one = src[i], sets_of([batch.column(2)[i].as_py()])[0]
+            other = sets_of([batch.column(3)[i].as_py()])[0]
+            keep[i] = linked(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other))
+        yield pa.RecordBatch.from_arrays([pa.array(src[keep]), pa.array(dst[keep])], names=["src", "dst"])
 
 
 def _both_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -167,25 +190,31 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
 
 
 def _prune_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members that have a possible partner of another component in their cell, by signatures."""
+    """What sketches leave of each cell: pairs (doc_id, other), or if these are many, the members that have partners."""
     for cell, _, differ in _cells(batches):
-        signature = _matrix(cell.column("signature"))
-        alive = np.zeros(cell.num_rows, dtype=bool)
+        sketch = _matrix(cell.column("sketch"))
+        one, two = [], []
         for i in range(cell.num_rows):
             others = np.flatnonzero(differ[i])
             if len(others):
-                hit = others[_survive(np.broadcast_to(signature[i], (len(others), HASHES)), signature[others])]
-                alive[hit] = True
-                alive[i] |= len(hit) > 0
-        if alive.any():
-            yield from cell.select(["key", "cell", "part", "doc_id", "comp"]).filter(pa.array(alive)).combine_chunks().to_batches()
+                hit = others[_survive(np.broadcast_to(sketch[i], (len(others), HASHES)), sketch[others])]
+                one.append(np.full(len(hit), i))
+                two.append(hit)
+        first, second = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (one, two))
+        if not len(first):
+            continue
+        sparse = len(first) <= SPARSE * cell.num_rows
+        rows = first if sparse else np.unique(np.concatenate([first, second]))
+        out = cell.select(["key", "cell", "part", "doc_id", "comp"]).take(pa.array(rows)).combine_chunks()
+        other = cell.column("doc_id").take(pa.array(second)).combine_chunks() if sparse else pa.nulls(len(rows), pa.int64())
+        yield from out.append_column("other", other).combine_chunks().to_batches()
 
 
 def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between components in each cell, by full sets; a link is given only if it joins what was apart there."""
     for cell, comp, differ in _cells(batches):
         ids = longs(cell.column("doc_id").combine_chunks())
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in cell.column("shingles").to_pylist()]
+        sets = sets_of(cell.column("text").to_pylist())
         size = np.array([len(s) for s in sets])
         # A shingle that no other member has is in no intersection: what is left bounds every similarity.
         values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -219,12 +248,6 @@ def _dealt(members: DataFrame) -> DataFrame:
     return members.repartition("key", "cell").sortWithinPartitions("key", "cell")
 
 
-def band_keys(signature: Column) -> Column:
-    """The bucket keys of a signature, one for each band."""
-    width = 4 * ROWS
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(signature, b * width + 1, F.lit(width))))
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``; kept rows are the least of their component."""
     spark = docs.sparkSession
@@ -232,23 +255,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = scratch.store(signatures(docs), "signed")
     sets = ["n_shingles", "set_a", "set_b"]
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("doc_id"))
-    nodes = scratch.store(signed.join(classes, [*sets, "doc_id"], "left_semi").dropDuplicates([*sets, "doc_id"]).select("doc_id", "signature"), "nodes")
+    nodes = signed.join(classes, [*sets, "doc_id"], "left_semi").dropDuplicates([*sets, "doc_id"]).select("doc_id", "bands", "sketch")
+    nodes = scratch.store(nodes, "nodes")
 
-    bands = nodes.select("doc_id", F.explode(band_keys(F.col("signature"))).alias("key"))
+    bands = nodes.select("doc_id", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), "doc_id"))["doc_id"].alias("leader")).where("n > 1")
     members = scratch.store(bands.join(buckets, "key"), "members")
-
-    pairs = members.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("src"), F.greatest("doc_id", "leader").alias("dst")).distinct()
-    likely = scratch.store(_both_sides(pairs, nodes, "signature").mapInArrow(_compare, "src bigint, dst bigint"), "likely")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return shingle_sets(texts.join(ids.distinct(), "doc_id", "left_semi"))
-
-    known = scratch.store(sets_of(likely.select(F.explode(F.array("src", "dst")).alias("doc_id"))), "known")
-    links = scratch.store(_both_sides(likely, known, "shingles").mapInArrow(_confirm, "src bigint, dst bigint"), "links")
+    sketches = nodes.select("doc_id", "sketch")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """The texts of some documents."""
+        wanted = ids.distinct()
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("place")
+        likely = texts.withColumn("place", place).join(F.broadcast(wanted.select(place).distinct()), "place", "left_semi")
+        return likely.drop("place").join(wanted, "doc_id", "left_semi")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the likely pairs that are links."""
+        known = scratch.store(texts_of(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id"))), "known")
+        links = scratch.store(_both_sides(pairs, known, "text").mapInArrow(_confirm, PAIR), name)
+        scratch.drop("known")
+        return links
+
+    tried = scratch.store(members.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("src"), F.greatest("doc_id", "leader").alias("dst")).distinct(), "tried")
+    likely = scratch.store(_both_sides(tried, sketches, "sketch").mapInArrow(_compare, PAIR), "likely")
+    links = confirmed(likely, "links")
     labels = scratch.store(connected_components(links), "labels")
-    scratch.drop("known", "likely")
 
     # Buckets that hold several components still; cells of at most CELL members from each of two parts of a bucket.
     labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
@@ -258,17 +291,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = labelled.join(mixed, "key").select("key", "doc_id", "comp", parts.alias("parts"), F.pmod(F.xxhash64("doc_id"), parts).alias("part"))
     cell = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda o: F.shiftleft(F.least(o, F.col("part")), 32) + F.greatest(o, F.col("part"))))
     rest = rest.select("key", "doc_id", "comp", "part", cell.alias("cell"))
-    schema = "key bigint, cell bigint, part bigint, doc_id bigint, comp bigint"
-    alive = scratch.store(_dealt(rest.join(nodes, "doc_id")).mapInArrow(_prune_cells, schema), "alive")
-    alive_sets = scratch.store(sets_of(alive.select("doc_id")), "alive_sets")
-    more = scratch.store(_dealt(alive.join(alive_sets, "doc_id")).mapInArrow(_link_cells, "src bigint, dst bigint"), "more")
-    scratch.drop("members", "labelled", "alive", "alive_sets", "nodes")
-
-    final = connected_components(links.union(more)).select(F.col("node").alias("least"), "component")
+    schema = "key bigint, cell bigint, part bigint, doc_id bigint, comp bigint, other bigint"
+    left = scratch.store(_dealt(rest.join(sketches, "doc_id")).mapInArrow(_prune_cells, schema), "left")
+    scratch.drop("members", "labelled", "nodes")
+    pairs = left.where("other is not null").select(F.least("doc_id", "other").alias("src"), F.greatest("doc_id", "other").alias("dst")).distinct()
+    pairs = scratch.store(pairs.join(tried, ["src", "dst"], "left_anti"), "pairs")
+    few = confirmed(pairs, "few")
+    dense = left.where("other is null").drop("other")
+    dense_texts = texts_of(dense.select("doc_id"))
+    many = scratch.store(_dealt(dense.join(dense_texts, "doc_id")).mapInArrow(_link_cells, PAIR), "many")
+    scratch.drop("left", "pairs", "tried", "likely")
+
+    final = connected_components(links.union(few).union(many)).select(F.col("node").alias("least"), "component")
     least = signed.where("doc_id is not null and n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("least"))
     found = least.join(final, "least", "left").select(*sets, F.coalesce("component", "least").alias("component"))
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = signed.select("doc_id", *sets).join(found, sets, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     out = scratch.store(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
-    scratch.drop("signed", "links", "labels", "more")
+    scratch.drop("signed", "links", "labels", "few", "many")
     return out
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns; rows that share an id stay or go together."""
+    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
