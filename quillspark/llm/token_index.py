@@ -180,7 +180,7 @@ class _Shard:
         index = ShardIndex.of(np.array([i or 0 for i in self.ids], dtype=np.int64), np.array(self.occurrence), null, np.array(self.lengths), self.width)
         with self.system.open_output_stream(_store(self.name)[1] + ".mph") as out:
             out.write(index.to_bytes())
-        return {"partition": self.partition, "seq": self.seq, "ids_file": self.name + ".ids", "index_file": self.name + ".mph", "n_docs": len(self.ids), "n_tokens": self.tokens, "first_id": self.ids[0], "last_id": self.ids[-1]}
+        return {"partition": self.partition, "seq": self.seq, "ids_file": self.name + ".ids", "index_file": self.name + ".mph", "n_docs": len(self.ids), "n_tokens": self.tokens, "first_id": next((i for i in self.ids if i is not None), None), "last_id": self.ids[-1]}
 
 
 def write_token_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -267,7 +267,7 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(wanted[known]), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     # Ranges are cut at multiples of their mean width, so that keys meet them by an equality and then by the range.
-    known = manifest.where("last_id is not null").withColumn("first_id", F.coalesce("first_id", "last_id"))
+    known = manifest.where("first_id is not null")
     low, high, n = known.agg(F.min("first_id"), F.max("last_id"), F.count("*")).first()
     width = F.lit(max(1, ((high or 0) - (low or 0)) // max(1, n)))
     ranges = known.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first_id") / width), F.floor(F.col("last_id") / width))))
