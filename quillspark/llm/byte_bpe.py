@@ -2,7 +2,9 @@
 
 A byte-level BPE cuts a text before each space that a visible character follows, and merges never cross such a cut.
 So a text's ids are the ids of its stretches between spaces, and a stretch met before need not be encoded again. Texts
-with runs of white space are cut only where that holds for certain; everything the memo lacks goes to the library.
+with runs of white space are cut only where that holds for certain. A full stop or comma after a letter or digit is a
+stretch of its own, which keeps the memo small. Everything the memo lacks goes to the library, many stretches in one
+call with a control character between them that no merge takes in.
 """
 
 from __future__ import annotations
@@ -11,9 +13,13 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
+
+import numpy as np
 
 ID_BYTES = 4
-_RUN = re.compile(r"\s\s|[\x1c-\x1f]")
+_RUN = re.compile(r"\s\s|[\x00-\x08\x1c-\x1f]|[\W_][.,] ")
+_MARKS = {".": "\x01", ",": "\x02"}  # stand-ins for a mark that follows a letter or digit and precedes a space
 _CUT = re.compile(r"(?= \S)")
 _LONGEST = 64  # a longer stretch is encoded anew each time
 
@@ -21,7 +27,7 @@ _LONGEST = 64  # a longer stretch is encoded anew each time
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -30,8 +36,38 @@ class Encoder:
         self.spaced: dict[str, bytes] = {}  # a space and then the key
         self.plain: dict[str, bytes] = {}
 
+        self.separator, self.separator_id = self._free_control()
+        self.marks = {stand_in: self._library([mark])[0] for mark, stand_in in _MARKS.items()}
+        self.spaced.update(self.marks)
+
+    def _free_control(self) -> tuple[str, int]:
+        """A control character whose id stands in no longer token."""
+        vocabulary = self.tokenizer.get_vocab()
+        for code in (*range(0x00, 0x09), *range(0x0E, 0x1C)):
+            ids = self.tokenizer.encode(chr(code), add_special_tokens=False).ids
+            shown = self.tokenizer.id_to_token(ids[0]) if len(ids) == 1 else None
+            if shown and not any(shown in token and token != shown for token in vocabulary):
+                return chr(code), ids[0]
+        raise ValueError("every control character is part of a longer token")
+
+    def _alone(self, text: str) -> bool:
+        """Whether a neighbour could change how a stretch is split."""
+        return text[:1] == "'" or text[-2:-1].isspace() or self.separator in text
+
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        joined, apart = [], []
+        for t in texts:
+            (apart if self._alone(t) else joined).append(t)
+        found: dict[str, bytes] = {}
+        for i in range(0, len(joined), 20_000):
+            part = joined[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.separator.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.separator_id).tolist()
+            data = ids.tobytes()
+            ends = [ID_BYTES * c for c in (*cuts, len(ids))]
+            found.update(zip(part, (data[a:b] for a, b in zip([0, *(e + ID_BYTES for e in ends)], ends)), strict=True))
+        found.update((t, array("I", e.ids).tobytes()) for t, e in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False), strict=True))
+        return [found[t] for t in texts]
 
     def _learn(self, memo: dict[str, bytes], wanted: list[list[str]], lead: str) -> dict[str, bytes]:
         """Add what ``memo`` lacks; returns what was too long to keep."""
@@ -44,7 +80,10 @@ class Encoder:
         """The ids of each text, without special ones added; null counts as empty."""
         for memo in (self.spaced, self.plain):
             if len(memo) > self.limit:
+                # What was met first is mostly frequent.
+                kept = list(islice(memo.items(), self.limit // 2))
                 memo.clear()
+                memo.update(kept)
         spaced, plain = [], []
         for t in texts:
             if not t:
@@ -54,6 +93,8 @@ class Encoder:
                 spaced.append([])
                 plain.append(_CUT.split(t))
             else:
+                for mark, stand_in in _MARKS.items():
+                    t = t.replace(mark + " ", f" {stand_in} ")
                 head, *rest = t.split(" ")
                 spaced.append(rest)
                 plain.append([head] if head else [])
