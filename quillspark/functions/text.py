@@ -270,7 +270,7 @@ def pseudo_heading(text: Column) -> Column:
 def media_table(text: Column) -> Column:
     """Whether at least half of two or more cells hold urls, files or placeholders."""
     html = F.regexp_extract_all(text, F.lit(r"(?s)<td>(.*?)</td>"), F.lit(1))
-    cells = F.filter(F.transform(F.concat(F.split(text, r"\|"), html), lambda x: F.trim(x)), lambda c: (c != "") & ~c.rlike(r"^[-: ]+$"))
+    cells = F.filter(F.transform(F.concat(F.split(text, r"\|"), html), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda c: (c != "") & ~c.rlike(r"^[-: ]+$"))
     return (F.size(cells) >= 2) & (F.size(F.filter(cells, lambda c: c.rlike(MEDIA_CELL))) * 2 >= F.size(cells))
 
 

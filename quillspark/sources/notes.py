@@ -27,7 +27,8 @@ class EmptyInput(ValueError):
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size) of all files below a folder, hidden and system folders apart."""
+    """(path, size) of all files below a folder but hidden ones and system folders; names with a leading underscore are
+    hidden to Spark's readers."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("full"), F.col("length").alias("size"))
     relative = F.regexp_replace("full", r"^file:/+", "/")
     base = "/" + root.split("://")[-1].strip("/") + "/"
