@@ -68,17 +68,27 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def _held(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer): texts that stand in others. A text's first two characters are among the other's runs of two."""
+    key = F.col("inner").substr(1, 2)
+    runs = F.transform(F.sequence(F.lit(1), F.length("outer")), lambda i: F.array(F.col("outer").substr(i, F.lit(1)), F.col("outer").substr(i, F.lit(2))))
+    places = outer.where("outer <> ''").select("outer", F.explode(F.array_distinct(F.flatten(runs))).alias("key"))
+    return inner.where("inner <> ''").withColumn("key", key).join(places, "key").where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
+
+
 def traverse(relations: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """The relations (subject, object, ...) within so many hops of seed concepts (concept), with the hop of each.
 
-    An end matches a concept if one text holds the other. Texts are first reduced to distinct ends, which are met with
-    the distinct concepts of a hop by a filter on each; relations then join by equality.
+    An end matches a concept if one text holds the other. Distinct ends meet distinct concepts of a hop by an equality
+    on short runs of characters; relations then join by equality.
     """
     ends = relations.select(F.explode(F.array("subject", "object")).alias("end")).where("end <> ''").distinct()
     frontier = seeds.where("concept <> ''").select("concept").distinct()
     out, known = None, frontier
     for hop in range(1, hops + 1):
-        touched = ends.join(frontier, F.col("end").contains(F.col("concept")) | F.col("concept").contains(F.col("end"))).select("end").distinct()
+        inside = _held(ends.select(F.col("end").alias("inner")), frontier.select(F.col("concept").alias("outer"))).select(F.col("inner").alias("end"))
+        around = _held(frontier.select(F.col("concept").alias("inner")), ends.select(F.col("end").alias("outer"))).select(F.col("outer").alias("end"))
+        touched = inside.union(around).distinct()
         first = relations.join(touched, relations["subject"] == touched["end"], "left_semi")
         second = relations.join(touched, relations["object"] == touched["end"], "left_semi")
         found = first.union(second).distinct().withColumn("hop", F.lit(hop))
