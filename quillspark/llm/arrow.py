@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 
-def slices(texts: list, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Cut a list of texts into runs of about ``limit`` characters, so that work on one run needs bounded memory."""
     start = size = 0
     for i, t in enumerate(texts):
