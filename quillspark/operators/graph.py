@@ -57,14 +57,19 @@ def components_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(node, hop): nodes within so many undirected hops of the seeds (node), which have hop 0; equal ids join."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    seen = seeds.select("node").distinct().withColumn("hop", F.lit(0))
+    """(node, hop): nodes within so many undirected hops of the seeds (node), which have hop 0; equal ids join.
+
+    What a hop reaches is a written table, so the next one does not work it out again.
+    """
+    scratch = Scratch(edges.sparkSession, "reach")
+    both = scratch.store(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "edges")
+    seen = scratch.store(seeds.select("node").distinct().withColumn("hop", F.lit(0)), "hop0")
     frontier = seen
     for hop in range(1, hops + 1):
         near = both.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = near.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = scratch.store(near.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)), f"hop{hop}")
         seen = seen.unionByName(frontier)
+    scratch.drop("edges")
     return seen
 
 
@@ -82,8 +87,10 @@ def traverse(relations: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     An end matches a concept if one text holds the other. Distinct ends meet distinct concepts of a hop by an equality
     on short runs of characters; relations then join by equality.
     """
+    scratch = Scratch(relations.sparkSession, "traverse")
+    relations = scratch.store(relations, "relations")
     ends = relations.select(F.explode(F.array("subject", "object")).alias("end")).where("end <> ''").distinct()
-    frontier = seeds.where("concept <> ''").select("concept").distinct()
+    frontier = scratch.store(seeds.where("concept <> ''").select("concept").distinct(), "frontier0")
     out, known = None, frontier
     for hop in range(1, hops + 1):
         inside = _held(ends.select(F.col("end").alias("inner")), frontier.select(F.col("concept").alias("outer"))).select(F.col("inner").alias("end"))
@@ -91,11 +98,12 @@ def traverse(relations: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
         touched = inside.union(around).distinct()
         first = relations.join(touched, relations["subject"] == touched["end"], "left_semi")
         second = relations.join(touched, relations["object"] == touched["end"], "left_semi")
-        found = first.union(second).distinct().withColumn("hop", F.lit(hop))
+        found = scratch.store(first.union(second).distinct().withColumn("hop", F.lit(hop)), f"found{hop}")
         out = found if out is None else out.unionByName(found.join(out.select("subject", "object", "doc_id"), ["subject", "object", "doc_id"], "left_anti"))
         reached = found.select(F.explode(F.array("subject", "object")).alias("concept")).distinct()
-        frontier = reached.join(known, "concept", "left_anti")
-        known = known.union(frontier)
+        if hop < hops:
+            frontier = scratch.store(reached.join(known, "concept", "left_anti"), f"frontier{hop}")
+            known = known.union(frontier)
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.functions import text as t
 from quillspark.operators import search as s
 from quillspark.operators.graph import traverse
+from quillspark.plans.scratch import Scratch
 
 # What a channel counts.
 CHANNEL_WEIGHT = {"hook": 4, "fts": 3, "topic": 2, "relation": 1}
@@ -110,20 +111,24 @@ def merge_channels(hits: DataFrame, notes: DataFrame, route: Route) -> DataFrame
 
 
 def recall(notes: DataFrame, query: str, route: Route | None = None, units: DataFrame | None = None, hops: int = 1, least: int = s.LEAST_GRAMS) -> DataFrame:
-    """(path, title, flow, stage, updated, stale, channels, weight, bm25) of the notes that any channel finds."""
+    """(path, title, flow, stage, updated, stale, channels, weight, bm25) of the notes that any channel finds.
+
+    Channels feed one another; the hits of each are written tables.
+    """
     spark: SparkSession = notes.sparkSession
+    scratch = Scratch(spark, "recall")
     route = route or Route(keywords=[query] if query else [])
     words = " ".join(route.keywords) or query
     if not (words or route.topics):
         raise RouteError("route_empty", "a query, keywords or topics are needed")
     asked = spark.createDataFrame([(0, words)], "query_id int, text string")
-    texts = text_channel(notes, asked, least)
+    texts = scratch.store(text_channel(notes, asked, least), "texts")
     kept = notes.select("path", F.explode("q_hooks").alias("hook"))
     hooked = s.hook_matches(kept, asked).select("path")
     if words:
         hooked = hooked.union(s.hooks_holding(kept, words).select("path"))
-    hooked = hooked.distinct()
-    seeds = topic_seeds(notes, texts, hooked, route.topics)
+    hooked = scratch.store(hooked.distinct(), "hooked")
+    seeds = scratch.store(topic_seeds(notes, texts, hooked, route.topics), "seeds")
     topical = notes.select("path", F.explode("topics").alias("topic")).join(seeds, "topic").select("path").distinct()
     hits = texts.unionByName(_channel(hooked, "hook")).unionByName(_channel(topical, "topic"))
     if route.need_relations and units is not None and route.unit_type in ("", "relation"):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quillspark.functions import text as t
 from quillspark.operators import aggregate, chunks, graph, metrics, quality, recall, search, tagging
 from quillspark.plans import adapter as a
+from quillspark.plans.scratch import Scratch
 from quillspark.sources import notes as src
 
 FLAGSHIP = "bm25_or_topk"
@@ -117,7 +118,7 @@ def hook_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relation_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics within three hops of the first note's topics, over relations between notes' first two topics."""
-    topics = a.topic_words(a.notes(spark, sf_dir)).withColumnRenamed("topics", "topics")
+    topics = Scratch(spark, "khop-topics").store(a.topic_words(a.notes(spark, sf_dir)), "topics")
     pairs = a.relations(topics).select(F.col("subject").alias("src"), F.col("object").alias("dst"))
     first = topics.agg(F.min("path").alias("path"))
     seeds = topics.join(F.broadcast(first), "path").select(F.explode("topics").alias("node"))
@@ -153,7 +154,7 @@ ORDER BY weight DESC, coalesce(merged.bm25, 0.0), updated DESC, path LIMIT 100""
 def recall_four_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall for the first passage over text, questions, topics and relations: the first hundred notes."""
     text = a.questions(spark, sf_dir).orderBy("query_id").first()["text"]
-    rows = a.full_notes(spark, sf_dir)
+    rows = Scratch(spark, "recall-notes").store(a.full_notes(spark, sf_dir), "notes")
     route = recall.Route(keywords=[text], need_relations=True, top_k=100)
     found = recall.recall(rows, text, route, a.relations(rows))
     return found.select("path", F.concat_ws(",", "channels").alias("channels"), "weight", F.round("bm25", 6).alias("bm25"))
