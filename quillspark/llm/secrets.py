@@ -175,7 +175,10 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     cleaned = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    found = with_spans(docs).withColumn("text", F.when(F.size("_spans") > 0, cleaned).otherwise(F.col("text")))
+    # The row's own columns stay in a struct, so that none of them can meet a name used here.
+    found = with_spans(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"]))
+    hit, row = F.size("_spans") > 0, F.col("_row").withField("text", F.col("_clean"))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        row = row.withField("n_chars", F.length("_clean").cast(docs.schema["n_chars"].dataType))
+    found = found.withColumn("_clean", F.when(hit, cleaned)).select(F.when(hit, row).otherwise(F.col("_row")).alias("_row"))
+    return found.select("_row.*")

@@ -344,6 +344,8 @@ def test_secret_redaction(spark):
     assert [out[i].text for i in range(4)] == ["key [secret] end", "clean", None, "[secret]"]
     assert out[0].n_chars == len("key [secret] end") and out[1].n_chars == 5
     assert secrets.redact(rows).columns == rows.columns and secrets.scan(rows.where("false")).count() == 0
+    clash = rows.withColumn("_spans", F.lit(7)).withColumn("_row", F.lit(8))
+    assert [(r._spans, r._row) for r in secrets.redact(clash).collect()] == [(7, 8)] * 4 and secrets.redact(clash).count() == 4
 
 
 # 9 near duplicates
