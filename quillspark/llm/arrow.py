@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 def slices(texts: list, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -49,3 +51,15 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         last = tuple(int(c[-1]) for c in columns)
     if held:
         yield pa.Table.from_batches(held)
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most so many rows in an Arrow batch while jobs run that hold whole texts, several in a row."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

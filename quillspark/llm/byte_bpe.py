@@ -2,8 +2,8 @@
 
 A byte-level BPE cuts a text before each space that a visible character follows, and merges never cross such a cut.
 So a text's ids are the ids of its stretches between spaces, and a stretch met before need not be encoded again. Texts
-with runs of white space are cut only where that holds for certain. A full stop or comma after a letter or digit is a
-stretch of its own, which keeps the memo small. Everything the memo lacks goes to the library, many stretches in one
+with runs of white space are cut only where that holds for certain. Of a stretch that ends with a full stop or comma
+after a letter or digit only the rest is looked up. Everything the memo lacks goes to the library, many stretches in one
 call with a control character between them that no merge takes in.
 """
 
@@ -18,8 +18,8 @@ from itertools import islice
 import numpy as np
 
 ID_BYTES = 4
-_RUN = re.compile(r"\s\s|[\x00-\x08\x1c-\x1f]|[\W_][.,] ")
-_MARKS = {".": "\x01", ",": "\x02"}  # stand-ins for a mark that follows a letter or digit and precedes a space
+#: White space other than spaces and line feeds, and control characters that count as such here or there.
+_ODD = re.compile("[\x00-\x09\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?= \S)")
 _LONGEST = 64  # a longer stretch is encoded anew each time
 
@@ -27,7 +27,7 @@ _LONGEST = 64  # a longer stretch is encoded anew each time
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -37,8 +37,7 @@ class Encoder:
         self.plain: dict[str, bytes] = {}
 
         self.separator, self.separator_id = self._free_control()
-        self.marks = {stand_in: self._library([mark])[0] for mark, stand_in in _MARKS.items()}
-        self.spaced.update(self.marks)
+        self.marks = dict(zip(".,", self._library([".", ","]), strict=True))
 
     def _free_control(self) -> tuple[str, int]:
         """A control character whose id stands in no longer token."""
@@ -71,8 +70,13 @@ class Encoder:
 
     def _learn(self, memo: dict[str, bytes], wanted: list[list[str]], lead: str) -> dict[str, bytes]:
         """Add what ``memo`` lacks; returns what was too long to keep."""
-        new = list(set().union(*wanted).difference(memo))
-        found = dict(zip(new, self._library([lead + x for x in new]), strict=True))
+        new = set().union(*wanted).difference(memo)
+        marked = [x for x in new if x[-1:] in self.marks and x[-2:-1].isalnum()]
+        bare = list(new.difference(marked).union(x[:-1] for x in marked).difference(memo))
+        found = dict(zip(bare, self._library([lead + x for x in bare]), strict=True))
+        for x in marked:
+            start = memo.get(x[:-1])
+            found[x] = (found[x[:-1]] if start is None else start) + self.marks[x[-1]]
         memo.update((k, v) for k, v in found.items() if len(k) <= _LONGEST)
         return {k: v for k, v in found.items() if len(k) > _LONGEST}
 
@@ -89,12 +93,10 @@ class Encoder:
             if not t:
                 spaced.append([])
                 plain.append([])
-            elif _RUN.search(t):
+            elif "  " in t or "\n " in t or " \n" in t or "\n\n" in t or _ODD.search(t):
                 spaced.append([])
                 plain.append(_CUT.split(t))
             else:
-                for mark, stand_in in _MARKS.items():
-                    t = t.replace(mark + " ", f" {stand_in} ")
                 head, *rest = t.split(" ")
                 spaced.append(rest)
                 plain.append([head] if head else [])
