@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = 4 << 20
 
-def slices(texts: list, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
+
+def slices(texts: list, limit: int = 300_000) -> Iterator[tuple[int, int]]:
     """Cut a list of texts into runs of about ``limit`` characters, so that work on one run needs bounded memory."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -53,13 +54,6 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-@contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """At most so many rows in an Arrow batch while jobs run that hold whole texts, several in a row."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold about ``BATCH_BYTES`` at most, however long the texts in their rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

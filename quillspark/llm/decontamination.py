@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.arrow import slices
+from quillspark.llm.arrow import bound_batches, slices
 from quillspark.llm.shingle_hash import MARKS, window_hashes, word_hashes
 from quillspark.plans.scratch import Scratch
 
@@ -130,6 +130,7 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item whose passage it holds: see ``LEAKS``."""
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "decontamination")
     columns = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     items = scratch.store(columns.mapInArrow(_items, "item_id bigint, words array<bigint>, seeds array<bigint>").where("size(words) > 0"), "items")

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.arrow import batch_rows, groups, longs, slices
+from quillspark.llm.arrow import bound_batches, groups, longs, slices
 from quillspark.llm.shingle_hash import mix, shingle_set, word_hashes
 from quillspark.operators.graph import connected_components
 from quillspark.plans.scratch import Scratch
@@ -46,7 +46,6 @@ BATCH = 32  # signature values compared at a time
 MISS = 1e-9  # chance at which a pair that reaches the threshold may be pruned
 CELL = 1024  # members of a bucket that one task compares with as many others
 SPARSE = 4  # surviving pairs a member up to which a cell gives pairs
-TEXTS = 1000  # rows of an Arrow batch
 FILTER = 1 << 20  # values of the id hash that a broadcast filter holds at most
 PAIR = "src bigint, dst bigint"
 
@@ -251,12 +250,8 @@ def _dealt(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``; kept rows are the least of their component."""
-    with batch_rows(docs.sparkSession, TEXTS):
-        return _near_duplicates(docs)
-
-
-def _near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "near-dup")
     signed = scratch.store(signatures(docs), "signed")
     sets = ["n_shingles", "set_a", "set_b"]

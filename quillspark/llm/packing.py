@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.arrow import slices
+from quillspark.llm.arrow import bound_batches, slices
 from quillspark.llm.byte_bpe import ID_BYTES, default_vocabulary, encoder
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
@@ -144,6 +144,7 @@ def _rows(sequences: Iterator[list[Item]]) -> Iterator[pa.RecordBatch]:
 
 def pack(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits(), end_id: int = 1) -> DataFrame:
     """The pieces of all documents and their places in sequences: see ``PIECES``."""
+    bound_batches(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     end = int(end_id).to_bytes(ID_BYTES, "little")
 
@@ -153,7 +154,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits
         def sequences() -> Iterator[list[Item]]:
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for start, stop in slices(texts):
+                for start, stop in slices(texts, 1_000_000):
                     for doc_id, coded in zip(ids[start:stop], coder.encode(texts[start:stop]), strict=True):
                         coded += end
                         yield from packer.add(Item(doc_id, coded, 0, len(coded) // ID_BYTES))

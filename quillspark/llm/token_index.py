@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quillspark.llm.arrow import slices
+from quillspark.llm.arrow import bound_batches, slices
 from quillspark.llm.byte_bpe import ID_BYTES, default_vocabulary, encoder
 from quillspark.llm.shingle_hash import mix
 from quillspark.plans.scratch import Scratch
@@ -185,6 +185,7 @@ class _Shard:
 
 def write_token_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode all documents into shards under ``folder`` in ascending order of doc_id; returns the manifest."""
+    bound_batches(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     end = int(end_id).to_bytes(ID_BYTES, "little")
 
@@ -194,7 +195,7 @@ def write_token_shards(docs: DataFrame, folder: str, vocabulary: str | None = No
         shard, done = None, []
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for start, stop in slices(texts):
+            for start, stop in slices(texts, 1_000_000):
                 for doc_id, coded in zip(ids[start:stop], coder.encode(texts[start:stop]), strict=True):
                     if shard and shard.tokens >= shard_tokens:
                         done.append(shard.close())
