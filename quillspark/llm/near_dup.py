@@ -3,8 +3,8 @@
 1. Every text becomes its set of distinct five-word shingles (64-bit hashes) and a MinHash signature: bucket keys, one
    for each band, and a sketch with the low byte of each value. Texts with equal sets form one class, represented by its
    least doc_id; only representatives go on.
-2. In each bucket a leader is drawn by hash, and every member is paired with it: a bucket gives one pair less than it
-   has members, however many copies it holds.
+2. In each bucket every member is paired with the one of the least id: a bucket gives one pair less than it has members,
+   however many copies it holds, and the buckets of a group mostly give the same pairs.
 3. A pair is compared batch by batch of its sketches. With a uniform prior, m matches among n give a Beta posterior;
    the pair is dropped as soon as the posterior chance of reaching the threshold falls below ``MISS``. Survivors are
    confirmed on their full shingle sets, and links are joined to components.
@@ -258,9 +258,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("doc_id"))
     nodes = signed.join(classes, [*sets, "doc_id"], "left_semi").dropDuplicates([*sets, "doc_id"]).select("doc_id", "bands", "sketch")
     nodes = scratch.store(nodes, "nodes")
+    signed = scratch.store(signed.select("doc_id", *sets), "sets")
+    scratch.drop("signed")
 
     bands = nodes.select("doc_id", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), "doc_id"))["doc_id"].alias("leader")).where("n > 1")
+    buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
     members = scratch.store(bands.join(buckets, "key"), "members")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketches = nodes.select("doc_id", "sketch")
@@ -309,7 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = signed.select("doc_id", *sets).join(found, sets, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     out = scratch.store(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
-    scratch.drop("signed", "links", "labels", "few", "many")
+    scratch.drop("sets", "links", "labels", "few", "many")
     return out
 
 
