@@ -1,7 +1,7 @@
 """Near-duplicate detection: MinHash bands, sequential Bayesian pruning, exact verification, components.
 
-1. Every text becomes its set of distinct five-word shingles (64-bit hashes) and a MinHash signature: bucket keys, one
-   for each band, and a sketch with the low byte of each value. Texts with equal sets form one class, represented by its
+1. Every text becomes its set of distinct five-word shingles (64-bit hashes) and a MinHash signature of 16 bits a value,
+   kept as a sketch of the low bytes and one of the high bytes. Both give the bucket key of each band. Texts with equal sets form one class, represented by its
    least doc_id; only representatives go on.
 2. In each bucket every member is paired with the one of the least id: a bucket gives one pair less than it has members,
    however many copies it holds, and the buckets of a group mostly give the same pairs.
@@ -31,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.llm.arrow import bound_batches, groups, longs, slices
 from quillspark.llm.shingle_hash import mix, shingle_set, word_hashes
@@ -67,13 +67,13 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """Bucket keys of a signature, one for each band."""
-    rows = signature.reshape(BANDS, ROWS).astype(np.uint64)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        keys = mix(keys + rows[:, k])
-    return keys.view(np.int64)
+def band_keys() -> Column:
+    """Bucket keys of a signature, one for each band, from the sketches of its low and high bytes."""
+
+    def part(sketch: str, band: int) -> Column:
+        return F.substring(sketch, band * ROWS + 1, ROWS)
+
+    return F.array(*[F.xxhash64(F.lit(band), part("sketch", band), part("high", band)) for band in range(BANDS)])
 
 
 def _as_signed(x: int) -> int:
@@ -84,7 +84,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for start, end in slices(texts):
-            sizes, one, two, bands, sketches = [], [], [], [], []
+            sizes, one, two, low, high = [], [], [], [], []
             hashes, edges = word_hashes(texts[start:end])
             for i in range(end - start):
                 s = shingle_set(hashes[edges[i] : edges[i + 1]], WORDS)
@@ -93,21 +93,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 two.append(_as_signed(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))))
                 if len(s):
                     signature = minhash(s)
-                    bands.append(band_keys(signature))
-                    sketches.append(signature.astype(np.uint8).tobytes())
+                    low.append(signature.astype(np.uint8).tobytes())
+                    high.append((signature >> np.uint32(8)).astype(np.uint8).tobytes())
                 else:
-                    bands.append(None)
-                    sketches.append(None)
+                    low.append(None)
+                    high.append(None)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, end - start), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                [ids.slice(start, end - start), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(low, pa.binary()), pa.array(high, pa.binary())],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "sketch", "high"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands, sketch) of each row; (n_shingles, set_a, set_b) tells its shingle set."""
+    """(doc_id, n_shingles, set_a, set_b, sketch, high) of each row; (n_shingles, set_a, set_b) tells its shingle set."""
     columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch binary")
+    return columns.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, high binary")
 
 
 def sets_of(texts: list[str | None]) -> list[np.ndarray]:
@@ -256,12 +256,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = scratch.store(signatures(docs), "signed")
     sets = ["n_shingles", "set_a", "set_b"]
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("doc_id"))
-    nodes = signed.join(classes, [*sets, "doc_id"], "left_semi").dropDuplicates([*sets, "doc_id"]).select("doc_id", "bands", "sketch")
+    nodes = signed.join(classes, [*sets, "doc_id"], "left_semi").dropDuplicates([*sets, "doc_id"]).select("doc_id", "sketch", "high")
     nodes = scratch.store(nodes, "nodes")
     signed = scratch.store(signed.select("doc_id", *sets), "sets")
     scratch.drop("signed")
 
-    bands = nodes.select("doc_id", F.explode("bands").alias("key"))
+    bands = nodes.select("doc_id", F.explode(band_keys()).alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
     members = scratch.store(bands.join(buckets, "key"), "members")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
