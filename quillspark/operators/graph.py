@@ -7,31 +7,46 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.plans.scratch import Scratch
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node of an undirected edge table (src, dst) with the least node it can reach: (node, component).
 
-    Each round takes the least label among the neighbours and then the label of that label, so the number of rounds
-    follows the logarithm of the longest path rather than the path. Rounds end when no label changes; every round is a
-    written table. Null ends are ignored, loops and repeated edges are harmless, an empty table gives an empty result.
+    In each round every root hooks onto its least neighbour if that is smaller, pointers are halved until all of them
+    meet their root, and edges are drawn anew between roots. A root that stays has taken in a neighbour after two rounds
+    at most, so their number halves at least every two rounds, whatever the order of the ids; pointers lead to smaller
+    ids, so there is no circle. Rounds end when no edge is left. What a round writes is as large as the graph it meets.
+    Null ends are ignored, loops and repeated edges are harmless, an empty table gives an empty result.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "components")
+    scratch = Scratch(edges.sparkSession, "components")
     pairs = edges.select("src", "dst").where("src is not null and dst is not null")
-    both = scratch.store(pairs.union(pairs.select("dst", "src")).distinct(), "edges")
-    labels = scratch.store(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component")), "labels0")
-    for step in range(1, max_rounds + 1):
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "node", "left").select("node", F.least("component", "near").alias("best"), F.col("component").alias("old"))
-        # The label's own label: a jump along the chain that halves what is left of it.
-        jump = labels.select(F.col("node").alias("best"), F.col("component").alias("beyond"))
-        new = hooked.join(jump, "best", "left").select("node", F.least("best", "beyond").alias("component"), "old")
-        new = scratch.store(new, f"labels{step}")
-        scratch.drop(f"labels{step - 1}")
-        labels = new.select("node", "component")
-        if new.where("component <> old").isEmpty():
-            break
-    scratch.drop("edges")
-    return labels
+    live = scratch.store(pairs.union(pairs.select("dst", "src")).distinct(), "edges0")
+    forests: list[DataFrame] = []
+    while not forests or not live.isEmpty():
+        step = len(forests)
+        forest = _to_roots(live.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("parent")), scratch, step)
+        forests.append(forest)
+        one = live.where("src < dst").join(forest.select(F.col("node").alias("src"), F.col("parent").alias("a")), "src").select("dst", "a")
+        two = one.join(forest.select(F.col("node").alias("dst"), F.col("parent").alias("b")), "dst").where("a <> b")
+        live = scratch.store(two.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*").distinct(), f"edges{step + 1}")
+        scratch.drop(f"edges{step}")
+    # Each round's roots are nodes of the next one, or final.
+    labels = forests.pop()
+    while forests:
+        beyond = labels.select(F.col("node").alias("parent"), F.col("parent").alias("beyond"))
+        labels = scratch.store(forests.pop().join(beyond, "parent", "left").select("node", F.coalesce("beyond", "parent").alias("parent")), f"labels{len(forests)}")
+    return labels.select("node", F.col("parent").alias("component"))
+
+
+def _to_roots(forest: DataFrame, scratch: Scratch, step: int) -> DataFrame:
+    """(node, parent) with each node's root as its parent; each pass halves what is left of the way."""
+    forest, at = scratch.store(forest, f"forest{step}_0"), 0
+    while True:
+        beyond = forest.where("node <> parent").select(F.col("node").alias("parent"), F.col("parent").alias("beyond"))
+        found = forest.join(beyond, "parent", "left").select("node", F.coalesce("beyond", "parent").alias("parent"), F.col("beyond").isNotNull().alias("moved"))
+        found = scratch.store(found, f"forest{step}_{at + 1}")
+        scratch.drop(f"forest{step}_{at}")
+        forest, at = found.select("node", "parent"), at + 1
+        if found.where("moved").isEmpty():
+            return forest
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small knowledge bases: values, and that a broken rule shows."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,15 @@ def test_recall_channels_and_route(spark, kb):
     assert set(paths(unnumbered)) == {"a.md", "b.md"}
 
 
+@pytest.mark.parametrize("order", ["descending", "random"])
+def test_components_of_long_chains(spark, order):
+    """Chains whose least id must cross many basins, and a loop beside them."""
+    ids = [1, *range(120, 1, -1)] if order == "descending" else random.Random(20).sample(range(1, 1001), 1000)
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (5000, 5000), (6001, 6000), (None, 1)], "src int, dst int")
+    got = {r.node: r.component for r in graph.connected_components(edges).collect()}
+    assert got == dict.fromkeys(ids, 1) | {5000: 5000, 6000: 6000, 6001: 6000}
+
+
 def test_graphs(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7), (3, 2)], "src int, dst int")
     nodes = spark.createDataFrame([(i,) for i in range(1, 9)], "node int")
