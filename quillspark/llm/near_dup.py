@@ -158,14 +158,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of texts that are linked."""
+    """The pairs that are linked by a text of each; ids that have several texts come with all pairs of them."""
     for batch in batches:
         src, dst = longs(batch.column(0)), longs(batch.column(1))
         keep, last, one = np.zeros(len(src), dtype=bool), None, None
         for i in range(len(src)):
-            # Pairs of one leader follow one another.
-            if src[i] != last:
-                last, one = src[i], sets_of([batch.column(2)[i].as_py()])[0]
+            # Pairs of one leader follow one another; its rows may have different texts.
+            text = batch.column(2)[i].as_py()
+            if last != (src[i], text):
+                last, one = (src[i], text), sets_of([text])[0]
             other = sets_of([batch.column(3)[i].as_py()])[0]
             keep[i] = linked(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other))
         yield pa.RecordBatch.from_arrays([pa.array(src[keep]), pa.array(dst[keep])], names=["src", "dst"])
@@ -305,13 +306,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     many = scratch.store(_dealt(dense.join(dense_texts, "doc_id")).mapInArrow(_link_cells, PAIR), "many")
     scratch.drop("left", "pairs", "tried", "likely")
 
-    final = connected_components(links.union(few).union(many)).select(F.col("node").alias("least"), "component")
-    least = signed.where("doc_id is not null and n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("least"))
+    some = signed.where("doc_id is not null and n_shingles > 0")
+    least = some.groupBy(*sets).agg(F.min("doc_id").alias("least"))
+    # Rows that share an id are one node, which links the classes of their texts.
+    spread = [f(c).alias(f"{name}_{c}") for c in sets for name, f in (("lo", F.min), ("hi", F.max))]
+    several = some.groupBy("doc_id").agg(*spread).where(" or ".join(f"lo_{c} <> hi_{c}" for c in sets)).select("doc_id")
+    shared = some.join(several, "doc_id", "left_semi").join(least, sets).where("doc_id <> least").select(F.col("least").alias("src"), F.col("doc_id").alias("dst"))
+    shared = scratch.store(shared.distinct(), "shared")
+    final = connected_components(links.union(few).union(many).union(shared)).select(F.col("node").alias("least"), "component")
     found = least.join(final, "least", "left").select(*sets, F.coalesce("component", "least").alias("component"))
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = signed.select("doc_id", *sets).join(found, sets, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     out = scratch.store(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
-    scratch.drop("sets", "links", "labels", "few", "many")
+    scratch.drop("sets", "links", "labels", "few", "many", "shared")
     return out
 
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,6 +414,23 @@ def test_near_duplicates_odd_inputs(spark):
     assert near_dup.keep_first(rows).columns == rows.columns and near_dup.keep_first(rows).count() == 3
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """Each text of an id has its own near copy; an id whose texts are copies of others links these."""
+    rng = random.Random(13)
+    base = [prose(rng, 80, 4000) for _ in range(6)]
+    texts = [base[0], base[1], base[0] + " end", base[1] + " end", base[2], base[3], base[2], base[3], base[4], base[5]]
+    rows = docs_of(spark, texts, [1, 1, 10, 11, 20, 21, 30, 30, 40, 41])
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(rows).collect()}
+    assert got == {(1, 1, True), (10, 1, False), (11, 1, False), (20, 20, True), (21, 20, False), (30, 20, False), (40, 40, True), (41, 41, True)}
+
+
+def test_confirmation_of_ids_with_several_texts():
+    rng = random.Random(14)
+    base = [prose(rng, 80, 4000) for _ in range(2)]
+    batch = pa.RecordBatch.from_pydict({"src": [1, 1, 1, 1], "dst": [10, 10, 11, 11], "_a": [base[0], base[1]] * 2, "_b": [base[0] + " end"] * 2 + [base[1] + " end"] * 2})
+    assert [b.column("dst").to_pylist() for b in near_dup._confirm(iter([batch]))] == [[10, 11]]
+
+
 # 10 top-k
 
 
