@@ -12,7 +12,9 @@ density" (2011). Its text, block by block, is the page's.
 
 Elements that never hold an article (scripts, styles, forms, menus, asides, footers, and elements whose class, id or
 role names a menu, an advert, a notice or comments) are cut before the densities are taken; a header is cut unless an
-article or the page's main heading stands in it.
+article or the page's main heading stands in it, and what only its class or id speaks against stays if it holds the
+main heading, all of the page's articles or most of its text. If the content node lies in an article, it is widened to
+that, as headings and short paragraphs are sparse but belong to it; it is never narrowed.
 
 Edge cases: null, empty and blank html gives an empty text, as does a page without text; an unclosed or misnested tag is
 closed where its parent is; markup without a body counts as one; null and repeated ids keep their rows; an empty table
@@ -55,10 +57,10 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element: its tag, its children (nodes and strings in page order), and counts over all that is below it."""
 
-    __slots__ = ("tag", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut")
+    __slots__ = ("tag", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut", "named")
 
-    def __init__(self, tag: str, cut: bool = False):
-        self.tag, self.cut, self.children = tag, cut, []
+    def __init__(self, tag: str, cut: bool = False, named: bool = False):
+        self.tag, self.cut, self.named, self.children = tag, cut, named, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -74,11 +76,16 @@ def _is_cut(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and CUT_NAMES.search(value):
-            return True
     return False
 
 
+def _is_named(tag: str, attributes: str) -> bool:
+    """Whether the class or id names what is cut; less sure than ``_is_cut``."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    return any(name.lower() in ("class", "id") and CUT_NAMES.search(value.strip("\"'")) for name, value in ATTRIBUTE.findall(attributes))
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("html")
@@ -122,7 +129,7 @@ def parse(page: str) -> Node:
             close_to(SAME[tag], BOUND[tag])
         if tag == "body":
             close_to(("head",), ())
-        node = Node(tag, _is_cut(tag, m[3]))
+        node = Node(tag, _is_cut(tag, m[3]), _is_named(tag, m[3]))
         stack[-1].children.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
@@ -138,9 +145,22 @@ def _below(node: Node) -> Iterator[Node]:
 
 
 def _prune(root: Node) -> None:
-    """Take what is marked out of the tree; a header goes unless it holds an article or a main heading."""
+    """Take what is marked out of the tree; a header goes unless it holds an article or a main heading, and what is
+    only named so, unless it holds the main heading, all articles or most of the text."""
+    for n in list(_below(root)):
+        n.children = [c for c in n.children if not (isinstance(c, Node) and c.cut)]
+    if any(n.named for n in _below(root)):
+        size: dict[int, tuple[int, int, int]] = {}  # characters, articles and main headings below
+        for n in reversed(list(_below(root))):
+            own = [size[id(c)] if isinstance(c, Node) else (len("".join(c.split())), 0, 0) for c in n.children]
+            chars, articles, heads = (sum(x) for x in zip(*own)) if own else (0, 0, 0)
+            size[id(n)] = chars, articles + (n.tag in ("article", "main")), heads + (n.tag == "h1")
+        whole = size[id(root)]
+        kept = lambda x: 2 * x[0] > whole[0] or x[1] and x[1] == whole[1] or x[2]
+        for n in list(_below(root)):
+            n.children = [c for c in n.children if not (isinstance(c, Node) and c.named and not kept(size[id(c)]))]
     for n in list(_below(root)):
-        n.children = [c for c in n.children if not (isinstance(c, Node) and (c.cut or c.tag == "header" and not any(x.tag in ("article", "main", "h1") for x in _below(c))))]
+        n.children = [c for c in n.children if not (isinstance(c, Node) and c.tag == "header" and not any(x.tag in ("article", "main", "h1") for x in _below(c)))]
 
 
 def _measure(root: Node) -> list[Node]:
@@ -192,11 +212,13 @@ def content_nodes(root: Node) -> list[Node]:
     return [chosen]
 
 
-def _article(root: Node) -> Node | None:
-    """The page's one article or main element that holds most of its text, if it has such."""
-    marked = [n for n in _below(root) if n.tag in ("article", "main")]
-    marked = [n for n in marked if n.tag == "article"] or marked
-    return max(marked, key=lambda n: n.chars) if marked else None
+def _article(root: Node, node: Node) -> Node:
+    """The outermost article that holds a node, else the outermost main element, else the node."""
+    for tag in ("article", "main"):
+        for n in _below(root):
+            if n.tag == tag and any(x is node for x in _below(n)):
+                return n
+    return node
 
 
 def text_of(node: Node) -> str:
@@ -233,12 +255,7 @@ def extract(page: str | None) -> str:
         return ""
     root = parse(page)
     _prune(root)
-    chosen = content_nodes(root)[0]
-    # A content node within the article is widened to it: headings and short paragraphs are sparse but belong to it.
-    article = _article(root)
-    if article and article.chars and (any(n is chosen for n in _below(article)) or any(n is article for n in _below(chosen))):
-        chosen = article
-    return text_of(chosen)
+    return text_of(_article(root, content_nodes(root)[0]))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

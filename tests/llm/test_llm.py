@@ -111,6 +111,15 @@ def test_html_without_article_takes_the_densest_part():
     assert html_extraction.extract(page) == " ".join([text] * 3)
 
 
+def test_html_article_does_not_narrow_what_density_chose():
+    text = " ".join(["Long sentences of prose fill this paragraph."] * 5)
+    story = f"<div><p>{text}</p><p>{text}</p><article><p>A small card.</p></article><p>{text}</p></div>"
+    assert html_extraction.extract(f"<body><div><a href=1>a</a></div>{story}<div><a href=4>d</a></div></body>") == " ".join([text, text, "A small card.", text])
+    named = f"<body><div class='side menu'><a href=1>a</a></div><div class='social'><article><h1>Head</h1><p>{text}</p></article></div><div class='comments'>One more reader</div></body>"
+    assert html_extraction.extract(named) == f"Head {text}"
+    assert html_extraction.extract(f"<body><div id='related'><p>{text}</p><p>{text}</p></div><p>x</p></body>") == " ".join([text] * 2)
+
+
 def test_html_odd_inputs(spark):
     odd = [None, "", "  ", "plain words", "<p>", "<p>a<div>b</p>c", "<" * 50, "&#x41;&#66; &nbsp; c", "<div>" * 3000 + "deep" + "</div>" * 10]
     rows = spark.createDataFrame([(i, None, p, 1) for i, p in enumerate(odd)], "page_id bigint, url string, html string, text int")
