@@ -7,7 +7,8 @@ maxima only, so a step touches few rows of the tables. Scores are put on the sca
 a part of the sample that training does not see, with the classes weighted as they stand among the labels.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` documents of each class, chosen by hash,
-and at most ``SAMPLE_WORDS`` words of whole documents in all. All else, scores and counts, covers every row and all of
+one text an id (its longest), and at most ``SAMPLE_WORDS`` words of whole documents, half of them for each class. Only
+texts of more than ``DOC_WORDS`` words take no part, so a class has room for a hundred documents at least. All else, scores and counts, covers every row and all of
 its text. Labels are learned only from rows with crc32(doc_id as text) % 3 <> 1; a language or source is never an input of
 a score. The threshold of a language decides only what is rejected.
 
@@ -35,6 +36,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 SAMPLE = 2500
 SAMPLE_WORDS = 4_000_000
+DOC_WORDS = 20_000  # words of a document to learn from; longer ones are scored like all others
 EPOCHS = 8
 BATCH = 32
 CUTOFF = 0.7
@@ -208,14 +210,18 @@ def train(docs: DataFrame, labels: DataFrame) -> TextCnn:
                 words, stems, edges = word_ids(texts[start:stop])
                 packed = [np.stack([words[edges[i] : edges[i + 1]], stems[edges[i] : edges[i + 1]]]).tobytes() for i in range(stop - start)]
                 part = b.slice(start, stop - start)
-                sizes = pa.array(np.diff(edges), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), sizes, pa.array(packed, pa.binary())], names=["doc_id", "lang", "toxic", "n", "ids"])
+                sizes = np.diff(edges)
+                made = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "lang", "toxic", "n", "ids"])
+                yield made.filter(pa.array(sizes <= DOC_WORDS))
 
     bound_batches(docs.sparkSession)
     chosen, share = sample(docs, labels)
     coded = chosen.mapInArrow(run, "doc_id bigint, lang string, toxic int, n bigint, ids binary")
-    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = coded.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_WORDS).select("lang", "toxic", "ids").collect()
+    # One row for each id, so at most SAMPLE of a class.
+    single = coded.groupBy("doc_id", "toxic").agg(F.max(F.struct("n", "ids", "lang")).alias("m")).select("doc_id", F.xxhash64("doc_id").alias("place"), "toxic", "m.*")
+    so_far = F.sum("n").over(Window.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = single.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_WORDS // 2).select("place", "doc_id", "lang", "toxic", "ids").collect()
+    rows.sort(key=lambda r: (r.place, r.doc_id))
     model, toxic = TextCnn.new(), np.array([r.toxic for r in rows], dtype=np.int64)
     if min((toxic == 1).sum(), (toxic == 0).sum()) < 2:
         model.constant = share

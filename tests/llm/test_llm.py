@@ -196,6 +196,18 @@ def test_toxicity_odd_inputs(spark):
     assert len(toxicity.classify(docs, labels.where("false")).collect()) == 200
 
 
+def test_toxicity_of_long_and_repeated_documents(spark, monkeypatch):
+    """A text that is too long, and an id of very many rows, leave the rest of the sample as it is."""
+    docs, labels = labelled(spark)
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 400_000)
+    ids = [r.doc_id for r in labels.where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(2).collect()]
+    more = docs_of(spark, ["w1 " * 450_000, *["w2 " * 2000] * 300, None], [ids[0], *[ids[1]] * 301])
+    model = toxicity.train(docs.where(~F.col("doc_id").isin(ids)).unionByName(more), labels)
+    assert model.constant is None
+    rows = toxicity.score(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert sum((r.score >= 0.7) == r.toxic for r in rows) / len(rows) > 0.95
+
+
 # 5 sharding
 
 
