@@ -5,7 +5,8 @@
 2. The items' seeds set bits of a filter of fixed size, which every task gets. A document's seeds that pass it go to an
    equi-join with the items' seeds, and only these: what is shuffled grows with what documents share with the benchmark.
    Copies of an item are one class there.
-3. A pair whose seeds could not cover enough of the item even if none overlapped is dropped. For the others the runs of
+3. A pair whose seeds, each as often as it stands in the item, could not cover enough of it even if none overlapped is
+   dropped. For the others the runs of
    the document that lie under shared seeds are tiled: for match lengths from the longest possible down, Karp-Rabin
    hashes of unmarked runs of the item are looked up among those of the document, matches are grown, and the longest
    ones that overlap no tile are marked, until none of ``SEED`` words is left. Every tile lies under seeds, so the
@@ -98,9 +99,10 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         words, edges = word_hashes(b.column(1).to_pylist(), MARKS)
         own = [words[edges[i] : edges[i + 1]] for i in range(b.num_rows)]
-        seeds = [np.unique(window_hashes(w, _seed_length(len(w), SEED))).view(np.int64) if len(w) else np.empty(0, np.int64) for w in own]
+        found = [np.unique(window_hashes(w, _seed_length(len(w), SEED)), return_counts=True) for w in own]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([w.view(np.int64) for w in own], pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.int64()))], names=["item_id", "words", "seeds"]
+            [b.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in ([w.view(np.int64) for w in own], [s.view(np.int64) for s, _ in found], [n for _, n in found]))],
+            names=["item_id", "words", "seeds", "times"],
         )
 
 
@@ -133,10 +135,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bound_batches(spark)
     scratch = Scratch(spark, "decontamination")
     columns = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    items = scratch.store(columns.mapInArrow(_items, "item_id bigint, words array<bigint>, seeds array<bigint>").where("size(words) > 0"), "items")
+    items = scratch.store(columns.mapInArrow(_items, "item_id bigint, words array<bigint>, seeds array<bigint>, times array<bigint>").where("size(words) > 0"), "items")
     # Items of the same words are one class, named by its least item_id.
-    classes = items.groupBy("words").agg(F.min("item_id").alias("class_id"), F.first("seeds").alias("seeds"))
-    seeds = scratch.store(classes.select("class_id", F.size("words").alias("item_words"), F.explode("seeds").alias("seed")), "seeds")
+    classes = items.groupBy("words").agg(F.min("item_id").alias("class_id"), F.first(F.arrays_zip("seeds", "times")).alias("seeds"))
+    seeds = scratch.store(classes.select("class_id", F.size("words").alias("item_words"), F.explode("seeds").alias("s")).select("class_id", "item_words", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")), "seeds")
 
     # A bit for each value of a seed's first bits: at most 2**FILTER_BITS bits, here 2 MB, however many items there are.
     word = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
@@ -171,7 +173,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     probed = texts.mapInArrow(probe, "doc_id bigint, runs array<array<bigint>>, seeds array<bigint>")
     probed = scratch.store(probed.withColumn("row", F.monotonically_increasing_id()), "probed")
-    shared = probed.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("row", "class_id").agg(F.count("*").alias("n"), F.max("item_words").alias("item_words"))
+    shared = probed.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("row", "class_id").agg(F.sum("times").alias("n"), F.max("item_words").alias("item_words"))
     likely = shared.where(F.col("n") * SEED >= COVERAGE * F.col("item_words")).select("row", "class_id")
     words = classes.select("class_id", F.col("words"))
     pairs = likely.join(probed.select("row", "doc_id", "runs"), "row").join(words, "class_id").select("doc_id", F.col("class_id").alias("item_id"), "runs", "words")

@@ -88,6 +88,14 @@ def test_leaks_odd_inputs(spark):
     assert decontamination.keep_clean(rows, benchmark).count() == rows.count() - 1
 
 
+def test_leaks_find_items_that_repeat_themselves(spark):
+    rng = random.Random(15)
+    item = " ".join(["a b c d e"] * 12)
+    benchmark = spark.createDataFrame([(1, item), (2, prose(rng, 60, 5000))], "item_id bigint, text string")
+    found = decontamination.leaks(docs_of(spark, [f"{prose(rng, 40, 5000)} {item} {prose(rng, 40, 5000)}", prose(rng, 90, 5000)]), benchmark).collect()
+    assert [(r.doc_id, r.item_id, r.coverage) for r in found] == [(0, 1, 1.0)]
+
+
 # 2 html
 
 
