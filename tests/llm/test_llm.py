@@ -484,6 +484,26 @@ def test_topk_matches_brute_force(spark, monkeypatch):
     assert topk_search.top_k(rows.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_groups_are_bounded_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "GROUP", 50)
+    rng, sizes = random.Random(16), spark.sparkContext.accumulator(0)
+    ids = [2**60, *range(100), *[7] * 150]
+    vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in ids]
+    search = topk_search._search
+
+    def counted(key, queries, candidates, k):
+        sizes.add(len(candidates) > 50)
+        return search(key, queries, candidates, k)
+
+    monkeypatch.setattr(topk_search, "_search", counted)
+    rows = spark.createDataFrame(list(zip(ids, vectors)), "vec_id bigint, embedding array<float>")
+    got = {(r.rank, r.vec_id, r.score) for r in topk_search.top_k(rows, F.col("vec_id") == 20).collect()}
+    whole = [[math.floor(64 * float(np.float32(x))) for x in v] for v in vectors]
+    best = sorted((-sum(a * b for a, b in zip(whole[1 + 20], v)), i) for i, v in zip(ids, whole) if i != 20)[:20]
+    assert got == {(k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert sizes.value == 0
+
+
 # Pipeline
 
 
