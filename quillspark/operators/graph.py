@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from quillspark.operators.skew import lookup
 from quillspark.plans.scratch import Scratch
 
 
@@ -14,34 +15,41 @@ def connected_components(edges: DataFrame) -> DataFrame:
     meet their root, and edges are drawn anew between roots. A root that stays has taken in a neighbour after two rounds
     at most, so their number halves at least every two rounds, whatever the order of the ids; pointers lead to smaller
     ids, so there is no circle. Rounds end when no edge is left. What a round writes is as large as the graph it meets.
+    Hubs are joined apart (``skew``), so no node's edges meet in one task.
     Null ends are ignored, loops and repeated edges are harmless, an empty table gives an empty result.
     """
     scratch = Scratch(edges.sparkSession, "components")
     pairs = edges.select("src", "dst").where("src is not null and dst is not null")
     live = scratch.store(pairs.union(pairs.select("dst", "src")).distinct(), "edges0")
     forests: list[DataFrame] = []
-    while not forests or not live.isEmpty():
+    n = live.count()
+    while not forests or n:
         step = len(forests)
         forest = _to_roots(live.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("parent")), scratch, step)
         forests.append(forest)
-        one = live.where("src < dst").join(forest.select(F.col("node").alias("src"), F.col("parent").alias("a")), "src").select("dst", "a")
-        two = one.join(forest.select(F.col("node").alias("dst"), F.col("parent").alias("b")), "dst").where("a <> b")
-        live = scratch.store(two.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*").distinct(), f"edges{step + 1}")
+        once, n = live.where("src < dst"), n // 2
+        one = lookup(once, forest.select(F.col("node").alias("src"), F.col("parent").alias("a")), "src", n).select("dst", "a")
+        two = lookup(one, forest.select(F.col("node").alias("dst"), F.col("parent").alias("b")), "dst", n).where("a <> b")
+        both = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+        live = scratch.store(two.select(F.explode(both).alias("e")).select("e.*").distinct(), f"edges{step + 1}")
+        n = live.count()
         scratch.drop(f"edges{step}")
     # Each round's roots are nodes of the next one, or final.
     labels = forests.pop()
     while forests:
         beyond = labels.select(F.col("node").alias("parent"), F.col("parent").alias("beyond"))
-        labels = scratch.store(forests.pop().join(beyond, "parent", "left").select("node", F.coalesce("beyond", "parent").alias("parent")), f"labels{len(forests)}")
+        below = forests.pop()
+        labels = scratch.store(lookup(below, beyond, "parent", below.count(), "left").select("node", F.coalesce("beyond", "parent").alias("parent")), f"labels{len(forests)}")
     return labels.select("node", F.col("parent").alias("component"))
 
 
 def _to_roots(forest: DataFrame, scratch: Scratch, step: int) -> DataFrame:
     """(node, parent) with each node's root as its parent; each pass halves what is left of the way."""
     forest, at = scratch.store(forest, f"forest{step}_0"), 0
+    n = forest.count()
     while True:
         beyond = forest.where("node <> parent").select(F.col("node").alias("parent"), F.col("parent").alias("beyond"))
-        found = forest.join(beyond, "parent", "left").select("node", F.coalesce("beyond", "parent").alias("parent"), F.col("beyond").isNotNull().alias("moved"))
+        found = lookup(forest, beyond, "parent", n, "left").select("node", F.coalesce("beyond", "parent").alias("parent"), F.col("beyond").isNotNull().alias("moved"))
         found = scratch.store(found, f"forest{step}_{at + 1}")
         scratch.drop(f"forest{step}_{at}")
         forest, at = found.select("node", "parent"), at + 1
