@@ -8,13 +8,14 @@
 3. A pair is compared batch by batch of its sketches. With a uniform prior, m matches among n give a Beta posterior;
    the pair is dropped as soon as the posterior chance of reaching the threshold falls below ``MISS``. Survivors are
    confirmed on their full shingle sets, and links are joined to components.
-4. Only buckets that still hold several components go on. Their members are compared with each other in cells of
-   bounded size, again first by sketches. A cell with few surviving pairs gives these; a cell with more of them than
+4. Only buckets that still hold several components go on. Members of the bucket's largest component meet all others
+   there, and these meet each other, in cells bounded by members and by shingles, again first by sketches. A cell with
+   few surviving pairs gives these; a cell with more of them than
    ``SPARSE`` a member (a large group of copies that are unlike each other) gives its members, which are then compared
    within the cell by full sets. Either way a pair is confirmed exactly, and only pairs of different components count.
 
-Texts are read again only for documents in surviving pairs. They are found by a semi-join on a hash of the id with at
-most ``FILTER`` values, small enough to be broadcast whatever the input, before the exact join.
+Texts are read again only for documents in surviving pairs, which a Bloom filter of bounded size finds before the exact
+join. Hot keys (the buckets and the leader of a very large group) are told apart by their counts and never meet in one task.
 
 With 32 bands of 4 rows two texts at similarity 0.75 share no bucket with probability 5e-6.
 
@@ -34,8 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.llm.arrow import bound_batches, groups, longs, slices
+from quillspark.llm.bloom import may_hold
 from quillspark.llm.shingle_hash import mix, shingle_set, word_hashes
 from quillspark.operators.graph import connected_components
+from quillspark.operators.skew import least_hot, lookup, salted
 from quillspark.plans.scratch import Scratch
 
 WORDS = 5
@@ -45,8 +48,9 @@ HASHES = BANDS * ROWS
 BATCH = 32  # signature values compared at a time
 MISS = 1e-9  # chance at which a pair that reaches the threshold may be pruned
 CELL = 1024  # members of a bucket that one task compares with as many others
+CELL_SHINGLES = 1 << 20  # about so many shingles of such members at most
 SPARSE = 4  # surviving pairs a member up to which a cell gives pairs
-FILTER = 1 << 20  # values of the id hash that a broadcast filter holds at most
+LARGEST = 1 << 30  # added to a part's number for members of a bucket's largest component
 PAIR = "src bigint, dst bigint"
 
 
@@ -176,7 +180,8 @@ def _both_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """(src, dst, value of src, value of dst)."""
     one = values.select(F.col("doc_id").alias("src"), F.col(column).alias("_a"))
     two = values.select(F.col("doc_id").alias("dst"), F.col(column).alias("_b"))
-    return pairs.join(two, "dst").join(one, "src").select("src", "dst", "_a", "_b")
+    # A leader is the source of all pairs of its buckets; they are counted before values are joined to them.
+    return salted(pairs, one, "src", pairs.count(), "dst").join(two, "dst").select("src", "dst", "_a", "_b")
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -249,6 +254,35 @@ def _dealt(members: DataFrame) -> DataFrame:
     return members.repartition("key", "cell").sortWithinPartitions("key", "cell")
 
 
+def _in_buckets(bands: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
+    """The rows of ``bands`` whose bucket has several members, with its leader; hot buckets are a bounded broadcast."""
+    least = least_hot(total)
+    hot = F.broadcast(buckets.where(F.col("n") >= least))
+    cold = bands.join(hot.select("key"), "key", "left_anti").join(buckets.where(F.col("n") < least), "key")
+    return bands.join(hot, "key").unionByName(cold)
+
+
+def _dealt_to_cells(labelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, cell, part, doc_id, comp): each member of a mixed bucket once for each cell that it is compared in."""
+    shares = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    mixed = shares.groupBy("key").agg(F.max(F.struct("n", "size", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("comps")).where("comps > 1")
+
+    def parts(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / CELL), F.ceil(size / CELL_SHINGLES)).cast("bigint")
+
+    ours, others = parts(F.col("top.n"), F.col("top.size")), parts(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size"))
+    mixed = scratch.store(mixed.select("key", F.col("top.comp").alias("largest"), ours.alias("ours"), others.alias("others")), "mixed")
+    rows = lookup(labelled, mixed, "key", labelled.count())
+    in_largest = F.col("comp") == F.col("largest")
+    part = F.pmod(F.xxhash64("doc_id"), F.when(in_largest, F.col("ours")).otherwise(F.col("others"))) + F.when(in_largest, LARGEST).otherwise(0)
+    rows = rows.select("key", "doc_id", "comp", "ours", "others", in_largest.alias("in_largest"), part.cast("bigint").alias("part"))
+    all_others = F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1)
+    all_ours = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("ours") - 1), lambda o: o + LARGEST)
+    met = F.when(F.col("in_largest"), all_others).otherwise(F.concat(all_others, all_ours))
+    cell = F.explode(F.transform(met, lambda o: F.shiftleft(F.least(o, F.col("part")), 32) + F.greatest(o, F.col("part"))))
+    return rows.select("key", "doc_id", "comp", "part", cell.alias("cell"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``; kept rows are the least of their component."""
     spark = docs.sparkSession
@@ -257,27 +291,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = scratch.store(signatures(docs), "signed")
     sets = ["n_shingles", "set_a", "set_b"]
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("doc_id"))
-    nodes = signed.join(classes, [*sets, "doc_id"], "left_semi").dropDuplicates([*sets, "doc_id"]).select("doc_id", "sketch", "high")
+    nodes = signed.join(classes, [*sets, "doc_id"], "left_semi").dropDuplicates([*sets, "doc_id"]).select("doc_id", "n_shingles", "sketch", "high")
     nodes = scratch.store(nodes, "nodes")
     signed = scratch.store(signed.select("doc_id", *sets), "sets")
     scratch.drop("signed")
 
-    bands = nodes.select("doc_id", F.explode(band_keys()).alias("key"))
-    buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
-    members = scratch.store(bands.join(buckets, "key"), "members")
+    bands = nodes.select("doc_id", "n_shingles", F.explode(band_keys()).alias("key"))
+    total = nodes.count() * BANDS
+    buckets = scratch.store(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1"), "buckets")
+    members = scratch.store(_in_buckets(bands, buckets, total), "members")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketches = nodes.select("doc_id", "sketch")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
         """The texts of some documents."""
-        wanted = ids.distinct()
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("place")
-        likely = texts.withColumn("place", place).join(F.broadcast(wanted.select(place).distinct()), "place", "left_semi")
-        return likely.drop("place").join(wanted, "doc_id", "left_semi")
+        wanted = scratch.store(ids.distinct(), f"wanted-{name}")
+        return texts.where(may_hold(wanted, F.col("doc_id"))).join(wanted, "doc_id", "left_semi")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the likely pairs that are links."""
-        known = scratch.store(texts_of(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id"))), "known")
+        known = scratch.store(texts_of(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")), name), "known")
         links = scratch.store(_both_sides(pairs, known, "text").mapInArrow(_confirm, PAIR), name)
         scratch.drop("known")
         return links
@@ -288,13 +321,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = scratch.store(connected_components(links), "labels")
 
     # Buckets that hold several components still; cells of at most CELL members from each of two parts of a bucket.
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
+    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
     labelled = scratch.store(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    parts = F.ceil(F.col("n") / CELL).cast("bigint")
-    rest = labelled.join(mixed, "key").select("key", "doc_id", "comp", parts.alias("parts"), F.pmod(F.xxhash64("doc_id"), parts).alias("part"))
-    cell = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda o: F.shiftleft(F.least(o, F.col("part")), 32) + F.greatest(o, F.col("part"))))
-    rest = rest.select("key", "doc_id", "comp", "part", cell.alias("cell"))
+    rest = _dealt_to_cells(labelled, scratch)
     schema = "key bigint, cell bigint, part bigint, doc_id bigint, comp bigint, other bigint"
     left = scratch.store(_dealt(rest.join(sketches, "doc_id")).mapInArrow(_prune_cells, schema), "left")
     scratch.drop("members", "labelled", "nodes")
@@ -302,7 +331,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = scratch.store(pairs.join(tried, ["src", "dst"], "left_anti"), "pairs")
     few = confirmed(pairs, "few")
     dense = left.where("other is null").drop("other")
-    dense_texts = texts_of(dense.select("doc_id"))
+    dense_texts = texts_of(dense.select("doc_id"), "dense")
     many = scratch.store(_dealt(dense.join(dense_texts, "doc_id")).mapInArrow(_link_cells, PAIR), "many")
     scratch.drop("left", "pairs", "tried", "likely")
 
@@ -318,11 +347,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = signed.select("doc_id", *sets).join(found, sets, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     out = scratch.store(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
-    scratch.drop("sets", "links", "labels", "few", "many", "shared")
+    scratch.drop("sets", "buckets", "mixed", "links", "labels", "few", "many", "shared", *[f"wanted-{x}" for x in ("links", "few", "dense")])
     return out
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; rows that share an id stay or go together."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    """The rows of ``docs`` that are kept, with their columns; rows that share an id stay or go together.
+
+    Rows that the Bloom filter of the dropped ids does not hold stay as they are; only the others are shuffled.
+    """
+    dropped = Scratch(docs.sparkSession, "dropped").store(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(), "ids")
+    likely = may_hold(dropped, docs["doc_id"].cast("bigint"))
+    return docs.where(~likely).unionByName(docs.where(likely).join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti"))
