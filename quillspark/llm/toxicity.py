@@ -3,8 +3,11 @@
 A word's vector is the sum of two hashed embeddings: of the whole word and of its first four bytes, so that rare forms of
 a stem share what is known of it. Filters of width 1, 2 and 3 run over the whole text; each is rectified and its
 largest value taken over all positions; a logistic layer scores these maxima. Gradients flow to the positions of the
-maxima only, so a step touches few rows of the tables. Scores are put on the scale of probabilities by a logistic fit on
-a part of the sample that training does not see, with the classes weighted as they stand among the labels.
+maxima only, so a step touches few rows of the tables. The sample is dealt to ``FOLDS`` parts; each member of the classifier is
+fitted, in a task of its own, on all parts but one, and a document's score is that of the members' mean. Every row of the sample has a score
+of the member that has not seen it. On these a logistic fit, with the classes weighted as they stand among the labels,
+gives the scale, moved so that 0.7 (``CUTOFF``) is the cut of the best F1. Each language's own cut is taken in the same way and drawn to
+the common one with the weight of ``PRIOR`` rows, so that a language of few labelled rows stays near it.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` documents of each class, chosen by hash,
 one text an id (its longest), and at most ``SAMPLE_WORDS`` words of whole documents, half of them for each class. Only
@@ -19,6 +22,7 @@ if there are none); an empty table gives an empty result; further columns are ig
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.llm.arrow import bound_batches, slices
 from quillspark.llm.shingle_hash import MARKS, Words
+from quillspark.plans.scratch import Scratch
 
 BUCKETS = 1 << 15
 STEM_BYTES = 4
@@ -40,7 +45,8 @@ DOC_WORDS = 20_000  # words of a document to learn from; longer ones are scored
 EPOCHS = 8
 BATCH = 32
 CUTOFF = 0.7
-LEAST_BY_LANGUAGE = 25  # calibration rows of each class for a threshold of a language's own
+FOLDS = 4
+PRIOR = 25  # rows of the rarer class that weigh as much for a language's cut as the common one does
 SCORES = "doc_id bigint, lang string, score double"
 
 
@@ -57,7 +63,7 @@ def word_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 @dataclass
 class TextCnn:
-    """Hashed embeddings, filters, and a logistic layer with its scale."""
+    """Hashed embeddings, filters, and a logistic layer."""
 
     words: np.ndarray
     stems: np.ndarray
@@ -65,9 +71,6 @@ class TextCnn:
     bias: np.ndarray  # of all filters
     weights: np.ndarray
     offset: float = 0.0
-    scale: tuple[float, float] = (1.0, 0.0)
-    constant: float | None = None
-    thresholds: dict[str, float] = field(default_factory=dict)
 
     @classmethod
     def new(cls, seed: int = 5) -> TextCnn:
@@ -109,14 +112,6 @@ class TextCnn:
     def raw(self, words: np.ndarray, stems: np.ndarray, edges: np.ndarray) -> np.ndarray:
         return self.maxima(words, stems, edges)[0] @ self.weights + self.offset
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(texts), self.constant)
-        return _sigmoid(self.raw(*word_ids(texts)).astype(float) * self.scale[0] + self.scale[1])
-
-    def threshold(self, lang: str | None) -> float:
-        return self.thresholds.get(lang or "", CUTOFF)
-
     def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, epochs: int = EPOCHS, rate: float = 0.08, seed: int = 6) -> None:
         """Adagrad on the logistic loss, each class with half of the weight."""
         rng = np.random.default_rng(seed)
@@ -160,6 +155,30 @@ class TextCnn:
                 self.offset -= rate * float(error.sum()) / offset_sum**0.5
 
 
+@dataclass
+class Classifier:
+    """The members' mean on the common scale, and the languages' thresholds."""
+
+    members: list[TextCnn] = field(default_factory=list)
+    scale: tuple[float, float] = (1.0, 0.0)
+    constant: float | None = None
+    thresholds: dict[str, float] = field(default_factory=dict)
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
+        coded = word_ids(texts)
+        raw = sum(m.raw(*coded).astype(float) for m in self.members) / len(self.members)
+        return _sigmoid(raw * self.scale[0] + self.scale[1])
+
+    def threshold(self, lang: str | None) -> float:
+        return self.thresholds.get(lang or "", CUTOFF)
+
+
+def _logit(p: float) -> float:
+    return float(np.log(p / (1 - p)))
+
+
 def _platt(raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic fit; targets are drawn in a little, so that separable scores stay finite."""
     ones, zeros = (toxic == 1).sum(), (toxic == 0).sum()
@@ -176,14 +195,49 @@ def _platt(raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[floa
 
 
 def _cut(scores: np.ndarray, toxic: np.ndarray) -> float:
-    """The threshold of the best F1, in the middle of the gap where it lies; between 0.3 and 0.9."""
+    """The threshold of the best F1, in the middle of the gap where it lies."""
     order = np.argsort(-scores, kind="stable")
     s, hits = scores[order], np.cumsum(toxic[order])
     f1 = 2 * hits / (np.arange(1, len(s) + 1) + toxic.sum())
     f1[:-1][s[:-1] == s[1:]] = -1  # no cut within equal scores
     best = int(f1.argmax())
-    low = s[best + 1] if best + 1 < len(s) else 0.0
-    return float(np.clip((s[best] + low) / 2, 0.3, 0.9))
+    low = s[best + 1] if best + 1 < len(s) else s[best] / 2
+    return float((s[best] + low) / 2)
+
+
+Coded = list[tuple[np.ndarray, np.ndarray]]  # by document, its words and its stems
+
+
+def deal(toxic: np.ndarray) -> np.ndarray:
+    """The part of each row; both classes are dealt evenly."""
+    fold = np.zeros(len(toxic), dtype=np.int64)
+    for c in (0, 1):
+        fold[toxic == c] = np.arange((toxic == c).sum()) % min(FOLDS, (toxic == 1).sum(), (toxic == 0).sum())
+    return fold
+
+
+def fit_member(coded: Coded, toxic: np.ndarray, fold: np.ndarray, k: int) -> tuple[TextCnn, np.ndarray]:
+    """A member fitted on all parts but one, and its raw scores of that one's rows."""
+    member, seen, apart = TextCnn.new(5 + k), np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+    member.fit([coded[i] for i in seen], toxic[seen], seed=6 + k)
+    words, stems = (np.concatenate([coded[i][s] for i in apart]) for s in (0, 1))
+    return member, member.raw(words, stems, np.concatenate([[0], np.cumsum([len(coded[i][0]) for i in apart])])).astype(float)
+
+
+def calibrate(members: list[TextCnn], raw: np.ndarray, toxic: np.ndarray, langs: np.ndarray, share: float) -> Classifier:
+    """Scale and thresholds from each row's score by the member that has not seen it."""
+    model = Classifier(members)
+    weight = np.where(toxic == 1, share / max(1, toxic.sum()), (1 - share) / max(1, (1 - toxic).sum())) * len(toxic)
+    slope, offset = _platt(raw, toxic, weight)
+    offset += _logit(CUTOFF) - _logit(_cut(_sigmoid(raw * slope + offset), toxic))
+    model.scale = slope, offset
+    scores = _sigmoid(raw * slope + offset)
+    for lang in sorted(set(langs.tolist())):
+        own = langs == lang
+        n = min(toxic[own].sum(), (1 - toxic[own]).sum())
+        if n:  # without rows of both classes there is no cut of its own, and the weight is all on the common one
+            model.thresholds[lang] = float(_sigmoid((n * _logit(_cut(scores[own], toxic[own])) + PRIOR * _logit(CUTOFF)) / (n + PRIOR)))
+    return model
 
 
 def held_out(doc_id: Column) -> Column:
@@ -200,7 +254,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     return docs.select("doc_id", "lang", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id"), float(share)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> TextCnn:
+def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Fit the classifier and its thresholds on the bounded sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,37 +271,36 @@ def train(docs: DataFrame, labels: DataFrame) -> TextCnn:
     bound_batches(docs.sparkSession)
     chosen, share = sample(docs, labels)
     coded = chosen.mapInArrow(run, "doc_id bigint, lang string, toxic int, n bigint, ids binary")
-    # One row for each id, so at most SAMPLE of a class.
+    # One row for each id, so at most SAMPLE of a class; the words are summed without the texts' ids.
+    scratch = Scratch(docs.sparkSession, "toxicity")
     single = coded.groupBy("doc_id", "toxic").agg(F.max(F.struct("n", "ids", "lang")).alias("m")).select("doc_id", F.xxhash64("doc_id").alias("place"), "toxic", "m.*")
+    single = scratch.store(single, "sample")
     so_far = F.sum("n").over(Window.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = single.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_WORDS // 2).select("place", "doc_id", "lang", "toxic", "ids").collect()
+    kept = single.select("doc_id", "toxic", "place", "n").withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_WORDS // 2).select("doc_id")
+    rows = single.join(F.broadcast(kept), "doc_id", "left_semi").select("place", "doc_id", "lang", "toxic", "ids").collect()
+    scratch.close()
     rows.sort(key=lambda r: (r.place, r.doc_id))
-    model, toxic = TextCnn.new(), np.array([r.toxic for r in rows], dtype=np.int64)
+    toxic = np.array([r.toxic for r in rows], dtype=np.int64)
     if min((toxic == 1).sum(), (toxic == 0).sum()) < 2:
-        model.constant = share
-        return model
-    docs_ids = [tuple(np.frombuffer(r.ids, dtype=np.int32).reshape(2, -1)) for r in rows]
-    # Every fifth row of each class, in order of hash, is kept for calibration.
-    rank = np.zeros(len(rows), dtype=np.int64)
-    for c in (0, 1):
-        rank[toxic == c] = np.arange((toxic == c).sum())
-    fitted, held = np.flatnonzero(rank % 5 != 0), np.flatnonzero(rank % 5 == 0)
-    model.fit([docs_ids[i] for i in fitted], toxic[fitted])
-    words, stems = (np.concatenate([docs_ids[i][s] for i in held]) for s in (0, 1))
-    raw = model.raw(words, stems, np.concatenate([[0], np.cumsum([len(docs_ids[i][0]) for i in held])])).astype(float)
-    truth = toxic[held]
-    weight = np.where(truth == 1, share / max(1, truth.sum()), (1 - share) / max(1, (1 - truth).sum())) * len(held)
-    model.scale = _platt(raw, truth, weight)
-    scores = _sigmoid(raw * model.scale[0] + model.scale[1])
-    langs = np.array([rows[i].lang or "" for i in held])
-    for lang in sorted(set(langs.tolist())):
-        own = langs == lang
-        if min(truth[own].sum(), (1 - truth[own]).sum()) >= LEAST_BY_LANGUAGE:
-            model.thresholds[lang] = _cut(scores[own], truth[own])
-    return model
+        return Classifier(constant=share)
+    own = [tuple(np.frombuffer(r.ids, dtype=np.int32).reshape(2, -1)) for r in rows]
+    fold, spark = deal(toxic), docs.sparkSession
+    shared = spark.sparkContext.broadcast((own, toxic, fold))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k in (k for b in batches for k in b.column(0).to_pylist()):
+            yield pa.RecordBatch.from_pydict({"fold": [k], "member": [pickle.dumps(fit_member(*shared.value, k))]})
+
+    folds = int(fold.max()) + 1
+    fitted = spark.range(0, folds, 1, folds).mapInArrow(fit, "fold bigint, member binary").collect()
+    raw, members = np.zeros(len(toxic)), []
+    for r in sorted(fitted, key=lambda r: r.fold):
+        member, raw[fold == r.fold] = pickle.loads(r.member)
+        members.append(member)
+    return calibrate(members, raw, toxic, np.array([r.lang or "" for r in rows]), share)
 
 
-def score(docs: DataFrame, model: TextCnn) -> DataFrame:
+def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """The rows' (doc_id, lang, score); the model, a few megabytes whatever the corpus, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -262,7 +315,7 @@ def score(docs: DataFrame, model: TextCnn) -> DataFrame:
     return columns.mapInArrow(run, SCORES)
 
 
-def thresholds(model: TextCnn, lang: Column) -> Column:
+def thresholds(model: Classifier, lang: Column) -> Column:
     """The threshold of a row's language."""
     out = F.lit(CUTOFF)
     for name, value in sorted(model.thresholds.items()):
