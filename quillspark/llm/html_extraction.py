@@ -14,7 +14,8 @@ Elements that never hold an article (scripts, styles, forms, menus, asides, foot
 role names a menu, an advert, a notice or comments) are cut before the densities are taken; a header is cut unless an
 article or the page's main heading stands in it, and what only its class or id speaks against stays if it holds the
 main heading, all of the page's articles or most of its text. If the content node lies in an article, it is widened to
-that, as headings and short paragraphs are sparse but belong to it; it is never narrowed.
+that, as headings and short paragraphs are sparse but belong to it; if it is a text block (a paragraph whose words are all
+in bold is denser within than its container), to the container around it. It is never narrowed.
 
 Edge cases: null, empty and blank html gives an empty text, as does a page without text; an unclosed or misnested tag is
 closed where its parent is; markup without a body counts as one; null and repeated ids keep their rows; an empty table
@@ -33,8 +34,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.arrow import bound_batches
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+# An attribute's value is quoted, or ends at white space or the tag's end; so does one whose quote is never closed.
+# All repetitions are possessive: a tag is read once from left to right.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+_ATTRIBUTE = rf"=?[^\s/>=]++(?:\s*+=\s*+{_VALUE})?+"
+BEGIN = re.compile(r"<(?=[A-Za-z!?]|/[A-Za-z])")
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE}|=)*+)>", re.S)
+ATTRIBUTE = re.compile(rf"(?:(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+({_VALUE}))?+(?=[\s/]|\Z))|{_ATTRIBUTE}", re.I)
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math canvas object select".split())
@@ -44,7 +50,8 @@ BLOCK = frozenset(
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BOUND = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
-CUT = frozenset("nav footer aside form button menu dialog head".split())
+CONTAINERS = frozenset("article main section div td body html".split())
+CUT = frozenset("nav footer aside button menu dialog head".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CUT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|promo\w*|sponsor\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget\w*|footer|foot|cookies?|consent|gdpr|notice|popup|modal|"
@@ -65,13 +72,20 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _attributes(text: str) -> Iterator[tuple[str, str]]:
+    """Names and values of the attributes that matter here."""
+    for m in ATTRIBUTE.finditer(text):
+        if m[1]:
+            yield m[1].lower(), (m[2] or "").strip("\"'")
+
+
 def _is_cut(tag: str, attributes: str) -> bool:
+    """Whether an element never holds an article."""
     if tag in CUT:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in _attributes(attributes):
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in CUT_ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -80,31 +94,46 @@ def _is_cut(tag: str, attributes: str) -> bool:
 
 
 def _is_named(tag: str, attributes: str) -> bool:
-    """Whether the class or id names what is cut; less sure than ``_is_cut``."""
+    """Whether the class or id names what is cut, or it is a form; less sure than ``_is_cut``."""
+    if tag == "form":
+        return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    return any(name.lower() in ("class", "id") and CUT_NAMES.search(value.strip("\"'")) for name, value in ATTRIBUTE.findall(attributes))
+    return any(name in ("class", "id") and CUT_NAMES.search(value) for name, value in _attributes(attributes))
 
 
-def parse(page: str) -> Node:
-    """The tree of a page."""
-    root = Node("html")
-    stack, at = [root], 0
+class _Open:
+    """The open elements, outermost first, and for each tag where its open elements stand among them."""
 
-    def close_to(wanted: tuple[str, ...], bounds: tuple[str, ...]) -> None:
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def _nearest(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, wanted: tuple[str, ...], bounds: tuple[str, ...]) -> None:
         """Close the nearest open element of ``wanted``, and all in it, if no element of ``bounds`` stands before."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in wanted:
-                del stack[i:]
-                return
-            if stack[i].tag in bounds:
-                return
+        at = self._nearest(wanted)
+        if at and at >= self._nearest(bounds):
+            while len(self.stack) > at:
+                self.places[self.stack.pop().tag].pop()
 
+
+def parse(page: str) -> Node:
+    """The tree of a page, in time that grows with its length; a tag that never ends is text, with all after it."""
+    root = Node("html")
+    opened, at = _Open(root), 0
+    last_end: dict[str, int] = {}  # of raw elements: where the last end tag of the page stands
     while True:
-        m = TAG.search(page, at)
+        begin = BEGIN.search(page, at)
+        m = TAG.match(page, begin.start()) if begin else None
         text = page[at : m.start() if m else len(page)]
         if text:
-            stack[-1].children.append(text)
+            opened.stack[-1].children.append(text)
         if not m:
             return root
         at = m.end()
@@ -113,26 +142,30 @@ def parse(page: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
-                stack[-1].children.append(Node("br"))
+                opened.stack[-1].children.append(Node("br"))
             elif tag not in ("html", "body"):
-                close_to((tag,), ("article", "main", "section", "table", "body") if tag in ("p", "li", "b", "i", "em", "strong", "a", "span", "font") else ("body",))
+                opened.close((tag,), ("article", "main", "section", "table", "body") if tag in ("p", "li", "b", "i", "em", "strong", "a", "span", "font") else ("body",))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page) if tag in ("script", "style") else at
+            if tag not in last_end:
+                last_end[tag] = max((e.start() for e in re.finditer(rf"(?i)</{tag}\s*>", page)), default=-1)
+            if last_end[tag] >= at:
+                at = re.compile(rf"(?i)</{tag}\s*>").search(page, at).end()
+            elif tag in ("script", "style"):
+                at = len(page)
             continue
         if tag == "html":
             continue
         if tag in CLOSES_P:
-            close_to(("p",), ("td", "th", "article", "main", "section", "div", "li", "blockquote", "body", "table", "nav", "footer", "header", "aside", "form", "button"))
+            opened.close(("p",), ("td", "th", "article", "main", "section", "div", "li", "blockquote", "body", "table", "nav", "footer", "header", "aside", "form", "button"))
         if tag in SAME:
-            close_to(SAME[tag], BOUND[tag])
+            opened.close(SAME[tag], BOUND[tag])
         if tag == "body":
-            close_to(("head",), ())
+            opened.close(("head",), ())
         node = Node(tag, _is_cut(tag, m[3]), _is_named(tag, m[3]))
-        stack[-1].children.append(node)
+        opened.stack[-1].children.append(node)
         if tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            opened.push(node)
 
 
 def _below(node: Node) -> Iterator[Node]:
@@ -147,20 +180,25 @@ def _below(node: Node) -> Iterator[Node]:
 def _prune(root: Node) -> None:
     """Take what is marked out of the tree; a header goes unless it holds an article or a main heading, and what is
     only named so, unless it holds the main heading, all articles or most of the text."""
-    for n in list(_below(root)):
+    order = list(_below(root))
+    for n in order:
         n.children = [c for c in n.children if not (isinstance(c, Node) and c.cut)]
-    if any(n.named for n in _below(root)):
-        size: dict[int, tuple[int, int, int]] = {}  # characters, articles and main headings below
-        for n in reversed(list(_below(root))):
-            own = [size[id(c)] if isinstance(c, Node) else (len("".join(c.split())), 0, 0) for c in n.children]
-            chars, articles, heads = (sum(x) for x in zip(*own)) if own else (0, 0, 0)
-            size[id(n)] = chars, articles + (n.tag in ("article", "main")), heads + (n.tag == "h1")
-        whole = size[id(root)]
-        kept = lambda x: 2 * x[0] > whole[0] or x[1] and x[1] == whole[1] or x[2]
-        for n in list(_below(root)):
-            n.children = [c for c in n.children if not (isinstance(c, Node) and c.named and not kept(size[id(c)]))]
-    for n in list(_below(root)):
-        n.children = [c for c in n.children if not (isinstance(c, Node) and c.tag == "header" and not any(x.tag in ("article", "main", "h1") for x in _below(c)))]
+    order = list(_below(root))
+    size: dict[int, tuple[int, int, int]] = {}  # characters, articles and main headings below
+    for n in reversed(order):
+        own = [size[id(c)] if isinstance(c, Node) else (len("".join(c.split())), 0, 0) for c in n.children]
+        chars, articles, heads = (sum(x) for x in zip(*own)) if own else (0, 0, 0)
+        size[id(n)] = chars, articles + (n.tag in ("article", "main")), heads + (n.tag == "h1")
+    whole = size[id(root)]
+
+    def goes(n: Node) -> bool:
+        chars, articles, heads = size[id(n)]
+        if n.named and not (2 * chars > whole[0] or articles and articles == whole[1] or heads):
+            return True
+        return n.tag == "header" and not articles and not heads
+
+    for n in order:
+        n.children = [c for c in n.children if not (isinstance(c, Node) and goes(c))]
 
 
 def _measure(root: Node) -> list[Node]:
@@ -188,8 +226,9 @@ def _density(n: Node, body: Node) -> float:
     return c / t * math.log(max(math.e, c / max(1, linked) * t / max(1, n.link_tags))) / max(1.0, math.log(math.log(weight)))
 
 
-def content_nodes(root: Node) -> list[Node]:
-    """The subtree of the largest density sum among the nodes that reach the threshold."""
+def content_node(root: Node) -> Node:
+    """The subtree of the largest density sum among the nodes that reach the threshold, widened to the outermost
+    article, else main element, else nearest container below the body, that holds it."""
     order = _measure(root)
     body = next((n for n in order if n.tag == "body"), root)
     parent: dict[int, Node] = {}
@@ -208,17 +247,14 @@ def content_nodes(root: Node) -> list[Node]:
     while at is not body:
         at = parent[id(at)]
         least = min(least, at.density)
-    chosen = max((n for n in inside if n.density >= least), key=lambda n: n.total)
-    return [chosen]
-
-
-def _article(root: Node, node: Node) -> Node:
-    """The outermost article that holds a node, else the outermost main element, else the node."""
-    for tag in ("article", "main"):
-        for n in _below(root):
-            if n.tag == tag and any(x is node for x in _below(n)):
-                return n
-    return node
+    chosen = at = max((n for n in inside if n.density >= least), key=lambda n: n.total)
+    around, box = {}, None
+    while at is not None:
+        around[at.tag] = at
+        if box is None and at.tag in CONTAINERS:
+            box = at
+        at = parent.get(id(at))
+    return around.get("article") or around.get("main") or (chosen if box is None or box in (body, root) else box)
 
 
 def text_of(node: Node) -> str:
@@ -255,7 +291,7 @@ def extract(page: str | None) -> str:
         return ""
     root = parse(page)
     _prune(root)
-    return text_of(_article(root, content_nodes(root)[0]))
+    return text_of(content_node(root))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
