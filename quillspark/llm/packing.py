@@ -1,14 +1,21 @@
 """Vector bin packing of token sequences under limits on tokens, segments and loss-bearing tokens.
 
-A document's ids are cut into full sequences; what is left of it is an item with a demand in three dimensions. A bin is
-filled by the dot-product heuristic: of the items that fit, take the one whose demand has the largest inner product with
-the room that is left, each dimension in parts of its limit. If none fits, the item with the most tokens is cut to fill
-the room. A bin that cannot be filled is cut back to a power of two of tokens and the rest returns to the pool, so bins
+A document's ids are an item with a demand in three dimensions: tokens, one segment, and tokens under the loss mask. One
+that is over a limit alone is cut into pieces that are not. A bin is filled by the dot-product heuristic: of the items
+that fit, take the one whose demand has the largest inner product with the room that is left, each dimension in parts
+of its limit. If none fits, the item of which most tokens still fit is cut to fill the room; where only the loss limit is
+reached, these are tokens that bear none. A bin that cannot be filled is cut back to a power of two of tokens and the rest returns to the pool, so bins
 need no padding. Bins are filled within a partition from a pool of bounded size: nothing is shuffled, and a lost task is
 repeated alone.
 
-Edge cases: a null or empty text is its end id alone; null ids and repeated rows are packed like others; an empty table
-gives no pieces; further columns are ignored.
+The loss mask of a document is a range of its ids. Examples bring theirs in code points (``mask``: two columns, as operator
+3's ``loss_start`` and ``loss_end``; an id bears loss if its text overlaps the range). A plain document's first line, up to and with the first id that is a
+line break by itself, is its heading: it is context and bears none, all after it does; without a line break all but the first
+id bear loss.
+
+Edge cases: a null or empty text is its end id alone; a null bound of a mask counts as the text's own; null ids and
+repeated rows are packed like others; an empty table gives no pieces; limits below one are refused; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,30 +39,47 @@ POOL = 128
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
-    segments: int = 64
-    loss: int = 2048
+    segments: int = 12
+    loss: int = 2032
+
+    def __post_init__(self) -> None:
+        if min(self.tokens, self.segments, self.loss) < 1:
+            raise ValueError("limits are one at least")
 
 
 @dataclass
 class Item:
-    """A stretch of a document's ids, from ``start`` on."""
+    """A stretch of a document's ids, from ``start`` on; those from ``loss_from`` to ``loss_to`` in the document bear loss."""
 
     doc_id: int | None
     ids: bytes
     start: int
     doc_tokens: int
+    loss_from: int
+    loss_to: int
 
     @property
     def tokens(self) -> int:
         return len(self.ids) // ID_BYTES
 
+    def context(self) -> int:
+        """Ids before the first one that bears loss."""
+        return max(0, min(self.loss_from - self.start, self.tokens)) if self.loss_to > self.start else self.tokens
+
     def loss(self, tokens: int | None = None) -> int:
-        """Ids to be predicted: all but a document's first, which has no context."""
-        return (self.tokens if tokens is None else tokens) - (self.start == 0)
+        """Loss-bearing ids among the first ones."""
+        end = self.start + (self.tokens if tokens is None else tokens)
+        return max(0, min(end, self.loss_to) - max(self.start, self.loss_from))
+
+    def within(self, tokens: int, loss: int) -> int:
+        """How many of the first ids have room."""
+        most = min(self.tokens, tokens)
+        return most if self.loss(most) <= loss else self.context() + loss
 
     def cut(self, tokens: int) -> tuple[Item, Item]:
         at = tokens * ID_BYTES
-        return Item(self.doc_id, self.ids[:at], self.start, self.doc_tokens), Item(self.doc_id, self.ids[at:], self.start + tokens, self.doc_tokens)
+        mask = self.doc_tokens, self.loss_from, self.loss_to
+        return Item(self.doc_id, self.ids[:at], self.start, *mask), Item(self.doc_id, self.ids[at:], self.start + tokens, *mask)
 
 
 class Packer:
@@ -65,10 +89,16 @@ class Packer:
         self.limits, self.pool = limits, []
 
     def add(self, item: Item) -> Iterator[list[Item]]:
-        most = self.limits.tokens
-        while item.tokens > most and item.loss(most) <= self.limits.loss:
-            piece, item = item.cut(most)
-            yield [piece]
+        limits = self.limits
+        while item.tokens > limits.tokens or item.loss() > limits.loss:
+            piece, item = item.cut(item.within(limits.tokens, limits.loss))
+            if piece.tokens == limits.tokens:
+                yield [piece]
+            else:
+                yield from self._hold(piece)
+        yield from self._hold(item)
+
+    def _hold(self, item: Item) -> Iterator[list[Item]]:
         self.pool.append(item)
         while len(self.pool) >= POOL:
             yield self._fill()
@@ -81,26 +111,28 @@ class Packer:
         limits = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], dtype=float)
         demand = np.array([[i.tokens, 1, i.loss()] for i in self.pool], dtype=float)
         room, chosen, free = limits.copy(), [], np.ones(len(self.pool), dtype=bool)
+        rests: list[Item] = []
         while room[0] > 0 and room[1] > 0 and free.any():
             fits = free & (demand <= room).all(axis=1)
             if room[1] == 1 and (free & (demand[:, 0] >= room[0])).any():
                 fits[:] = False  # the last segment takes what reaches the end, if there is such an item
             score = np.where(fits, demand @ (room / limits**2), -1.0)
             best = int(score.argmax())
+            take = self.pool[best].tokens
             if score[best] < 0:
-                best = int(np.where(free, demand[:, 0], -1).argmax())
-                item = self.pool[best]
-                take = min(item.tokens, int(room[0]), int(room[2]) + (item.start == 0))
+                parts = [i.within(int(room[0]), int(room[2])) if f else 0 for i, f in zip(self.pool, free, strict=True)]
+                best = int(np.argmax(parts))
+                take = parts[best]
                 if take <= 0:
                     break
-                if take < item.tokens:
-                    piece, self.pool[best] = item.cut(take)
-                    chosen.append(piece)
-                    break
+            item = self.pool[best]
+            if take < item.tokens:
+                item, rest = item.cut(take)
+                rests.append(rest)
             free[best] = False
-            chosen.append(self.pool[best])
-            room -= demand[best]
-        self.pool = [i for i, f in zip(self.pool, free, strict=True) if f]
+            chosen.append(item)
+            room -= (item.tokens, 1, item.loss())
+        self.pool = [i for i, f in zip(self.pool, free, strict=True) if f] + rests
         return self._close(chosen)
 
     def _close(self, chosen: list[Item]) -> list[Item]:
@@ -142,7 +174,24 @@ def _rows(sequences: Iterator[list[Item]]) -> Iterator[pa.RecordBatch]:
     yield batch()
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits(), end_id: int = 1) -> DataFrame:
+def _plain_mask(coded: bytes, line_break: bytes) -> tuple[int, int]:
+    """The loss-bearing ids of a plain document, its end id included."""
+    n, at = len(coded) // ID_BYTES, coded.find(line_break)
+    while at % ID_BYTES and at >= 0:
+        at = coded.find(line_break, at + 1)
+    return (at // ID_BYTES + 1 if at >= 0 else min(1, n)), n
+
+
+def _given_mask(offsets: list[tuple[int, int]], begin: int | None, end: int | None, chars: int) -> tuple[int, int]:
+    """The ids whose text overlaps a range of code points; the end id does if the range reaches the text's end."""
+    begin, end = 0 if begin is None else begin, chars if end is None else end
+    hit = [i for i, (a, b) in enumerate(offsets) if b > begin and a < end] if end > begin else []
+    if not hit:
+        return 0, 0
+    return hit[0], len(offsets) + 1 if end >= chars else hit[-1] + 1
+
+
+def pack(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits(), end_id: int = 1, mask: tuple[str, str] | None = None) -> DataFrame:
     """The pieces of all documents and their places in sequences: see ``PIECES``."""
     bound_batches(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
@@ -150,17 +199,28 @@ def pack(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, coder = Packer(limits), encoder(vocabulary)
+        breaks = coder.tokenizer.encode("\n", add_special_tokens=False).ids
+        line_break = int(breaks[0]).to_bytes(ID_BYTES, "little")
+
+        def coded(texts: list[str | None], ranges: list[tuple]) -> Iterator[tuple[bytes, tuple[int, int]]]:
+            if mask is None:
+                for ids in coder.encode(texts):
+                    yield ids + end, _plain_mask(ids + end, line_break)
+                return
+            for text, e, (a, b) in zip(texts, coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False), ranges, strict=True):
+                yield np.array([*e.ids, end_id], dtype="<u4").tobytes(), _given_mask(e.offsets, a, b, len(text or ""))
 
         def sequences() -> Iterator[list[Item]]:
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                ranges = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)) if mask else []
                 for start, stop in slices(texts, 1_000_000):
-                    for doc_id, coded in zip(ids[start:stop], coder.encode(texts[start:stop]), strict=True):
-                        coded += end
-                        yield from packer.add(Item(doc_id, coded, 0, len(coded) // ID_BYTES))
+                    for doc_id, (row, loss) in zip(ids[start:stop], coded(texts[start:stop], ranges[start:stop]), strict=True):
+                        yield from packer.add(Item(doc_id, row, 0, len(row) // ID_BYTES, *loss))
             yield from packer.finish()
 
         yield from _rows(sequences())
 
-    columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(run, PIECES)
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    columns += [F.col(c).cast("bigint").alias(f"mask{i}") for i, c in enumerate(mask or ())]
+    return docs.select(*columns).mapInArrow(run, PIECES)
