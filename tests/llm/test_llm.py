@@ -491,9 +491,9 @@ def test_topk_groups_are_bounded_whatever_the_ids(spark, monkeypatch):
     vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in ids]
     search = topk_search._search
 
-    def counted(key, queries, candidates, k):
-        sizes.add(len(candidates) > 50)
-        return search(key, queries, candidates, k)
+    def counted(asked, held, k):
+        sizes.add(held.num_rows > 50)
+        return search(asked, held, k)
 
     monkeypatch.setattr(topk_search, "_search", counted)
     rows = spark.createDataFrame(list(zip(ids, vectors)), "vec_id bigint, embedding array<float>")
@@ -504,6 +504,27 @@ def test_topk_groups_are_bounded_whatever_the_ids(spark, monkeypatch):
     assert sizes.value == 0
 
 
+@pytest.mark.parametrize("scale", [3, 50, 10**8])
+def test_blocks_against_brute_force(scale):
+    """Whatever the order and the number of candidates; sums beyond 2**53 are exact too."""
+    rng = np.random.default_rng(17)
+    for n in (5, 19, 21, 300):
+        vectors, ids = rng.integers(-scale, scale, (n, 6)), rng.permutation(n * 2)[:n]
+        got = topk_search.best_of_blocks(vectors[:7], ids[:7], np.array([None] * min(n, 7), dtype=object), vectors, ids, 20)
+        for (q, own, scores, _, _), i in zip(got, ids[:7].tolist(), strict=True):
+            exact = [(-sum(a * b for a, b in zip(vectors[list(ids).index(i)].tolist(), v)), d) for v, d in zip(vectors.tolist(), ids.tolist()) if d != i]
+            assert q == i and [(-int(s), d) for d, s in zip(own.tolist(), scores.tolist())] == sorted(exact)[:20]
+
+
+def test_topk_prunes_vectors_that_lie_in_clusters(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "GROUP", 1000)
+    rng = np.random.default_rng(18)
+    centres = rng.normal(0, 1, (40, 16))
+    vectors = (centres[rng.integers(0, 40, 4000)] + rng.normal(0, 0.1, (4000, 16))).tolist()
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>")
+    assert topk_search.scored_share(rows, F.col("vec_id") % 20 == 0) < 0.5
+
+
 # Pipeline
 
 
