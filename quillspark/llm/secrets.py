@@ -2,7 +2,7 @@
 
 Base spans come from three patterns. The method adds spans: for each character class, runs of its characters that are
 at least one window long are candidates. A fold moves a window along the candidate and keeps the count of each
-character and the sum of c * log2(c) over the counts c; one character enters and one leaves, so each step changes two
+character (five bits of a long each) and the sum of c * log2(c) over the counts c; one character enters and one leaves, so each step changes two
 counts. Where the window's entropy, log2(w) - sum / w, reaches the class's threshold, the window is part of a span.
 Candidates on the allow list (placeholders, alphabets, counting sequences, uuids) and spans within a base span are
 suppressed. Positions are code points, ends exclusive.
@@ -16,6 +16,7 @@ gives an empty result; further columns, also ones named like the result's, are n
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,6 +25,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 BASE_KINDS = ("assign", "access", "hex")
+RUN = 64
+PACKED, BITS = 12, 5  # counts in a long, and bits of each: a window is shorter than 2**BITS
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int>>"
 
 
@@ -50,20 +53,32 @@ ALLOWED = (
 )
 
 
+def _before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of some numbers what ``op`` (a sum or a maximum) makes of those before it, from zero on.
+
+    Runs of ``RUN`` are folded by themselves and then their totals, so the work does not grow with the square of the length.
+    """
+
+    def fold(array: Column, value: Callable[[Column], Column]) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(array, start, lambda acc, x: F.struct(op(acc["at"], value(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda i: F.slice(values, i * RUN + 1, F.lit(RUN)))
+    local = F.transform(runs, lambda r: fold(r, lambda x: x))
+    # A one-element array names the folded runs, which are used twice.
+    whole = F.transform(F.array(local), lambda own: F.zip_with(fold(own, lambda r: r["at"])["out"], own, lambda o, r: F.transform(r["out"], lambda x: op(o, x))))
+    return F.when(F.size(values) > 0, F.flatten(F.element_at(whole, 1))).otherwise(F.expr("cast(array() as array<int>)"))
+
+
 def _located(text: Column, pattern: str, extra: int | None = None) -> Column:
     """Array of (start, text, group) of the pattern's matches: what stands between matches gives their places."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(extra)) if extra else found
-    lengths = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("text")))
-    lengths = F.zip_with(F.slice(lengths, 1, F.size(found)), group, lambda x, g: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), x["text"].alias("text"), g.alias("group")))
-    empty = F.expr("cast(array() as array<struct<start:int,text:string,group:string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        here = acc["at"] + x["gap"]
-        return F.struct((here + x["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct(here.alias("start"), x["text"].alias("text"), x["group"].alias("group")))).alias("out"))
-
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    matches = F.zip_with(found, group, lambda m, g: F.struct(m.alias("text"), g.alias("group")))
+    gaps = F.transform(F.slice(gaps, 1, F.size(found)), lambda g: F.length(g))
+    before = _before(F.zip_with(gaps, found, lambda g, m: g + F.length(m)), lambda x, y: x + y)
+    starts = F.zip_with(before, gaps, lambda at, g: at + g)
+    return F.zip_with(starts, matches, lambda at, m: F.struct(at.alias("start"), m["text"].alias("text"), m["group"].alias("group")))
 
 
 def _no_spans() -> Column:
@@ -95,7 +110,7 @@ def _plog(count: Column) -> Column:
 def dense_window(s: Column, c: CharClass) -> Column:
     """(lo, hi): first and last end, from 1, of a window of ``s`` whose entropy reaches the threshold; null if none."""
     chars = F.split(s, "")
-    zero = F.array_repeat(F.lit(0), len(c.alphabet))
+    zero = F.array_repeat(F.lit(0).cast("bigint"), -(-len(c.alphabet) // PACKED))
     start = F.struct(zero.alias("counts"), F.lit(0.0).alias("total"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
 
     alphabet = F.lit(c.alphabet)
@@ -112,16 +127,31 @@ def dense_window(s: Column, c: CharClass) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, move, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")))
 
 
+def _shift(slot: Column) -> Column:
+    return F.pmod(slot - 1, F.lit(PACKED)) * BITS
+
+
+def _count(counts: Column, slot: Column) -> Column:
+    """The count of a character of the alphabet."""
+    word = F.element_at(counts, F.floor((slot - 1) / PACKED).cast("int") + 1)
+    return F.call_function("shiftrightunsigned", word, _shift(slot)).bitwiseAND((1 << BITS) - 1)
+
+
+def _one(slot: Column, k: Column) -> Column:
+    """What one character adds to the k-th long."""
+    return F.when(F.floor((slot - 1) / PACKED) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), _shift(slot))).otherwise(F.lit(0).cast("bigint"))
+
+
 def _moved(m: Column, c: CharClass) -> Column:
     counts, new, old, i = m["acc"]["counts"], m["new"], m["old"], m["i"]
     same = new == old
-    gain = F.element_at(counts, new)
-    loss = F.when(old > 0, F.element_at(counts, F.greatest(old, F.lit(1))))
+    gain = _count(counts, new)
+    loss = F.when(old > 0, _count(counts, F.greatest(old, F.lit(1))))
     total = m["acc"]["total"] + F.when(same, F.lit(0.0)).otherwise(_plog(gain + 1) - _plog(gain) + F.when(old > 0, _plog(loss - 1) - _plog(loss)).otherwise(F.lit(0.0)))
-    updated = F.transform(counts, lambda n, k: n + F.when(k == new - 1, 1).otherwise(0) - F.when(k == old - 1, 1).otherwise(0))
+    moved = F.transform(counts, lambda n, k: n + _one(new, k) - F.when(old > 0, _one(old, k)).otherwise(F.lit(0).cast("bigint")))
     dense = (i >= c.window) & (F.lit(math.log2(c.window)) - total / c.window >= c.bits - 1e-9)
     lo = F.when(dense, F.coalesce(m["acc"]["lo"], i)).otherwise(m["acc"]["lo"])
-    return F.struct(updated.alias("counts"), total.alias("total"), lo.alias("lo"), F.when(dense, i).otherwise(m["acc"]["hi"]).alias("hi"))
+    return F.struct(F.when(same, counts).otherwise(moved).alias("counts"), total.alias("total"), lo.alias("lo"), F.when(dense, i).otherwise(m["acc"]["hi"]).alias("hi"))
 
 
 def _class_spans(text: Column, order: int, c: CharClass) -> Column:
@@ -167,14 +197,17 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Spans that overlap are replaced as one. Texts without spans stay as they are.
     """
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    chars = F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))
+    reached = _before(F.transform("_spans", lambda s: s["end"]), F.greatest)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+    def pieces(c: Column) -> Column:
+        part = lambda start, end: F.array_join(F.slice(c, start + 1, F.greatest(end - start, F.lit(0))), "")
+        kept = F.zip_with("_spans", reached, lambda s, at: F.when(s["start"] >= at, F.concat(part(at, s["start"]), F.lit(mark))).otherwise(F.lit("")))
+        last = F.array_max(F.transform("_spans", lambda s: s["end"]))
+        return F.concat(F.array_join(kept, ""), part(last, F.size(c)))
 
-    cleaned = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    # A one-element array names the characters, which are used for every piece.
+    cleaned = F.element_at(F.transform(F.array(chars), pieces), 1)
     # The row's own columns stay in a struct, so that none of them can meet a name used here.
     found = with_spans(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"]))
     hit, row = F.size("_spans") > 0, F.col("_row").withField("text", F.col("_clean"))
