@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import chat_format, decontamination, html_extraction, near_dup, packing, secrets, sharding, token_index, topk_search, toxicity
+from quillspark.plans.scratch import Scratch
+
+SHARD_BYTES = 256 * 1024  # of the query; files of a large table are better cut at sharding.LIMIT
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +36,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return placed.select("doc_id", "n_bytes", "shard", "depth", "page", "oversized")
+    """Shards of at most ``SHARD_BYTES``, a limit that splits tables of every size, written and read back."""
+    docs, scratch = _table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "shards")
+    sharding.write_shards(docs, scratch.path("shards"), SHARD_BYTES)
+    return sharding.read_shards(spark, scratch.path("shards"), docs).drop("text")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ longer prefixes. Rows that agree in all 64 bits (copies of one row) go to overfl
 limit; a document that is over the limit alone has a page of its own and is marked.
 
 Edge cases: null and empty texts have no bytes and are placed like others; null ids are hashed as such; repeated rows
-share a bucket, or its pages; an empty table gives no shards; further columns are kept, and those named like the
+share a bucket, or its pages; an empty table gives no shards; further columns of any name are kept, but those named like the
 result's (shard, depth, page, n_bytes, oversized) are replaced.
 """
 
@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from quillspark.plans.scratch import Scratch
 
@@ -30,9 +31,14 @@ def prefix(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("bigint")
 
 
+RESULT = ("n_bytes", "shard", "depth", "page", "oversized")
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
-    """The rows with their hash and size."""
-    return docs.withColumn("_h", F.xxhash64(F.lit(11), "doc_id", "text")).withColumn("n_bytes", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint"))
+    """The rows, each whole in one column, with hash and size; so no column of theirs can meet a name used here."""
+    own = F.struct(*[docs[c] for c in docs.columns if c not in RESULT])
+    size = F.coalesce(F.octet_length(docs["text"].cast("string")), F.lit(0)).cast("bigint")
+    return docs.select(own.alias("_row"), F.xxhash64(F.lit(11), docs["doc_id"], docs["text"]).alias("_h"), size.alias("n_bytes"))
 
 
 def directory(sizes: DataFrame, limit: int, scratch: Scratch) -> list[tuple[int, DataFrame]]:
@@ -68,7 +74,7 @@ def directory(sizes: DataFrame, limit: int, scratch: Scratch) -> list[tuple[int,
 def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The rows of ``docs`` with n_bytes, shard (the bits of its prefix), depth, page and oversized."""
     scratch = Scratch(docs.sparkSession, "sharding")
-    rows = _hashed(docs.drop("n_bytes", "shard", "depth", "page", "oversized"))
+    rows = _hashed(docs)
     passes = directory(scratch.store(rows.select("_h", "n_bytes"), "sizes"), limit, scratch)
     out = rows
     for bits, entries in passes:
@@ -78,8 +84,9 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     out = out.withColumn("_leaf", F.coalesce(*found)).drop(*found).withColumn("depth", F.col("_leaf.depth"))
     digits = F.lpad(F.conv(F.hex("_leaf.prefix"), 16, 2), 64, "0")
     out = out.withColumn("shard", digits.substr(F.lit(65) - F.col("depth"), F.col("depth"))).withColumn("oversized", F.col("n_bytes") > limit)
+    scratch.drop("sizes", *[f"{t}{bits}" for bits, _ in passes for t in ("buckets", "left")])
     if passes[-1][0] < 64 or passes[-1][1].where(F.col("total") > limit).isEmpty():
-        return out.withColumn("page", F.lit(0).cast("bigint")).drop("_h", "_leaf")
+        return out.withColumn("page", F.lit(0).cast("bigint")).select("_row.*", *RESULT)
     # Copies that fill a bucket alone are equal in size: pages of so many rows, numbered within parts of the table.
     full = scratch.store(out.where(F.col("_leaf.total") > limit).withColumn("_part", F.spark_partition_id()), "overflow")
     counts = full.groupBy("_h", "_part").agg(F.count("*").alias("n"), F.max("n_bytes").alias("b"))
@@ -90,10 +97,19 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     paged = full.withColumn("_n", number).join(counts, ["_h", "_part"])
     paged = paged.withColumn("page", (F.col("_first") + F.floor(F.col("_n") / F.col("_each"))).cast("bigint"))
     rest = out.where(F.col("_leaf.total") <= limit).withColumn("page", F.lit(0).cast("bigint"))
-    return rest.drop("_h", "_leaf").unionByName(paged.drop("_h", "_leaf", "_part", "_n", "_each", "_first"))
+    return rest.select("_row.*", *RESULT).unionByName(paged.select("_row.*", *RESULT))
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT) -> None:
-    """Write each shard's rows to a folder of its own."""
+    """Write each shard's rows, page by page, to a folder of its own."""
     placed = assign(docs, limit)
     placed.repartition("shard", "page").sortWithinPartitions("shard", "page").write.mode("overwrite").partitionBy("shard", "page").parquet(folder)
+
+
+def read_shards(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """The rows of all shards, with what their files and folders say: depth from the shard's name, n_bytes from the text."""
+    kept = [f for f in like.schema if f.name not in RESULT]
+    fields = [StructField("shard", StringType()), StructField("page", LongType()), StructField("oversized", BooleanType())]
+    rows = spark.read.schema(StructType([*kept, *fields])).parquet(folder).withColumn("shard", F.coalesce("shard", F.lit("")))
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint")
+    return rows.select(*[f.name for f in kept], size.alias("n_bytes"), "shard", F.length("shard").alias("depth"), "page", "oversized")
