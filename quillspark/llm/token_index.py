@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -37,6 +38,7 @@ from quillspark.plans.scratch import Scratch
 
 MAGIC = b"QIDS0001"
 SHARD_TOKENS = 16 * 1024 * 1024
+RANGES = 512  # of ids, when keys look for their shards
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 _MARK = np.uint64(0xA0761D6478BD642F)
 
@@ -208,12 +210,24 @@ def write_token_shards(docs: DataFrame, folder: str, vocabulary: str | None = No
             yield pa.RecordBatch.from_pylist(done, pa.schema([("partition", pa.int32()), ("seq", pa.int32()), ("ids_file", pa.string()), ("index_file", pa.string()), *((c, pa.int64()) for c in ("n_docs", "n_tokens", "first_id", "last_id"))]))
 
     columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = ["doc_id", F.xxhash64("text")]
-    ranged = columns.repartitionByRange(*order).sortWithinPartitions(*order)
-    manifest = ranged.mapInArrow(run, MANIFEST)
+    # The row's own number lets a range cut what rows of one id and text there are.
+    order = ["doc_id", F.xxhash64("text"), "_row"]
+    ranged = columns.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    manifest = ranged.select("doc_id", "text").mapInArrow(run, MANIFEST)
     path = f"{folder}/manifest"
     manifest.write.mode("overwrite").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    manifest = docs.sparkSession.read.parquet(path)
+    remove_strays(manifest, folder)
+    return manifest
+
+
+def remove_strays(manifest: DataFrame, folder: str) -> None:
+    """Delete the shard files of tasks that failed or were repeated: those that the manifest does not name."""
+    named = {f.rpartition("/")[2] for r in manifest.select("ids_file", "index_file").toLocalIterator() for f in r}
+    system, path = _store(folder)
+    for file in system.get_file_info(fs.FileSelector(path)):
+        if file.base_name.startswith("shard-") and file.base_name not in named:
+            system.delete_file(file.path)
 
 
 def read_ids(ids_file: str, starts: np.ndarray, lengths: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -252,7 +266,8 @@ def read_back(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """The ids of given documents: (doc_id, ids), by the index alone, for keys (doc_id); missing keys give no row.
+    """The ids of given documents: (doc_id, ids), by the index alone, for keys (doc_id); missing keys give no row, and a
+    key that several documents share gives one for each.
 
     Keys meet the shards whose range holds them; a shard's index and its few positioned reads serve all its keys.
     """
@@ -261,18 +276,25 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
         for b in batches:
             for shard in b.to_pylist():
                 index = open_index(shard["index_file"])
-                wanted = np.array(shard["keys"], dtype=np.int64)
-                starts, lengths = index.find(wanted)
-                known = starts >= 0
-                ids = [x.astype(np.int64).tolist() for x in read_ids(shard["ids_file"], starts[known], lengths[known], index.width)]
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[known]), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
-
-    # Ranges are cut at multiples of their mean width, so that keys meet them by an equality and then by the range.
+                wanted, again = np.array(shard["keys"], dtype=np.int64), 0
+                while len(wanted):
+                    starts, lengths = index.find(wanted, np.full(len(wanted), again, dtype=np.int64))
+                    known = starts >= 0
+                    wanted, again = wanted[known], again + 1
+                    ids = [x.astype(np.int64).tolist() for x in read_ids(shard["ids_file"], starts[known], lengths[known], index.width)]
+                    yield pa.RecordBatch.from_arrays([pa.array(wanted), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    # Shards and keys are dealt to ranges cut at quantiles of the shards' first ids, so that they meet by an equality and
+    # then by the range, however ids are spread.
     known = manifest.where("first_id is not null")
-    low, high, n = known.agg(F.min("first_id"), F.max("last_id"), F.count("*")).first()
-    width = F.lit(max(1, ((high or 0) - (low or 0)) // max(1, n)))
-    ranges = known.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first_id") / width), F.floor(F.col("last_id") / width))))
-    wanted = keys.select(F.col("doc_id").cast("bigint").alias("k")).where("k is not null").distinct().withColumn("bin", F.floor(F.col("k") / width))
+    cuts = np.unique(np.array(known.approxQuantile("first_id", (np.arange(1, RANGES) / RANGES).tolist(), 0.001), dtype=np.int64))
+
+    @F.pandas_udf("int")
+    def bin_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="right").astype(np.int32))
+
+    ranges = known.withColumn("bin", F.explode(F.sequence(bin_of("first_id"), bin_of("last_id"))))
+    wanted = keys.select(F.col("doc_id").cast("bigint").alias("k")).where("k is not null").distinct().withColumn("bin", bin_of("k"))
     met = wanted.join(ranges, "bin").where("k between first_id and last_id")
     grouped = met.groupBy("index_file", "ids_file", F.pmod(F.xxhash64("k"), F.lit(64)).alias("part")).agg(F.collect_list("k").alias("keys"))
     return grouped.select("index_file", "ids_file", "keys").mapInArrow(run, "doc_id bigint, ids array<bigint>")
