@@ -345,7 +345,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     final = connected_components(links.union(few).union(many).union(shared)).select(F.col("node").alias("least"), "component")
     found = least.join(final, "least", "left").select(*sets, F.coalesce("component", "least").alias("component"))
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = signed.select("doc_id", *sets).join(found, sets, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    # A class of very many copies is a hot key.
+    rows = signed.select("doc_id", F.struct(*sets).alias("class"))
+    out = lookup(rows, found.select(F.struct(*sets).alias("class"), "component"), "class", rows.count(), "left").select("doc_id", F.col("class.n_shingles").alias("n_shingles"), "component")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     out = scratch.store(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
     scratch.drop("sets", "buckets", "mixed", "links", "labels", "few", "many", "shared", *[f"wanted-{x}" for x in ("links", "few", "dense")])
     return out
