@@ -43,8 +43,13 @@ def flow_overview(notes: DataFrame) -> DataFrame:
 def generic_terms(notes: DataFrame, grams: Column, share: float = GENERIC_SHARE) -> DataFrame:
     """(gram, df, share, generic): document frequency of terms over all notes."""
     rows = notes.select("path", F.explode(F.array_distinct(grams)).alias("gram"))
+    return generic(rows.groupBy("gram").agg(F.count("*").alias("df")), notes, share)
+
+
+def generic(frequencies: DataFrame, notes: DataFrame, share: float = GENERIC_SHARE) -> DataFrame:
+    """The same from the document frequencies (gram, df) of an index of the notes."""
     whole = notes.agg(F.count("*").alias("n"))
-    return rows.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(whole)).select("gram", "df", F.round(F.col("df") / F.col("n"), 4).alias("share"), (F.col("df") / F.col("n") >= share).alias("generic"))
+    return frequencies.join(F.broadcast(whole)).select("gram", "df", F.round(F.col("df") / F.col("n"), 4).alias("share"), (F.col("df") / F.col("n") >= share).alias("generic"))
 
 
 def generic_ratio(notes: DataFrame, grams: Column, share: float = GENERIC_SHARE) -> DataFrame:

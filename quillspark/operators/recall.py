@@ -79,7 +79,7 @@ def read_route(raw: object, notes: DataFrame) -> Route:
     return out
 
 
-def text_channel(notes: DataFrame, query: DataFrame, least: int) -> DataFrame:
+def text_channel(notes: DataFrame | s.Index, query: DataFrame, least: int) -> DataFrame:
     return s.bm25(notes, query).where(s.above_floor(least)).select("path", F.lit("fts").alias("channel"), "bm25")
 
 
@@ -110,7 +110,7 @@ def merge_channels(hits: DataFrame, notes: DataFrame, route: Route) -> DataFrame
     return rows.orderBy(*order).limit(route.top_k)
 
 
-def recall(notes: DataFrame, query: str, route: Route | None = None, units: DataFrame | None = None, hops: int = 1, least: int = s.LEAST_GRAMS) -> DataFrame:
+def recall(notes: DataFrame, query: str, route: Route | None = None, units: DataFrame | None = None, hops: int = 1, least: int = s.LEAST_GRAMS, index: s.Index | None = None) -> DataFrame:
     """(path, title, flow, stage, updated, stale, channels, weight, bm25) of the notes that any channel finds.
 
     Channels feed one another; the hits of each are written tables.
@@ -122,11 +122,9 @@ def recall(notes: DataFrame, query: str, route: Route | None = None, units: Data
     if not (words or route.topics):
         raise RouteError("route_empty", "a query, keywords or topics are needed")
     asked = spark.createDataFrame([(0, words)], "query_id int, text string")
-    texts = scratch.store(text_channel(notes, asked, least), "texts")
+    texts = scratch.store(text_channel(index or notes, asked, least), "texts")
     kept = notes.select("path", F.explode("q_hooks").alias("hook"))
     hooked = s.hook_matches(kept, asked).select("path")
-    if words:
-        hooked = hooked.union(s.hooks_holding(kept, words).select("path"))
     hooked = scratch.store(hooked.distinct(), "hooked")
     seeds = scratch.store(topic_seeds(notes, texts, hooked, route.topics), "seeds")
     topical = notes.select("path", F.explode("topics").alias("topic")).join(seeds, "topic").select("path").distinct()

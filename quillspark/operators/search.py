@@ -1,20 +1,27 @@
 """Full-text retrieval: an inverted index, BM25 with column weights, a floor for weak hits, filters and rank cascades.
 
+An index is a folder of tables, built once: texts are tokenised in one scan, and queries read postings only.
 Statistics (number of notes, mean length, document frequencies) are of the whole index; filters apply to candidates.
 Only postings of the queries' terms are shuffled. Queries are tables, so many are answered in one plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillspark.functions import text as t
+from quillspark.plans.scratch import Scratch
 
 # Weights and constants of the score.
 COLUMN_WEIGHTS = {"title": 1.0, "body": 1.0, "dimtext": 0.6, "qhooks": 3.0}
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 LEAST_GRAMS = 2
+HELD_RUN = 8
+PUSHED = 200
+POSTING = "gram string, path string, length bigint, tf bigint, weighted double"
 TAG_DIMENSIONS = ("domains", "forms", "tools", "types", "projects", "topics")
 RANK_KEYS = ("相关度", "时间", "类型优先级")
 
@@ -42,25 +49,69 @@ def postings(indexed: DataFrame) -> DataFrame:
     return rows.groupBy("gram", "path").agg(F.count("*").alias("tf"), F.sum("weight").alias("weighted"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """The tables of an index: postings (gram, path, length, tf, weighted), lengths (path, length), terms (gram, df, tf)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    terms: DataFrame
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """The postings of some terms (gram). A few are read by the files' own statistics; more meet the postings in a join."""
+        few = [r[0] for r in wanted.select("gram").distinct().limit(PUSHED + 1).collect()]
+        return self.postings.where(F.col("gram").isin(few)) if len(few) <= PUSHED else self.postings
+
+
+def build_index(notes: DataFrame, folder: str) -> Index:
+    """Write the tables of notes (path and columns of ``COLUMN_WEIGHTS``); each text is tokenised once.
+
+    The index is cut by notes: texts are dealt by path, and each file holds the postings of its notes in order of terms.
+    So no term, however common, is the work of one task, and a term's postings are a few pages of each file.
+    """
+    spark = notes.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, notes.rdd.getNumPartitions())
+    columns = [c for c in COLUMN_WEIGHTS if c in notes.columns]
+    arrays = notes.select("path", *columns).repartition(parts, "path").select("path", *[t.index_grams(F.col(c)).alias(c) for c in columns])
+    length = sum((F.size(c) for c in columns), F.lit(0)).cast("bigint").alias("length")
+    weighted = F.concat(*[_weighted(c, COLUMN_WEIGHTS[c]) for c in columns])
+    rows = arrays.select("path", length, F.explode_outer(weighted).alias("x")).select("path", "length", "x.gram", "x.weight")
+    counted = rows.groupBy("path", "length", "gram").agg(F.count("gram").alias("tf"), F.sum("weight").alias("weighted"))
+    counted.select("gram", "path", "length", "tf", "weighted").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{folder}/posting")
+    found = spark.read.schema(POSTING).parquet(f"{folder}/posting")
+    found.groupBy("path").agg(F.max("length").alias("length")).write.mode("overwrite").parquet(f"{folder}/doc_len")
+    found.where("gram is not null").groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).write.mode("overwrite").parquet(f"{folder}/term")
+    return open_index(spark, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    """An index that ``build_index`` or ``write_index`` has written."""
+    found = spark.read.schema(POSTING).parquet(f"{folder}/posting").where("gram is not null")
+    return Index(found, spark.read.schema("path string, length bigint").parquet(f"{folder}/doc_len"), spark.read.schema("gram string, df bigint, tf bigint").parquet(f"{folder}/term"))
+
+
+def indexed(notes: DataFrame | Index) -> Index:
+    """The index itself, or a new one of notes in the session's shared folder."""
+    return notes if isinstance(notes, Index) else build_index(notes, Scratch(notes.sparkSession, "index").path("tables"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, gram) of queries (query_id, text), and the number of distinct terms of each."""
     grams = queries.select("query_id", t.query_grams(F.col("text")).alias("grams"))
     return grams.select("query_id", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
 
 
-def bm25(notes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, path, bm25, hits, n_grams) of every note that has a term of the query; smaller scores are better."""
-    indexed = terms(notes)
+def bm25(notes: DataFrame | Index, queries: DataFrame) -> DataFrame:
+    """(query_id, path, bm25, hits, n_grams) of every note that has a term of the query; smaller scores are better.
+
+    ``notes`` is an index, or notes of which one is built first.
+    """
+    index = indexed(notes)
     wanted = query_terms(queries)
-    asked = wanted.select("gram").distinct()
-    # Terms that no query has are dropped before anything is shuffled by note.
-    rows = indexed.select("path", "length", F.explode("terms").alias("x")).select("path", "length", "x.gram", "x.weight").join(asked, "gram")
-    found = rows.groupBy("gram", "path", "length").agg(F.sum("weight").alias("weighted"))
-    frequency = found.groupBy("gram").agg(F.count("*").alias("n"))
-    whole = indexed.agg(F.count("*").alias("notes"), F.avg("length").alias("mean"))
-    idf = F.ln((F.col("notes") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weights = frequency.join(F.broadcast(whole)).select("gram", "mean", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
-    parts = wanted.join(weights, "gram").join(found, "gram")
+    whole = index.lengths.agg(F.count("*").alias("notes"), F.avg("length").alias("mean"))
+    idf = F.ln((F.col("notes") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = wanted.join(index.terms.select("gram", "df"), "gram").join(F.broadcast(whole)).select("query_id", "n_grams", "gram", "mean", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
+    parts = weights.join(index.of(wanted).select("gram", "path", "length", "weighted"), "gram")
     gain = F.col("weighted") * (K1 + 1) / (F.col("weighted") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return parts.groupBy("query_id", "path").agg((-F.sum(F.col("idf") * gain)).alias("bm25"), F.count("*").alias("hits"), F.first("n_grams").alias("n_grams"))
 
@@ -134,20 +185,48 @@ def rank_order(rank: list[str], has_keywords: bool, filters: dict[str, list[str]
 
 
 def hook_matches(hooks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, path, hook) where a question kept with a note answers a query.
+    """(query_id, path, hook, shared) where a question kept with a note answers a query.
 
     It does if one text holds the other, or half of the query's terms are shared, or at least two terms and 0.35 of the
-    hook's are. Pairs meet on a shared term. Where one text holds the other but not a whole term of it (part of a word),
-    ``hooks_holding`` compares a single query with all hooks.
+    hook's are. Pairs meet on a shared term; where one text holds the other without a whole term in common (part of a
+    word), they meet on the rarest of the inner text's runs of ``HELD_RUN`` characters.
     """
     asked = queries.select("query_id", F.col("text").alias("query"), t.query_grams(F.col("text")).alias("q"))
     kept = hooks.select("path", "hook", t.query_grams(F.col("hook")).alias("h")).where(F.size("h") > 0)
     pairs = asked.select("query_id", F.explode("q").alias("gram")).join(kept.select("path", "hook", F.explode("h").alias("gram")), "gram")
     shared = pairs.groupBy("query_id", "path", "hook").agg(F.count("*").alias("shared"))
     sized = shared.join(asked, "query_id").join(kept.select("path", "hook", F.size("h").alias("n_h")).distinct(), ["path", "hook"])
-    holds = F.col("hook").contains(F.col("query")) | F.col("query").contains(F.col("hook"))
     share_q, share_h = F.col("shared") / F.size("q"), F.col("shared") / F.col("n_h")
-    return sized.where(holds | (share_q >= 0.5) | ((F.col("shared") >= 2) & (share_h >= 0.35))).select("query_id", "path", "hook", "shared").distinct()
+    alike = sized.where((share_q >= 0.5) | ((F.col("shared") >= 2) & (share_h >= 0.35))).select("query_id", "path", "hook", "shared")
+    texts, questions = kept.select(F.col("hook").alias("x")).distinct(), asked.select(F.col("query").alias("y")).distinct()
+    either = held_pairs(texts, questions).union(held_pairs(questions, texts).select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    held = either.join(kept.select("path", F.col("hook").alias("x")).distinct(), "x").join(asked.select("query_id", F.col("query").alias("y")), "y").select("query_id", "path", F.col("x").alias("hook"))
+    held = held.join(shared, ["query_id", "path", "hook"], "left").select("query_id", "path", "hook", F.coalesce("shared", F.lit(0)).alias("shared"))
+    return alike.union(held).distinct()
+
+
+def held_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs of texts (first columns of both) where the first one stands in the second one, under both names.
+
+    An inner text is looked up by that run of its characters which the fewest outer texts have, so a run that most texts
+    share brings no pairs together; one shorter than a run is looked up by itself among the outer texts' shorter runs.
+    """
+    x, y = inner.columns[0], outer.columns[0]
+    # Inner texts shorter than a run need runs of their own length: at most HELD_RUN numbers.
+    lengths = [r[0] for r in inner.where(F.length(x) > 0).select(F.least(F.lit(HELD_RUN), F.length(x)).alias("n")).distinct().collect()]
+    sizes = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
+    outs = outer.where(F.length(y) > 0).select(y, F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: _runs(F.col(y), n))))).alias("run"))
+    common = outs.groupBy("run").agg(F.count("*").alias("n"))
+    own = inner.where(F.length(x) > 0).select(x, F.explode(F.array_distinct(_runs(F.col(x), F.least(F.lit(HELD_RUN), F.length(x))))).alias("run"))
+    missing = own.join(common, "run", "left").groupBy(x).agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("run"))
+    return missing.join(outs, "run").where(F.col(y).contains(F.col(x))).select(x, y)
+
+
+def _runs(text: Column, n: Column) -> Column:
+    """All runs of n characters; the text's characters are read once."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.flatten(F.transform(F.array(chars), lambda c: F.transform(starts, lambda i: F.array_join(F.slice(c, i, n), ""))))
 
 
 def hooks_holding(hooks: DataFrame, query: str) -> DataFrame:
@@ -155,8 +234,8 @@ def hooks_holding(hooks: DataFrame, query: str) -> DataFrame:
     return hooks.where(F.col("hook").contains(query) | F.lit(query).contains(F.col("hook"))).select("path", "hook")
 
 
-def search(notes: DataFrame, keywords: str = "", filters: dict | None = None, exclude: list[str] = (), rank: list[str] = (), limit: int = 20, primary: dict | None = None, include_stale: bool = False, least: int = LEAST_GRAMS) -> DataFrame:
-    """Filtered, ranked notes for one request; notes whose hooks match stand first."""
+def search(notes: DataFrame, keywords: str = "", filters: dict | None = None, exclude: list[str] = (), rank: list[str] = (), limit: int = 20, primary: dict | None = None, include_stale: bool = False, least: int = LEAST_GRAMS, index: Index | None = None) -> DataFrame:
+    """Filtered, ranked notes for one request; notes whose hooks match stand first. ``index`` is that of the notes, if it was built before."""
     filters = filters or {}
     spark = notes.sparkSession
     candidates = notes.where(passes(filters, exclude, primary, include_stale))
@@ -164,16 +243,24 @@ def search(notes: DataFrame, keywords: str = "", filters: dict | None = None, ex
     if not keywords:
         return candidates.withColumn("bm25", F.lit(0.0)).withColumn("hooked", F.lit(False)).orderBy(*order).limit(limit)
     query = spark.createDataFrame([(0, keywords)], "query_id int, text string")
-    scored = bm25(notes, query).where(above_floor(least)).select("path", "bm25")
+    scored = bm25(index or notes, query).where(above_floor(least)).select("path", "bm25")
     kept = notes.select("path", F.explode("q_hooks").alias("hook"))
-    hooks = hook_matches(kept, query).select("path").union(hooks_holding(kept, keywords).select("path")).distinct().withColumn("hooked", F.lit(True))
+    hooks = hook_matches(kept, query).select("path").distinct().withColumn("hooked", F.lit(True))
     found = candidates.join(scored, "path").join(hooks, "path", "left").withColumn("hooked", F.coalesce("hooked", F.lit(False)))
     return found.orderBy(F.desc("hooked"), *order).limit(limit)
 
 
-def pull(notes: DataFrame, recipe: dict) -> DataFrame:
+def pull(notes: DataFrame, recipe: dict, index: Index | None = None) -> DataFrame:
     """The notes that a recipe asks for."""
-    return search(notes, recipe.get("keywords", ""), recipe.get("filters", {}), recipe.get("exclude", []), recipe.get("rank", []), int(recipe.get("limit", 20)))
+    return search(notes, recipe.get("keywords", ""), recipe.get("filters", {}), recipe.get("exclude", []), recipe.get("rank", []), int(recipe.get("limit", 20)), index=index)
+
+
+def units(rows: DataFrame, kind: str = "", topic: str = "", confidence: str = "", status: str = "", limit: int = 20) -> DataFrame:
+    """The first units (with ``line``, their place in the file) that have all that is asked for; an empty wish asks nothing."""
+    for column, value in (("type", kind), ("confidence", confidence), ("status", status)):
+        rows = rows.where(F.col(column) == value) if value else rows
+    rows = rows.where(F.array_contains("topic_ids", topic)) if topic else rows
+    return rows.orderBy("line").limit(limit)
 
 
 def stale_count(notes: DataFrame, filters: dict, exclude: list[str] = (), primary: dict | None = None) -> DataFrame:

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillspark.functions import text as t
+from quillspark.operators import search
+from quillspark.plans.scratch import Scratch, exists
 
+_indexes: dict[tuple[str, str], str] = {}
 TOPICS = 3
 TOPIC_CHARS = 6
 
@@ -32,9 +35,20 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The full-text index of the notes; built by the first query of a session that needs it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes or not exists(spark, _indexes[key]):
+        _indexes[key] = Scratch(spark, "note-index").path("tables")
+        return search.build_index(notes(spark, sf_dir).select("path", "title", "body"), _indexes[key])
+    return search.open_index(spark, _indexes[key])
+
+
 def topic_words(rows: DataFrame) -> DataFrame:
     """(path, topics) from (path, body): the most frequent words of six characters or more, ties by the word."""
-    words = rows.select("path", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).where(F.length("word") >= TOPIC_CHARS)
+    # Dealt by note once, words are counted and ranked without another exchange.
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    words = rows.select("path", "body").repartition(parts, "path").select("path", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).where(F.length("word") >= TOPIC_CHARS)
     order = Window.partitionBy("path").orderBy(F.desc("n"), "word")
     top = words.groupBy("path", "word").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= TOPICS)
     return top.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("topics"))

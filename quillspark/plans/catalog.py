@@ -49,7 +49,7 @@ SELECT query_id, path, CAST(rank AS INTEGER) AS rank, bm25, hits FROM (
 )
 def bm25_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best notes for each benchmark passage."""
-    scored = search.bm25(a.notes(spark, sf_dir).select("path", "title", "body"), a.questions(spark, sf_dir))
+    scored = search.bm25(a.index(spark, sf_dir), a.questions(spark, sf_dir))
     scored = scored.where(search.above_floor()).withColumn("bm25", F.round("bm25", 6))
     return search.best(scored, 10).select("query_id", "path", "rank", "bm25", "hits")
 
@@ -61,7 +61,7 @@ SELECT query_id, n_grams, count(*) AS raw, count(*) FILTER (n_grams < 2 OR hits
 )
 def bm25_floor_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many hits of each query the floor keeps and rejects."""
-    scored = search.split_by_floor(search.bm25(a.notes(spark, sf_dir).select("path", "title", "body"), a.questions(spark, sf_dir)))
+    scored = search.split_by_floor(search.bm25(a.index(spark, sf_dir), a.questions(spark, sf_dir)))
     kept = F.sum(F.col("kept").cast("bigint"))
     return scored.groupBy("query_id", F.col("n_grams").cast("bigint").alias("n_grams")).agg(F.count("*").alias("raw"), kept.alias("kept"), (F.count("*") - kept).alias("filtered"))
 
@@ -69,8 +69,7 @@ def bm25_floor_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {a.NOTE_SQL}, {a.TOKEN_SQL} SELECT gram, count(DISTINCT path) AS df, count(*) AS tf FROM tok GROUP BY gram")
 def gram_postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and term frequency of every term of the index."""
-    postings = search.postings(search.terms(a.notes(spark, sf_dir).select("path", "title", "body")))
-    return postings.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return a.index(spark, sf_dir).terms
 
 
 _FILTERS = {"domains": ["en", "fr"], "types": ["教程", "案例"]}
@@ -156,7 +155,7 @@ def recall_four_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = a.questions(spark, sf_dir).orderBy("query_id").first()["text"]
     rows = Scratch(spark, "recall-notes").store(a.full_notes(spark, sf_dir), "notes")
     route = recall.Route(keywords=[text], need_relations=True, top_k=100)
-    found = recall.recall(rows, text, route, a.relations(rows))
+    found = recall.recall(rows, text, route, a.relations(rows), index=a.index(spark, sf_dir))
     return found.select("path", F.concat_ws(",", "channels").alias("channels"), "weight", F.round("bm25", 6).alias("bm25"))
 
 
@@ -177,7 +176,7 @@ FROM ideal LEFT JOIN per USING (query_id)"""
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall, reciprocal rank and gain of ten hits, where notes that hold the passage are relevant."""
     rows, asked = a.notes(spark, sf_dir).select("path", "title", "body"), a.questions(spark, sf_dir)
-    scored = search.bm25(rows, asked)
+    scored = search.bm25(a.index(spark, sf_dir), asked)
     ranked = search.best(scored.where(search.above_floor()).withColumn("bm25", F.round("bm25", 6)), 10)
     # A note that holds a passage has all of its terms.
     full = scored.where("hits = n_grams").select("query_id", "path")
@@ -216,7 +215,7 @@ SELECT query_id, path, CAST(rrf AS DOUBLE) AS rrf, CAST(rank AS INTEGER) AS rank
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rankings of each query's hits, by score and by terms hit, fused by reciprocal ranks."""
-    scored = search.bm25(a.notes(spark, sf_dir).select("path", "title", "body"), a.questions(spark, sf_dir))
+    scored = search.bm25(a.index(spark, sf_dir), a.questions(spark, sf_dir))
     by = lambda *keys: F.row_number().over(Window.partitionBy("query_id").orderBy(*keys))
     ranks = scored.select("query_id", "path", by(F.round("bm25", 6), "path").alias("r1"), by(F.desc("hits"), "path").alias("r2"))
     fused = ranks.withColumn("rrf", F.round(1.0 / (60 + F.col("r1")) + 1.0 / (60 + F.col("r2")), 8))
@@ -248,8 +247,8 @@ def flow_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def generic_bigram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which terms half of all notes have."""
-    rows = a.notes(spark, sf_dir).select("path", F.concat_ws("\n", "title", "body").alias("text"))
-    return aggregate.generic_terms(rows, t.index_grams(F.col("text")))
+    index = a.index(spark, sf_dir)
+    return aggregate.generic(index.terms.select("gram", "df"), index.lengths)
 
 
 @query(
