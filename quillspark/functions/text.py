@@ -56,10 +56,10 @@ def stem(word: Column) -> Column:
     return F.when(word.rlike(r"^[\x00-\x7f]*$"), out).otherwise(word)
 
 
-def _windows(segment: Column, n: int) -> Column:
-    """All runs of n code points; none if the segment is shorter."""
-    starts = F.when(F.length(segment) >= n, F.sequence(F.lit(1), F.length(segment) - (n - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda i: segment.substr(i, F.lit(n)))
+def _pairs(chars: Column) -> Column:
+    """All runs of two of some characters."""
+    n = F.greatest(F.size(chars) - 1, F.lit(0))
+    return F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda x, y: F.concat(x, y))
 
 
 def _stops(words: list[str]) -> Column:
@@ -76,10 +76,9 @@ def grams(text: Column, single: bool = False, drop_stopwords: bool = False) -> C
     words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), stem)
 
     def units(segment: Column) -> Column:
-        pairs = _windows(segment, 2)
+        pairs = _pairs(F.split(segment, ""))
         if single:
-            chars = F.filter(F.split(segment, ""), lambda c: ~F.lit(STOP_CHARS).contains(c))
-            han = F.concat(chars, pairs)
+            han = F.concat(F.filter(F.split(segment, ""), lambda c: ~F.lit(STOP_CHARS).contains(c)), pairs)
         else:
             han = pairs
         first = segment.substr(1, 1)
@@ -165,6 +164,7 @@ def candidate_topics(heading: Column) -> Column:
 
 # Patterns of verbatim and quality checks ---------------------------------------------------------------------------
 
+# Fixed values.
 NUMBER = r"(?<![0-9A-Za-z])\d[\d,\.]*(?:[-–—]\d[\d\.]*)?%?(?![0-9A-Za-z])"
 COMMAND = r"`([^`\n]+)`"
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
@@ -220,6 +220,7 @@ def locators(text: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")))
 
 
+# What is taken out, and what stays of it.
 NOISE = (
     (r"(?s)```.*?```", " "),
     (r"!\[[^\]]*\]\([^)]*\)", " "),
@@ -250,6 +251,7 @@ def inference_scope(text: Column, heading: str = "## AI 推断", mark: str = "
     return F.when(text.contains(heading), F.concat(head, kept)).otherwise(text)
 
 
+# First lines that stand for headings, cells that hold no text.
 PSEUDO_HEADING = (
     r"^[ \t]{0,3}\*\*[^*\n]{2,60}\*\*[:：]?[ \t]*$",
     r"^[ \t]{0,3}\*\*[^*\n]{2,60}?\*\*",

@@ -203,7 +203,9 @@ def locate(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     place back; else ``missing``.
     """
     rows = quotes.join(docs.select("path", "text"), "path").withColumn("places", occurrences(F.col("text"), F.col("quote")))
-    kept = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.struct(i.alias("i"), F.col("text").substr(i, F.lit(1)).alias("c"))), lambda x: t.norm(x["c"]) != "")
+    # The text is cut into its characters once.
+    chars = F.transform(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)), lambda c, i: F.struct((i + 1).alias("i"), c.alias("c")))
+    kept = F.filter(chars, lambda x: t.norm(x["c"]) != "")
     at = F.instr(t.norm(F.col("text")), t.norm(F.col("quote")))
     fuzzy = (F.size("places") == 0) & (F.length(t.norm(F.col("quote"))) > 0) & (at > 0)
     rows = rows.withColumn("at", F.when(fuzzy, at).otherwise(F.lit(0))).withColumn("kept", F.when(F.col("at") > 0, kept))

@@ -139,7 +139,7 @@ def extraction(units: DataFrame, sources: DataFrame) -> DataFrame:
     placed = placed.withColumn("span", span).withColumn("again", again)
     numbers = F.filter(t.number_tokens(F.coalesce("text", F.lit(""))), lambda x: ~F.col("span").contains(x))
     commands = F.filter(t.command_spans(F.coalesce("text", F.lit(""))), lambda x: ~F.col("span").contains(x))
-    return rules(
+    found = rules(
         placed,
         "id",
         [
@@ -151,6 +151,12 @@ def extraction(units: DataFrame, sources: DataFrame) -> DataFrame:
             ("evidence_dup", "warning", F.col("at").isNotNull() & (F.col("again") > 1)),
         ],
     )
+    if "steps" not in units.columns:
+        return found
+    # A procedure whose steps come from several places but that keeps one evidence has lost the others.
+    places = lambda c: F.size(F.array_distinct(F.filter(F.transform(c, lambda x: x["locator"]), lambda x: x.isNotNull() & (x != ""))))
+    trimmed = (F.col("type") == "procedure") & (places("steps") >= 2) & (places("evidence") <= 1)
+    return found.union(rules(units, "id", [("evidence_trimmed", "error", trimmed)]))
 
 
 def ordered_steps(units: DataFrame) -> DataFrame:
@@ -188,19 +194,21 @@ def triage_fences(segments: DataFrame) -> DataFrame:
 
 
 def verbatim(notes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(path, extra, missing, degraded): numbers and commands of a note that its cited blocks lack, and numbers of the main block that it lacks.
+    """(path, extra, missing, degraded, cross_block): numbers and commands of a note that its cited blocks lack, and numbers of the main block that it lacks.
 
-    notes (path, body), blocks (path, ord, segment), the main block first. Without blocks the comparison is degraded.
+    notes (path, body), blocks (path, ord, segment), the main block first. Without blocks the comparison is degraded;
+    with several, what is missing is told of the main one only (``cross_block``). A base that has units is checked by
+    ``extraction`` instead: then pass no notes.
     """
     said = F.array_union(t.number_tokens(t.without_noise(t.inference_scope(F.col("body")))), t.command_spans(F.col("body")))
     own = notes.select("path", F.array_distinct(said).alias("said"))
     sourced = blocks.select("path", "ord", F.array_union(t.number_tokens(t.without_noise(F.col("segment"))), t.command_spans(F.col("segment"))).alias("has"), t.number_tokens(t.without_noise(F.col("segment"))).alias("numbers"))
-    held = sourced.groupBy("path").agg(F.array_distinct(F.flatten(F.collect_list("has"))).alias("has"), F.array_distinct(F.min_by("numbers", "ord")).alias("main"))
+    held = sourced.groupBy("path").agg(F.array_distinct(F.flatten(F.collect_list("has"))).alias("has"), F.array_distinct(F.min_by("numbers", "ord")).alias("main"), F.count("*").alias("n"))
     rows = own.join(held, "path", "left")
     none = F.expr("cast(array() as array<string>)")
     noise = r"^(?:\d+[\.、]|0\d\d|[0-9]{8,})$"
     missing = F.filter(F.array_except(F.coalesce("main", none), "said"), lambda x: ~x.rlike(noise))
-    return rows.select("path", F.array_sort(F.array_except("said", F.coalesce("has", none))).alias("extra"), F.array_sort(missing).alias("missing"), F.col("has").isNull().alias("degraded"))
+    return rows.select("path", F.array_sort(F.array_except("said", F.coalesce("has", none))).alias("extra"), F.array_sort(missing).alias("missing"), F.col("has").isNull().alias("degraded"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("cross_block"))
 
 
 def numbers_compared(left: Column, right: Column) -> tuple[Column, Column]:
@@ -261,10 +269,14 @@ def missing_items(required: DataFrame, present: DataFrame, code: str) -> DataFra
 
 
 def index_consistency(meta: DataFrame, notes: DataFrame, version: int) -> DataFrame:
-    """(code, status) of an index (schema_version, notes_indexed) against the notes that are there; an empty base passes."""
+    """(code, status) of an index (schema_version, notes_indexed) against the notes that are there; an empty base passes, and
+    without an index (an empty ``meta``) there is nothing to judge."""
     there = notes.agg(F.count("*").alias("there"))
+    # One row always: an aggregate of no row is null.
+    meta = meta.agg(F.max("schema_version").alias("schema_version"), F.max("notes_indexed").alias("notes_indexed"))
     bad = F.when(F.col("schema_version") != version, "schema_version").when((F.col("there") > 0) & (F.col("notes_indexed") == 0), "index_empty").when(F.col("there") != F.col("notes_indexed"), "count_differs")
-    return meta.join(F.broadcast(there)).select(F.coalesce(bad, F.lit("ok")).alias("code"), F.when(bad.isNull(), "pass").otherwise("fail").alias("status"))
+    none = F.col("schema_version").isNull()
+    return meta.join(F.broadcast(there)).select(F.when(none, "no_index").otherwise(F.coalesce(bad, F.lit("ok"))).alias("code"), F.when(none, "na").when(bad.isNull(), "pass").otherwise("fail").alias("status"))
 
 
 # Progress ----------------------------------------------------------------------------------------------------------

@@ -2,72 +2,73 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Canonical tags by dimension, their variants, and what tags imply.
-CANON = {
-    "domains": ["AI", "编程"],
-    "forms": ["自媒体", "视频", "文章", "直播"],
-    "tools": ["Codex", "Claude", "Cursor", "AI Agent", "Skills", "ComfyUI", "即梦", "可灵", "剪辑", "微信小程序", "n8n", "WorkBuddy"],
-    "types": ["教程", "案例", "复盘", "SOP", "问答", "观点", "素材", "资源"],
-    "projects": ["AI自媒体", "B站好物", "视频号带货", "小红书虚拟", "YouTube_TK", "Codex剪辑", "AI视频", "AI绘画"],
-    "sources": ["妙记", "PDF", "网页剪藏", "原创"],
-}
-SYNONYMS = {
-    "AI": ["人工智能", "ai"], "编程": ["代码", "程序开发"], "Codex": ["codex"], "Claude": ["claude", "claude code", "claudecode"], "Cursor": ["cursor"],
-    "AI Agent": ["agent", "agents", "ai agent", "智能体"], "Skills": ["skill", "skills", "技能"], "ComfyUI": ["comfyui", "comfy ui"], "即梦": ["即梦", "jimeng", "dreamina"],
-    "可灵": ["可灵", "kling"], "剪辑": ["剪辑", "剪映", "capcut"], "微信小程序": ["微信小程序", "小程序", "miniprogram"], "n8n": ["n8n"], "WorkBuddy": ["workbuddy", "work buddy"],
-    "自媒体": ["自媒体", "新媒体"], "视频": ["视频", "短视频"], "文章": ["文章", "公众号", "图文"], "直播": ["直播", "妙记"],
-    "YouTube_TK": ["youtube", "ypp", "shorts", "tiktok", "tk", "出海"], "B站好物": ["b站", "好物", "悬赏", "蓝链"], "视频号带货": ["视频号"], "小红书虚拟": ["小红书", "小绿书"],
-    "AI视频": ["ai生成视频", "ai视频", "生成视频"], "AI绘画": ["ai绘画", "生图", "ai绘画·生图"],
-    "教程": ["教程", "保姆级", "手把手", "攻略", "玩法", "指南", "从0到1", "实战", "入门"], "案例": ["案例", "例子", "实例", "实录"], "复盘": ["复盘", "总结"],
-    "观点": ["观点", "测评", "评测", "盘点", "看法"], "SOP": ["sop", "手册", "流程", "工作流"], "问答": ["问答", "q&a", "qa"], "素材": ["素材", "资料", "参考", "选题库", "文案库"],
-    "资源": ["资源", "工具集", "链接合集", "插件库"], "PDF": ["pdf"], "网页剪藏": ["剪藏", "网页", "webclip"], "妙记": ["妙记", "飞书妙记"],
-}
-PROJECT_IMPLIES = {
-    "AI自媒体": {"domains": ["AI"], "forms": ["自媒体"]},
-    "B站好物": {"domains": ["AI"], "forms": ["自媒体"]},
-    "视频号带货": {"domains": ["AI"], "forms": ["自媒体"]},
-    "小红书虚拟": {"domains": ["AI"], "forms": ["自媒体"]},
-    "YouTube_TK": {"domains": ["AI"], "forms": ["自媒体"]},
-    "AI视频": {"domains": ["AI"], "forms": ["视频"]},
-    "AI绘画": {"domains": ["AI"]},
-    "Codex剪辑": {"domains": ["AI"], "tools": ["Codex", "剪辑"]},
-}
-AI_TOOLS = ["Codex", "Claude", "Cursor", "AI Agent", "Skills", "ComfyUI", "即梦", "可灵", "n8n", "WorkBuddy"]
-SOURCE_PRIORITY = ["妙记", "PDF", "网页剪藏", "原创"]
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """What a base tags by: canonical tags by dimension, further words that mean them, what a project implies, the tools
+    that imply a domain, kinds of sources from the most to the least telling one."""
+
+    canon: dict[str, list[str]]
+    synonyms: dict[str, list[str]] = field(default_factory=dict)
+    implies: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+    tools_of: tuple[str, list[str]] = ("", [])
+    source_priority: list[str] = field(default_factory=list)
+
+    def variants(self, dimension: str) -> dict[str, list[str]]:
+        """The words, in lower case, of each tag of a dimension."""
+        return {c: sorted({c.lower(), *(v.lower() for v in self.synonyms.get(c, []))}) for c in self.canon.get(dimension, [])}
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(dimension, canon, variant)."""
+        rows = [(d, c, v) for d in self.canon for c, words in self.variants(d).items() for v in words]
+        return spark.createDataFrame(sorted(rows), "dimension string, canon string, variant string")
+
+
+#: A small vocabulary of a garden's notes, for trials; a base brings its own.
+SAMPLE = Vocabulary(
+    canon={
+        "domains": ["garden", "water"],
+        "forms": ["article", "film"],
+        "tools": ["pump", "sensor"],
+        "types": ["guide", "case", "question"],
+        "projects": ["pond", "greenhouse"],
+        "sources": ["scan", "web"],
+    },
+    synonyms={"garden": ["/en/", "plants"], "water": ["/fr/", "/de/"], "article": ["blog", ".html"], "pump": ["page="], "sensor": ["utm_"], "guide": ["#top", "manual"], "case": ["m."], "pond": ["spam", "ref="], "web": ["https"], "scan": [".pdf"]},
+    implies={"pond": {"domains": ["water"], "forms": ["film"]}, "greenhouse": {"domains": ["garden"], "tools": ["sensor"]}},
+    tools_of=("garden", ["sensor"]),
+    source_priority=["scan", "web"],
+)
+# Fixed values.
 SKIPPED_FOLDERS = ("tmp", "00_索引·规范·日志", ".trash", "__MACOSX")
 NAVIGATION_NAMES = ("清单", "索引", "日志", "待下载", "报告", "总览", "说明")
 ESSENCE = "·精华笔记.md"
 TAGGED = ("domains", "forms", "tools", "types", "projects")
 
 
-def vocabulary(spark: SparkSession) -> DataFrame:
-    """(dimension, canon, variant) in lower case: a fixed table of some hundred rows."""
-    rows = [(d, c, v.lower()) for d, canons in CANON.items() for c in canons for v in {c, *SYNONYMS.get(c, [])}]
-    return spark.createDataFrame(sorted(set(rows)), "dimension string, canon string, variant string")
-
+def tag_paths(paths: DataFrame, vocabulary: Vocabulary = SAMPLE) -> DataFrame:
+    """Tags of each (path), by words its lower-cased path holds, what these imply, a confidence, and whether to review.
 
-def tag_paths(paths: DataFrame, variants: DataFrame | None = None) -> DataFrame:
-    """Tags of each (path), by variants its lower-cased path holds, what these imply, a confidence, and whether to review.
-
-    The vocabulary is fixed and small, so each path is compared with all of it, in the row.
+    A vocabulary is some hundred words, so each path is compared with all of it, in the row.
     """
     low = F.lower("path")
-    if variants is None:
-        found = {d: _found(low, {c: sorted({c.lower(), *(v.lower() for v in SYNONYMS.get(c, []))}) for c in canons}) for d, canons in CANON.items()}
-    else:
-        rows = variants.collect()
-        found = {d: _found(low, {c: sorted({r.variant for r in rows if r.dimension == d and r.canon == c}) for c in sorted({r.canon for r in rows if r.dimension == d})}) for d in CANON}
+    found = {d: _found(low, vocabulary.variants(d)) for d in (*TAGGED, "sources")}
     tags = paths.select("path", *[found[d].alias(d) for d in TAGGED], found["sources"].alias("_sources"))
     for d in ("domains", "forms", "tools"):
-        for project, implied in PROJECT_IMPLIES.items():
+        for project, implied in vocabulary.implies.items():
             if d in implied:
                 tags = tags.withColumn(d, F.when(F.array_contains("projects", project), F.array_union(F.col(d), F.array(*map(F.lit, implied[d])))).otherwise(F.col(d)))
-    ai = F.arrays_overlap("tools", F.array(*map(F.lit, AI_TOOLS)))
-    tags = tags.withColumn("domains", F.when(ai, F.array_union("domains", F.array(F.lit("AI")))).otherwise(F.col("domains")))
+    domain, tools = vocabulary.tools_of
+    if tools:
+        used = F.arrays_overlap("tools", F.array(*map(F.lit, tools)))
+        tags = tags.withColumn("domains", F.when(used, F.array_union("domains", F.array(F.lit(domain)))).otherwise(F.col("domains")))
     source = F.lit(None).cast("string")
-    for name in reversed(SOURCE_PRIORITY):
+    for name in reversed(vocabulary.source_priority):
         source = F.when(F.array_contains("_sources", name), F.lit(name)).otherwise(source)
     core = (F.size("domains") > 0) & (F.size("types") > 0)
     score = sum((F.when(F.size(d) > 0, w).otherwise(0.0) for d, w in (("domains", 0.4), ("types", 0.3), ("tools", 0.15), ("forms", 0.1), ("projects", 0.15))), F.lit(0.0))
@@ -106,9 +107,14 @@ def body_documents(files: DataFrame) -> DataFrame:
     return kept.withColumn("_original", original).join(files.select(F.col("path").alias("_original")), "_original", "left_anti").drop("_original")
 
 
-def tag_tiers(tags: DataFrame, dimension: str, least: int = 5) -> DataFrame:
-    """(tag, n, tier) of a dimension: primary from so many uses on, else candidate."""
-    return tags.select(F.explode(dimension).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).withColumn("tier", F.when(F.col("n") >= least, "primary").otherwise("candidate"))
+def tag_tiers(tags: DataFrame, dimension: str, least: int = 5, known: list[str] | None = None, promoted: int = 3) -> DataFrame:
+    """(tag, n, tier) of a dimension: primary from ``least`` uses on, else candidate.
+
+    With the tags known before, others are new: these are primary from ``promoted`` uses on.
+    """
+    counted = tags.select(F.explode(dimension).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    enough = F.lit(least) if known is None else F.when(F.col("tag").isin(known), least).otherwise(promoted)
+    return counted.withColumn("tier", F.when(F.col("n") >= enough, "primary").otherwise("candidate"))
 
 
 def archived_tags(uses: DataFrame, today: str, days: int = 180) -> DataFrame:

@@ -338,25 +338,25 @@ def dead_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tagger_sql() -> str:
     def hits(dimension: str) -> str:
         cases = []
-        for canon in tagging.CANON[dimension]:
-            words = sorted({canon.lower(), *(v.lower() for v in tagging.SYNONYMS.get(canon, []))})
+        for canon, words in tagging.SAMPLE.variants(dimension).items():
             cases.append("CASE WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{canon}' END")
         return f"[x FOR x IN [{', '.join(cases)}] IF x IS NOT NULL]"
 
     def implied(dimension: str) -> str:
-        parts = [f"CASE WHEN list_contains(projects, '{p}') THEN [{', '.join(repr(v) for v in i[dimension])}] ELSE [] END" for p, i in tagging.PROJECT_IMPLIES.items() if dimension in i]
+        parts = [f"CASE WHEN list_contains(projects, '{p}') THEN [{', '.join(repr(v) for v in i[dimension])}] ELSE [] END" for p, i in tagging.SAMPLE.implies.items() if dimension in i]
         return f"list_distinct(flatten([{dimension}, {', '.join(parts)}]))"
 
-    tools = ", ".join(f"'{x}'" for x in tagging.AI_TOOLS)
+    domain, used = tagging.SAMPLE.tools_of
+    tools = ", ".join(f"'{x}'" for x in used)
     columns = ", ".join(f"{hits(d)} AS {d}" for d in tagging.TAGGED)
     return f"""WITH raw AS (SELECT page_id, url AS path, lower(url) AS low FROM pages), hit AS (SELECT page_id, path, {columns}, {hits("sources")} AS sources FROM raw),
 more AS (SELECT page_id, path, types, projects, sources, {implied("domains")} AS domains, {implied("forms")} AS forms, {implied("tools")} AS tools FROM hit),
-full_tags AS (SELECT page_id, path, types, projects, sources, forms, tools, CASE WHEN list_has_any(tools, [{tools}]) THEN list_distinct(list_append(domains, 'AI')) ELSE domains END AS domains FROM more),
+full_tags AS (SELECT page_id, path, types, projects, sources, forms, tools, CASE WHEN list_has_any(tools, [{tools}]) THEN list_distinct(list_append(domains, '{domain}')) ELSE domains END AS domains FROM more),
 scored AS (SELECT *, CASE WHEN len(domains) > 0 THEN 0.4 ELSE 0 END + CASE WHEN len(types) > 0 THEN 0.3 ELSE 0 END + CASE WHEN len(tools) > 0 THEN 0.15 ELSE 0 END
   + CASE WHEN len(forms) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(projects) > 0 THEN 0.15 ELSE 0 END AS s FROM full_tags),
 sure AS (SELECT *, CAST(least(round(CASE WHEN len(domains) > 0 AND len(types) > 0 THEN s ELSE least(s, 0.5) END, 3), 0.95) AS DOUBLE) AS confidence FROM scored)
 SELECT page_id, array_to_string(list_sort(domains), ',') AS domains, array_to_string(list_sort(forms), ',') AS forms, array_to_string(list_sort(tools), ',') AS tools, array_to_string(list_sort(types), ',') AS types,
-  array_to_string(list_sort(projects), ',') AS projects, CASE WHEN list_contains(sources, '妙记') THEN '妙记' WHEN list_contains(sources, 'PDF') THEN 'PDF' WHEN list_contains(sources, '网页剪藏') THEN '网页剪藏' WHEN list_contains(sources, '原创') THEN '原创' END AS source_kind,
+  array_to_string(list_sort(projects), ',') AS projects, CASE WHEN list_contains(sources, 'scan') THEN 'scan' WHEN list_contains(sources, 'web') THEN 'web' END AS source_kind,
   confidence, confidence < 0.6 AS needs_review FROM sure"""
 
 

@@ -152,15 +152,23 @@ def test_locate(spark):
 
 
 def test_tagger(spark):
-    rows = spark.createDataFrame([("妙记/codex剪辑教程.pdf",), ("misc/notes.md",), ("x/b站好物复盘.md",), ("email.md",)], "path string")
-    got = {r.path: r for r in tagging.tag_paths(rows).collect()}
-    first = got["妙记/codex剪辑教程.pdf"]
-    assert first.domains == ["AI"] and set(first.tools) >= {"Codex", "剪辑"} and first.types == ["教程"] and first.source_kind == "妙记" and first.projects == ["Codex剪辑"]
-    assert first.confidence == 0.95 and not first.needs_review
+    words = tagging.Vocabulary(
+        canon={"domains": ["herbs"], "tools": ["Rake"], "types": ["guide"], "forms": ["film"], "projects": ["Maze"], "sources": ["scan", "web"]},
+        synonyms={"herbs": ["kräuter"], "scan": ["pdf"]},
+        implies={"Maze": {"domains": ["herbs"], "forms": ["film"]}},
+        tools_of=("herbs", ["Rake"]),
+        source_priority=["scan", "web"],
+    )
+    rows = spark.createDataFrame([("web/rake guide.pdf",), ("misc/notes.md",), ("x/maze.md",), ("kräuter.md",)], "path string")
+    got = {r.path: r for r in tagging.tag_paths(rows, words).collect()}
+    first = got["web/rake guide.pdf"]
+    assert (first.domains, first.tools, first.types, first.source_kind, first.confidence, first.needs_review) == (["herbs"], ["Rake"], ["guide"], "scan", 0.85, False)
     assert got["misc/notes.md"].confidence == 0.0 and got["misc/notes.md"].needs_review
-    assert got["x/b站好物复盘.md"].domains == ["AI"] and got["x/b站好物复盘.md"].forms == ["自媒体"]
-    assert got["email.md"].domains == ["AI"] and got["email.md"].confidence == 0.4
-    assert tagging.tag_summary(tagging.tag_paths(rows)).first().n == 4
+    assert got["x/maze.md"].domains == ["herbs"] and got["x/maze.md"].forms == ["film"]
+    assert got["kräuter.md"].domains == ["herbs"] and got["kräuter.md"].confidence == 0.4
+    assert tagging.tag_summary(tagging.tag_paths(rows, words)).first().n == 4 and words.table(spark).where("canon = 'scan'").count() == 2
+    tiers = tagging.tag_tiers(spark.createDataFrame([(["a"],)] * 4 + [(["b"],)] * 3, "t array<string>"), "t", 5, ["a"]).collect()
+    assert {(r.tag, r.tier) for r in tiers} == {("a", "candidate"), ("b", "primary")}
     files = spark.createDataFrame([("a/x·精华笔记.md", 900), ("a/x.md", 900), ("b/y·精华笔记.md", 900), ("总览.md", 300), (".h/a.md", 900), ("t.md", 10), ("长总览.md", 900)], "path string, size bigint")
     assert set(paths(tagging.body_documents(files))) == {"a/x.md", "b/y·精华笔记.md", "长总览.md"}
 
@@ -290,9 +298,12 @@ def test_readers_and_writers(spark, tmp_path):
     root = f"file://{tmp_path}/kb"
     got = src.read_notes(spark, root).collect()
     assert len(got) == 1 and got[0].path == "工作流/a b.md"
+    (folder / "_临时.md").write_text(head, encoding="utf-8")
+    assert {r.path for r in src.read_notes(spark, root).collect()} == {"工作流/a b.md", "工作流/_临时.md"}
+    (folder / "_临时.md").unlink()
     n = got[0]
     assert (n.title, n.topics, n.q_hooks, n.sources, n.updated, n.stale, n.summary) == ("标题", ["剪辑", "视频"], ["怎么剪: 辑", "如何选题"], ["a.md"], "2024-01-02", True, "一句足够长的总结文字")
-    assert {r.path for r in src.files(spark, root).collect()} == {"工作流/a b.md", "工作流/plain.md"}
+    assert {r.path for r in src.files(spark, root).collect()} == {"工作流/a b.md", "工作流/plain.md", "工作流/_总览.md"}
     raw = spark.createDataFrame([(head + "body",)], "text string")
     new = raw.select(src.with_hooks(F.col("text"), F.array(F.lit("新问法"))).alias("text")).withColumn("path", F.lit("x.md"))
     again = src.parse_notes(new).first()
