@@ -218,8 +218,8 @@ def locate(quotes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def chunk_at(places: DataFrame, chunks: DataFrame) -> DataFrame:
     """Places (path, start, ...) with the chunk that holds each; null where none does."""
-    held = chunks.select("path", "chunk_id", "heading", "char_start", "char_end", "high_value")
-    return places.join(held, (places["path"] == held["path"]) & (F.col("start") >= F.col("char_start")) & (F.col("start") < F.col("char_end")), "left").drop(held["path"])
+    held = chunks.select(F.col("path").alias("_path"), "chunk_id", "heading", "char_start", "char_end", "high_value")
+    return places.join(held, (F.col("path") == F.col("_path")) & (F.col("start") >= F.col("char_start")) & (F.col("start") < F.col("char_end")), "left").drop("_path")
 
 
 def best_evidence(lines_: DataFrame, evidence: DataFrame) -> DataFrame:

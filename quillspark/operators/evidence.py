@@ -17,8 +17,7 @@ CHECK_LINE = r"(?m)^\d+\.[ \t]+([^\n]*?)[ \t]*——[ \t]*\[char=(\d+)-(\d+)\]"
 def _groups(text: Column, pattern: str, names: list[str]) -> Column:
     """Array of structs of a pattern's groups."""
     parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(len(names))]
-    rows = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, names, strict=True)])
-    return F.transform(rows, lambda r: F.struct(*[r[str(i)].alias(n) for i, n in enumerate(names)]))
+    return F.arrays_zip(*[p.alias(n) for p, n in zip(parts, names, strict=True)])
 
 
 def parse(notes: DataFrame) -> DataFrame:

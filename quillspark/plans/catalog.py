@@ -313,7 +313,13 @@ def quote_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.locate(quotes, rows).select("path", "verdict", "start", "end")
 
 
-@query()
+_NUMBERS = """[x FOR x IN list_sort(list_distinct(regexp_extract_all(regexp_replace({0}, '[,.%–—-]*[0-9]*[A-Za-z][0-9A-Za-z]*', ' ', 'g'), '[0-9][0-9,.]*(?:[-–—][0-9][0-9.]*)?%?')))]"""
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_NUMBERS.format("split_part(text, chr(10), 1)")} AS a, {_NUMBERS.format("substr(text, length(split_part(text, chr(10), 1)) + 1)")} AS b FROM documents)
+SELECT doc_id, array_to_string([x FOR x IN a IF NOT list_contains(b, x)], ' ') AS extra, array_to_string([x FOR x IN b IF NOT list_contains(a, x)], ' ') AS missing FROM d"""
+)
 def number_tokens_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers that a document's first line has and its rest has not, and the other way round."""
     first, rest = F.substring_index("text", "\n", 1), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 1)")
