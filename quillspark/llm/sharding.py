@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
@@ -24,6 +26,7 @@ from quillspark.plans.scratch import Scratch
 LIMIT = 32 * 1024 * 1024
 SPARE_BITS = 4  # of the first pass beyond what even buckets would need
 MOST_BITS = 22  # of one pass
+MOST_LEAVES = 1 << 23  # that are broadcast
 
 
 def prefix(h: Column, bits: int) -> Column:
@@ -71,24 +74,52 @@ def directory(sizes: DataFrame, limit: int, scratch: Scratch) -> list[tuple[int,
         low, high = high, min(64, high + MOST_BITS)
 
 
+def _with_leaves(rows: DataFrame, passes: list[tuple[int, DataFrame]], limit: int) -> DataFrame:
+    """The rows with the depth of their leaf, and whether it is over the limit (``_over``).
+
+    Leaves are ranges of the hash. Up to ``MOST_LEAVES`` of them, nine bytes each, go to all tasks, which look hashes up
+    there, so rows stay where they are; a directory of more leaves is joined.
+    """
+    leaves = None
+    for _, entries in passes:
+        own = entries.select("depth", "prefix", (F.col("total") > limit).alias("over")).distinct()
+        leaves = own if leaves is None else leaves.union(own)
+    if leaves.count() > MOST_LEAVES:
+        found = [f"_leaf{bits}" for bits, _ in passes]
+        for (bits, entries), name in zip(passes, found, strict=True):
+            leaf = entries.select(F.col("cell").alias("_cell"), F.struct("depth", (F.col("total") > limit).alias("over")).alias(name))
+            rows = rows.join(leaf, prefix(F.col("_h"), bits) == F.col("_cell"), "left").drop("_cell")
+        leaf = F.coalesce(*found)
+        return rows.withColumn("depth", leaf["depth"]).withColumn("_over", leaf["over"]).drop(*found)
+    table = leaves.toArrow()
+    depth, over = (table.column(c).to_numpy().astype(np.uint8) for c in ("depth", "over"))
+    first = table.column("prefix").to_numpy().astype(np.int64).view(np.uint64)
+    first = np.where(depth == 0, np.uint64(0), first << np.minimum(64 - depth.astype(np.uint64), np.uint64(63)))
+    order = np.argsort(first, kind="stable")
+    shared = rows.sparkSession.sparkContext.broadcast((first[order], (depth + 128 * over)[order]))
+
+    @F.pandas_udf("int")
+    def leaf_of(h: pd.Series) -> pd.Series:
+        begins, codes = shared.value
+        return pd.Series(codes[np.searchsorted(begins, h.to_numpy(dtype=np.int64).view(np.uint64), side="right") - 1].astype(np.int32))
+
+    coded = rows.withColumn("_code", leaf_of("_h"))
+    return coded.withColumn("depth", F.col("_code") % 128).withColumn("_over", F.col("_code") >= 128).drop("_code")
+
+
 def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The rows of ``docs`` with n_bytes, shard (the bits of its prefix), depth, page and oversized."""
     scratch = Scratch(docs.sparkSession, "sharding")
     rows = _hashed(docs)
     passes = directory(scratch.store(rows.select("_h", "n_bytes"), "sizes"), limit, scratch)
-    out = rows
-    for bits, entries in passes:
-        leaf = entries.select(F.col("cell").alias("_cell"), F.struct("depth", "prefix", "total").alias(f"_leaf{bits}"))
-        out = out.join(leaf, prefix(F.col("_h"), bits) == F.col("_cell"), "left").drop("_cell")
-    found = [f"_leaf{bits}" for bits, _ in passes]
-    out = out.withColumn("_leaf", F.coalesce(*found)).drop(*found).withColumn("depth", F.col("_leaf.depth"))
-    digits = F.lpad(F.conv(F.hex("_leaf.prefix"), 16, 2), 64, "0")
+    out = _with_leaves(rows, passes, limit)
+    digits = F.lpad(F.conv(F.hex(F.expr("if(depth = 0, 0L, shiftrightunsigned(_h, 64 - depth))")), 16, 2), 64, "0")
     out = out.withColumn("shard", digits.substr(F.lit(65) - F.col("depth"), F.col("depth"))).withColumn("oversized", F.col("n_bytes") > limit)
     scratch.drop("sizes", *[f"{t}{bits}" for bits, _ in passes for t in ("buckets", "left")])
     if passes[-1][0] < 64 or passes[-1][1].where(F.col("total") > limit).isEmpty():
         return out.withColumn("page", F.lit(0).cast("bigint")).select("_row.*", *RESULT)
     # Copies that fill a bucket alone are equal in size: pages of so many rows, numbered within parts of the table.
-    full = scratch.store(out.where(F.col("_leaf.total") > limit).withColumn("_part", F.spark_partition_id()), "overflow")
+    full = scratch.store(out.where("_over").withColumn("_part", F.spark_partition_id()), "overflow")
     counts = full.groupBy("_h", "_part").agg(F.count("*").alias("n"), F.max("n_bytes").alias("b"))
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("b"), F.lit(1))))
     before = Window.partitionBy("_h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,7 +127,7 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("_h", "_part").orderBy("n_bytes")) - 1
     paged = full.withColumn("_n", number).join(counts, ["_h", "_part"])
     paged = paged.withColumn("page", (F.col("_first") + F.floor(F.col("_n") / F.col("_each"))).cast("bigint"))
-    rest = out.where(F.col("_leaf.total") <= limit).withColumn("page", F.lit(0).cast("bigint"))
+    rest = out.where("not _over").withColumn("page", F.lit(0).cast("bigint"))
     return rest.select("_row.*", *RESULT).unionByName(paged.select("_row.*", *RESULT))
 
 

@@ -245,9 +245,17 @@ def test_sharding_copies_and_odd_inputs(spark):
     assert sharding.assign(rows.where("false"), 100).count() == 0
 
 
-def test_sharding_writes(spark, tmp_path):
-    sharding.write_shards(docs_of(spark, ["x" * 50] * 40), f"{tmp_path}/out", 300)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 40
+def test_sharding_writes_and_reads(spark, tmp_path, monkeypatch):
+    """What is read back is what was placed, whatever the columns' names; a joined directory places alike."""
+    docs = docs_of(spark, [*["x" * 50] * 40, None, "y" * 400], [*[1] * 20, *range(22)]).withColumn("_h", F.lit(1)).withColumn("_leaf", F.lit("l")).withColumn("shard", F.lit(3))
+    placed = sharding.assign(docs, 300)
+    sharding.write_shards(docs, f"{tmp_path}/out", 300)
+    read = sharding.read_shards(spark, f"{tmp_path}/out", docs)
+    assert read.columns == placed.columns and {"_h", "_leaf"} <= set(read.columns)
+    key = lambda rows: sorted(repr(tuple(r)) for r in rows.drop("page").collect())
+    assert key(read) == key(placed) and read.groupBy("shard", "page").agg(F.sum("n_bytes").alias("b"), F.max("oversized").alias("o")).where("b > 300 and not o").count() == 0
+    monkeypatch.setattr(sharding, "MOST_LEAVES", 0)
+    assert key(sharding.assign(docs, 300)) == key(placed)
 
 
 # 6 packing, 7 token index
