@@ -191,8 +191,10 @@ def hook_matches(hooks: DataFrame, queries: DataFrame) -> DataFrame:
     hook's are. Pairs meet on a shared term; where one text holds the other without a whole term in common (part of a
     word), they meet on the rarest of the inner text's runs of ``HELD_RUN`` characters.
     """
-    asked = queries.select("query_id", F.col("text").alias("query"), t.query_grams(F.col("text")).alias("q"))
-    kept = hooks.select("path", "hook", t.query_grams(F.col("hook")).alias("h")).where(F.size("h") > 0)
+    # Both sides are met several times below: they are written, so that every text is tokenised once.
+    scratch = Scratch(hooks.sparkSession, "hook-match")
+    asked = scratch.store(queries.select("query_id", F.col("text").alias("query"), t.query_grams(F.col("text")).alias("q")), "asked")
+    kept = scratch.store(hooks.select("path", "hook", t.query_grams(F.col("hook")).alias("h")), "kept").where(F.size("h") > 0)
     pairs = asked.select("query_id", F.explode("q").alias("gram")).join(kept.select("path", "hook", F.explode("h").alias("gram")), "gram")
     shared = pairs.groupBy("query_id", "path", "hook").agg(F.count("*").alias("shared"))
     sized = shared.join(asked, "query_id").join(kept.select("path", "hook", F.size("h").alias("n_h")).distinct(), ["path", "hook"])
@@ -223,10 +225,8 @@ def held_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
 
 def _runs(text: Column, n: Column) -> Column:
-    """All runs of n characters; the text's characters are read once."""
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.flatten(F.transform(F.array(chars), lambda c: F.transform(starts, lambda i: F.array_join(F.slice(c, i, n), ""))))
+    """All runs of n characters, in one pass: each character that a run begins with is matched, and the run looked ahead at."""
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("})).")), F.lit(1))
 
 
 def hooks_holding(hooks: DataFrame, query: str) -> DataFrame:

@@ -66,6 +66,17 @@ def test_hook_thresholds(spark):
     assert {r.query_id for r in search.hook_matches(hooks, asked).collect()} == {1}
 
 
+def test_held_pairs_against_brute_force(spark):
+    rng = random.Random(3)
+
+    def texts(longest):
+        return sorted({"".join(rng.choice("ab😀") for _ in range(rng.randint(0, longest))) for _ in range(60)} | {"漢\n字"})
+
+    inner, outer = texts(12), texts(40)
+    found = search.held_pairs(spark.createDataFrame([(x,) for x in inner], "x string"), spark.createDataFrame([(y,) for y in outer], "y string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((x, y) for x in inner for y in outer if x and x in y)
+
+
 def test_recall_channels_and_route(spark, kb):
     units = spark.createDataFrame([("u1", "relation", "剪辑", "写作", "d.md"), ("u2", "relation", "别的", "东西", "c.md")], "id string, type string, subject string, object string, doc_id string")
     route = recall.read_route({"keywords": ["怎么剪辑视频"], "need_relations": True, "top_k": 10}, kb)
