@@ -290,9 +290,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "near-dup")
     signed = scratch.store(signatures(docs), "signed")
     sets = ["n_shingles", "set_a", "set_b"]
-    classes = signed.where("doc_id is not null and n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("doc_id"))
-    nodes = signed.join(classes, [*sets, "doc_id"], "left_semi").dropDuplicates([*sets, "doc_id"]).select("doc_id", "n_shingles", "sketch", "high")
-    nodes = scratch.store(nodes, "nodes")
+    # Texts with equal sets have equal signatures, so any row of a class can give them.
+    classes = signed.where("doc_id is not null and n_shingles > 0").groupBy(*sets)
+    nodes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("high").alias("high"))
+    nodes = scratch.store(nodes.select("doc_id", "n_shingles", "sketch", "high"), "nodes")
     signed = scratch.store(signed.select("doc_id", *sets), "sets")
     scratch.drop("signed")
 
