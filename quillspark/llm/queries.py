@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import chat_format, decontamination, html_extraction, merkle, near_dup, packing, secrets, sharding, token_index, topk_search, toxicity
+from quillspark.llm import chat_format, decontamination, html_extraction, merkle, near_dup, packing, prefix_trie, secrets, sharding, token_index, topk_search, toxicity
 from quillspark.plans.scratch import Scratch
 
 SHARD_BYTES = 256 * 1024  # of the query; files of a large table are better cut at sharding.LIMIT
@@ -66,13 +66,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontamination, op2_html_extraction, op3_chat_format, op4_toxicity, op5_extendible_shards,
-        op6_packing, op7_token_index, op8_secret_scan, op9_minhash_near_dup, op10_exact_topk, op12_merkle_manifest,
+        op6_packing, op7_token_index, op8_secret_scan, op9_minhash_near_dup, op10_exact_topk, op12_merkle_manifest, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat_format.DIGEST_SQL, "op10_exact_topk": topk_search.TOPK_SQL, "op12_merkle_manifest": merkle.VERIFIED_SQL}
+    return {"op3_chat_format": chat_format.DIGEST_SQL, "op10_exact_topk": topk_search.TOPK_SQL, "op12_merkle_manifest": merkle.VERIFIED_SQL, "op13_prefix_trie": prefix_trie.TRIE_SQL}
