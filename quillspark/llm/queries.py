@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import chat_format, decontamination, html_extraction, merkle, near_dup, packing, prefix_trie, secrets, sharding, token_index, topk_search, toxicity
+from quillspark.llm import chat_format, decontamination, html_extraction, merkle, near_dup, packing, prefix_trie, projected_search, secrets, sharding, token_index, topk_search, toxicity
 from quillspark.plans.scratch import Scratch
 
 SHARD_BYTES = 256 * 1024  # of the query; files of a large table are better cut at sharding.LIMIT
@@ -62,6 +62,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(_table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontamination, op2_html_extraction, op3_chat_format, op4_toxicity, op5_extendible_shards,
-        op6_packing, op7_token_index, op8_secret_scan, op9_minhash_near_dup, op10_exact_topk, op12_merkle_manifest, op13_prefix_trie,
+        op6_packing, op7_token_index, op8_secret_scan, op9_minhash_near_dup, op10_exact_topk, op11_projected_neighbours, op12_merkle_manifest, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
