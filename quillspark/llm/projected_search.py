@@ -33,7 +33,7 @@ from quillspark.plans.scratch import Scratch
 
 K = 5
 DIMS = 10  # even, for the closed form of the distribution
-CONFIDENCE = 0.98
+CONFIDENCE = 0.95
 BLOCK = 4096  # vectors of a block, at most
 BLOCK_BYTES = 16 << 20
 LEAF = 32  # vectors of a leaf, at least, where there are so many
