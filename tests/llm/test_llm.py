@@ -126,7 +126,9 @@ def test_html_article_does_not_narrow_what_density_chose():
     assert html_extraction.extract(f"<body><div><a href=1>a</a></div>{story}<div><a href=4>d</a></div></body>") == " ".join([text, text, "A small card.", text])
     named = f"<body><div class='side menu'><a href=1>a</a></div><div class='social'><article><h1>Head</h1><p>{text}</p></article></div><div class='comments'>One more reader</div></body>"
     assert html_extraction.extract(named) == f"Head {text}"
-    assert html_extraction.extract(f"<body><div id='related'><p>{text}</p><p>{text}</p></div><p>x</p></body>") == " ".join([text] * 2)
+    # However much of the text they hold, named parts go, unless there is nothing else.
+    assert html_extraction.extract(f"<body><div id='related'><p>{text}</p><p>{text}</p></div><p>x</p></body>") == "x"
+    assert html_extraction.extract(f"<body><div id='related'><p>{text}</p><p>{text}</p></div></body>") == " ".join([text] * 2)
 
 
 def test_html_wrappers_attributes_and_forms():
@@ -139,6 +141,52 @@ def test_html_wrappers_attributes_and_forms():
     assert html_extraction.extract(f"<body><form><input name=q>Find</form><div><h2>Head</h2><p><b>{text}</b></p><p>Short.</p></div></body>") == f"Head {text} Short."
 
 
+def test_html_names_cut_no_words_of_the_article():
+    page = """<body><article><h1>Head</h1><p>One <span class="comment">two</span> <b class=foot>three</b></p><p class='related-work'>four</p>
+    <section id=menu><p>five</p></section><div class=reply>six</div></article><div class=menu><a href=1>Home</a></div></body>"""
+    assert html_extraction.extract(page) == "Head One two three four five six"
+
+
+def test_html_generated_pages():
+    """Pages of known main text: with and without an article, comments and side bars of up to sixty entries, named, headed or not at all."""
+    rng = random.Random(23)
+
+    def prose_of(k):
+        return " ".join(f"w{k}x{rng.randrange(99)}" for _ in range(rng.randrange(25, 60))) + "."
+
+    def entries(n, tag="div"):
+        return "".join(f"<{tag} class=c{rng.randrange(9)}><a href='/u'>reader {i}</a> <p>{prose_of(f'c{i}')}</p></{tag}>" for i in range(n))
+
+    asides = {
+        "named": lambda n: f"<div class='{rng.choice(['comments', 'comment-list', 'replies', 'discussion'])}'>{entries(n)}</div>",
+        "section": lambda n: f"<section id='comments'>{''.join(f'<p>{prose_of(i)}</p>' for i in range(n))}</section>",
+        "headed": lambda n: f"<div class=z><h3>{n} Comments</h3>{entries(n)}</div>",
+        "nested": lambda n: f"<section>{entries(n, 'article')}</section>",
+        "sidebar": lambda n: f"<div class='sidebar'>{''.join(f'<p>{prose_of(i)}</p>' for i in range(n))}</div>",
+        "unnamed": lambda n: f"<div class='q{n}'>{entries(max(n, 3))}</div>",
+    }
+    head = "<head><title>T</title></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=/a>A</a></ul></nav><div class=ad>Buy this now</div>"
+    end = "<footer>&copy; someone</footer></body></html>"
+    tried = 0
+    for kind, aside in asides.items():
+        for n in (0, 1, 3, 20, 60):
+            for frame in ("article", "main", "div", "inside"):
+                if kind == "nested" and frame != "article" or kind == "unnamed" and frame == "inside" and n == 0:
+                    continue
+                parts = [prose_of(i) for i in range(rng.randrange(2, 5))]
+                story = "<h1>The head</h1>" + "".join(f"<p>{p[:20]}<b>{p[20:30]}</b>{p[30:]}</p>" for p in parts)
+                extra = aside(n) if n else ""
+                if kind == "nested":
+                    body = f"<article>{story}{extra}</article>"
+                elif frame == "inside":
+                    body = f"<div id=page>{story}{extra}</div>"
+                else:
+                    body = f"<{frame} class=s>{story}</{frame}>{extra}"
+                assert html_extraction.extract(f"<html>{head}{body}{end}") == " ".join(["The head", *parts]), (kind, n, frame)
+                tried += 1
+    assert tried >= 100
+
+
 def test_html_is_linear():
     began = time.perf_counter()
     for bad in ("<div>" * 100_000 + "</i>" * 100_000, "<b><section>" + "<i>" * 100_000 + "</b>" * 100_000, "<a " * 100_000 + 'x=">"', "<a href=\"x>y " * 100_001, "<svg>" * 100_000, "<article>" * 50_000, "<header>" * 50_000):
