@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillspark.functions import text as t
+from quillspark.operators.similar import sharing
+from quillspark.operators.skew import salted
 from quillspark.plans.scratch import Scratch
 
 # Weights and constants of the score.
@@ -19,6 +21,7 @@ COLUMN_WEIGHTS = {"title": 1.0, "body": 1.0, "dimtext": 0.6, "qhooks": 3.0}
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 LEAST_GRAMS = 2
+OF_QUERY, OF_HOOK = 0.5, 0.35  # shares of terms
 HELD_RUN = 8
 PUSHED = 200
 POSTING = "gram string, path string, length bigint, tf bigint, weighted double"
@@ -188,23 +191,25 @@ def hook_matches(hooks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, path, hook, shared) where a question kept with a note answers a query.
 
     It does if one text holds the other, or half of the query's terms are shared, or at least two terms and 0.35 of the
-    hook's are. Pairs meet on a shared term; where one text holds the other without a whole term in common (part of a
+    hook's are. Distinct texts meet on their rarest terms (``similar``); where one text holds the other without enough terms in common (part of a
     word), they meet on the rarest of the inner text's runs of ``HELD_RUN`` characters.
     """
     # Both sides are met several times below: they are written, so that every text is tokenised once.
     scratch = Scratch(hooks.sparkSession, "hook-match")
-    asked = scratch.store(queries.select("query_id", F.col("text").alias("query"), t.query_grams(F.col("text")).alias("q")), "asked")
-    kept = scratch.store(hooks.select("path", "hook", t.query_grams(F.col("hook")).alias("h")), "kept").where(F.size("h") > 0)
-    pairs = asked.select("query_id", F.explode("q").alias("gram")).join(kept.select("path", "hook", F.explode("h").alias("gram")), "gram")
-    shared = pairs.groupBy("query_id", "path", "hook").agg(F.count("*").alias("shared"))
-    sized = shared.join(asked, "query_id").join(kept.select("path", "hook", F.size("h").alias("n_h")).distinct(), ["path", "hook"])
-    share_q, share_h = F.col("shared") / F.size("q"), F.col("shared") / F.col("n_h")
-    alike = sized.where((share_q >= 0.5) | ((F.col("shared") >= 2) & (share_h >= 0.35))).select("query_id", "path", "hook", "shared")
-    texts, questions = kept.select(F.col("hook").alias("x")).distinct(), asked.select(F.col("query").alias("y")).distinct()
+    asked = scratch.store(queries.select(F.col("text").alias("id")).where("id is not null").distinct().withColumn("members", t.query_grams(F.col("id"))), "asked")
+    kept = scratch.store(hooks.select(F.col("hook").alias("id")).where("id is not null").distinct().withColumn("members", t.query_grams(F.col("id"))), "kept").where(F.size("members") > 0)
+    alike = scratch.store(sharing(asked, kept, OF_QUERY, OF_HOOK, LEAST_GRAMS, scratch), "alike")
+    texts, questions = kept.select(F.col("id").alias("x")), asked.select(F.col("id").alias("y"))
     either = held_pairs(texts, questions).union(held_pairs(questions, texts).select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    held = either.join(kept.select("path", F.col("hook").alias("x")).distinct(), "x").join(asked.select("query_id", F.col("query").alias("y")), "y").select("query_id", "path", F.col("x").alias("hook"))
-    held = held.join(shared, ["query_id", "path", "hook"], "left").select("query_id", "path", "hook", F.coalesce("shared", F.lit(0)).alias("shared"))
-    return alike.union(held).distinct()
+    held = either.select(F.col("y").alias("asked"), F.col("x").alias("kept")).join(alike, ["asked", "kept"], "left_anti")
+    # A pair that is held but not alike may still share terms.
+    counted = held.join(asked.select(F.col("id").alias("asked"), F.col("members").alias("q")), "asked").join(kept.select(F.col("id").alias("kept"), F.col("members").alias("h")), "kept")
+    counted = counted.select("asked", "kept", F.size(F.array_intersect("q", "h")).cast("bigint").alias("shared"))
+    pairs = scratch.store(alike.unionByName(counted), "pairs")
+    paths = scratch.store(hooks.select("path", F.col("hook").alias("kept")).distinct(), "paths")
+    asking = scratch.store(queries.select("query_id", F.col("text").alias("asked")).distinct(), "asking")
+    found = scratch.store(salted(paths, pairs, "kept", paths.count(), "path"), "found")
+    return salted(found, asking, "asked", found.count(), "path").select("query_id", "path", F.col("kept").alias("hook"), "shared")
 
 
 def held_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
