@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.functions import text as t
 from quillspark.operators import search as s
 from quillspark.operators.graph import traverse
+from quillspark.operators.segments import hook_scan
 from quillspark.plans.scratch import Scratch
 
 # What a channel counts.
@@ -123,9 +124,11 @@ def recall(notes: DataFrame, query: str, route: Route | None = None, units: Data
         raise RouteError("route_empty", "a query, keywords or topics are needed")
     asked = spark.createDataFrame([(0, words)], "query_id int, text string")
     texts = scratch.store(text_channel(index or notes, asked, least), "texts")
-    kept = notes.select("path", F.explode("q_hooks").alias("hook"))
-    hooked = s.hook_matches(kept, asked).select("path")
-    hooked = scratch.store(hooked.distinct(), "hooked")
+    if "hook_terms" in notes.columns:
+        hooked = hook_scan(notes, words)
+    else:
+        hooked = s.hook_matches(notes.select("path", F.explode("q_hooks").alias("hook")), asked).select("path").distinct()
+    hooked = scratch.store(hooked, "hooked")
     seeds = scratch.store(topic_seeds(notes, texts, hooked, route.topics), "seeds")
     topical = notes.select("path", F.explode("topics").alias("topic")).join(seeds, "topic").select("path").distinct()
     hits = texts.unionByName(_channel(hooked, "hook")).unionByName(_channel(topical, "topic"))

@@ -54,11 +54,18 @@ def postings(indexed: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """The tables of an index: postings (gram, path, length, tf, weighted), lengths (path, length), terms (gram, df, tf)."""
+    """The tables of an index: postings (gram, path, length, tf, weighted), lengths (path, length), terms (gram, df, tf).
+
+    One of ``segments`` also has its postings in blocks, void notes, the notes themselves, and how many there are with their mean length.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame
+    blocks: DataFrame | None = None
+    dead: DataFrame | None = None
+    notes: DataFrame | None = None
+    whole: tuple[int, float] | None = None
 
     def of(self, wanted: DataFrame) -> DataFrame:
         """The postings of some terms (gram). A few are read by the files' own statistics; more meet the postings in a join."""
@@ -112,6 +119,8 @@ def bm25(notes: DataFrame | Index, queries: DataFrame) -> DataFrame:
     index = indexed(notes)
     wanted = query_terms(queries)
     whole = index.lengths.agg(F.count("*").alias("notes"), F.avg("length").alias("mean"))
+    if index.whole:
+        whole = notes_of_session(queries, index.whole)
     idf = F.ln((F.col("notes") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = wanted.join(index.terms.select("gram", "df"), "gram").join(F.broadcast(whole)).select("query_id", "n_grams", "gram", "mean", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
     parts = weights.join(index.of(wanted).select("gram", "path", "length", "weighted"), "gram")
@@ -119,6 +128,11 @@ def bm25(notes: DataFrame | Index, queries: DataFrame) -> DataFrame:
     return parts.groupBy("query_id", "path").agg((-F.sum(F.col("idf") * gain)).alias("bm25"), F.count("*").alias("hits"), F.first("n_grams").alias("n_grams"))
 
 
+def notes_of_session(queries: DataFrame, whole: tuple[int, float]) -> DataFrame:
+    """The number of notes and their mean length, where the index knows them, as one row."""
+    return queries.sparkSession.createDataFrame([whole], "notes bigint, mean double")
+
+
 def above_floor(least: int = LEAST_GRAMS) -> Column:
     """Whether a hit has enough of the query's distinct terms; a query of one term has no floor."""
     return (F.col("n_grams") < 2) | (F.col("hits") >= least) if least > 1 else F.lit(True)
@@ -200,7 +214,7 @@ def hook_matches(hooks: DataFrame, queries: DataFrame) -> DataFrame:
     kept = scratch.store(hooks.select(F.col("hook").alias("id")).where("id is not null").distinct().withColumn("members", t.query_grams(F.col("id"))), "kept").where(F.size("members") > 0)
     alike = scratch.store(sharing(asked, kept, OF_QUERY, OF_HOOK, LEAST_GRAMS, scratch), "alike")
     texts, questions = kept.select(F.col("id").alias("x")), asked.select(F.col("id").alias("y"))
-    either = held_pairs(texts, questions).union(held_pairs(questions, texts).select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    either = held_pairs(texts, questions).union(held_pairs(questions, texts).select("x", "y")).distinct()
     held = either.select(F.col("y").alias("asked"), F.col("x").alias("kept")).join(alike, ["asked", "kept"], "left_anti")
     # A pair that is held but not alike may still share terms.
     counted = held.join(asked.select(F.col("id").alias("asked"), F.col("members").alias("q")), "asked").join(kept.select(F.col("id").alias("kept"), F.col("members").alias("h")), "kept")

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillspark.functions import text as t
-from quillspark.operators import search
+from quillspark.operators import search, segments
 from quillspark.plans.scratch import Scratch, exists
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple, str] = {}
 TOPICS = 3
 TOPIC_CHARS = 6
 
@@ -35,13 +35,24 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files that the index is made of."""
+    hadoop, found = spark.sparkContext._jvm.org.apache.hadoop.fs, []
+    for name in ("documents", "conversations"):
+        path = hadoop.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(path)]
+    return tuple(sorted(found))
+
+
 def index(spark: SparkSession, sf_dir: str) -> search.Index:
-    """The full-text index of the notes; built by the first query of a session that needs it."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The index of the notes, with their topics and kept questions; built by the first query that needs it, anew if the tables' files have changed."""
+    key = spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir)
     if key not in _indexes or not exists(spark, _indexes[key]):
         _indexes[key] = Scratch(spark, "note-index").path("tables")
-        return search.build_index(notes(spark, sf_dir).select("path", "title", "body"), _indexes[key])
-    return search.open_index(spark, _indexes[key])
+        texts = notes(spark, sf_dir).select("path", "title", "body", "flow")
+        segments.update(spark, _indexes[key], texts, cluster=F.col("flow"), kept=full_notes(spark, sf_dir).drop("doc_id"))
+    return segments.open_index(spark, _indexes[key])
 
 
 def topic_words(rows: DataFrame) -> DataFrame:

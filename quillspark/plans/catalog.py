@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillspark.functions import text as t
-from quillspark.operators import aggregate, chunks, graph, metrics, quality, recall, search, tagging
+from quillspark.operators import aggregate, chunks, graph, metrics, quality, recall, search, segments, tagging
 from quillspark.plans import adapter as a
 from quillspark.plans.scratch import Scratch
 from quillspark.sources import notes as src
@@ -40,13 +40,16 @@ def oracle_sql() -> dict[str, str]:
 # Retrieval ---------------------------------------------------------------------------------------------------------
 
 
-@query(
+_TOP_SQL = (
     a.BM25_SQL
     + """
 SELECT query_id, path, CAST(rank AS INTEGER) AS rank, bm25, hits FROM (
   SELECT query_id, path, round(bm25, 6) AS bm25, hits, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), path) AS rank FROM scored WHERE n_grams < 2 OR hits >= 2
 ) WHERE rank <= 10"""
 )
+
+
+@query(_TOP_SQL)
 def bm25_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best notes for each benchmark passage."""
     scored = search.bm25(a.index(spark, sf_dir), a.questions(spark, sf_dir))
@@ -54,6 +57,12 @@ def bm25_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best(scored, 10).select("query_id", "path", "rank", "bm25", "hits")
 
 
+@query(_TOP_SQL)
+def bm25_block_bounds_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from those blocks of notes whose bounds reach the tenth score."""
+    return segments.top_k(a.index(spark, sf_dir), a.questions(spark, sf_dir), 10)[0]
+
+
 @query(
     a.BM25_SQL
     + """
@@ -153,9 +162,9 @@ ORDER BY weight DESC, coalesce(merged.bm25, 0.0), updated DESC, path LIMIT 100""
 def recall_four_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall for the first passage over text, questions, topics and relations: the first hundred notes."""
     text = a.questions(spark, sf_dir).orderBy("query_id").first()["text"]
-    rows = Scratch(spark, "recall-notes").store(a.full_notes(spark, sf_dir), "notes")
+    index = a.index(spark, sf_dir)
     route = recall.Route(keywords=[text], need_relations=True, top_k=100)
-    found = recall.recall(rows, text, route, a.relations(rows), index=a.index(spark, sf_dir))
+    found = recall.recall(index.notes, text, route, a.relations(index.notes), index=index)
     return found.select("path", F.concat_ws(",", "channels").alias("channels"), "weight", F.round("bm25", 6).alias("bm25"))
 
 

@@ -35,7 +35,7 @@ def test_sharing_matches_all_pairs(spark, monkeypatch, hot):
         return [(f"{prefix}{i}", [f"m{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randrange(0, 14))] + rng.choice([[], ["m1"], [None]])) for i in range(n)]
 
     asked, kept = sets("a", 150), sets("k", 200) + [("copy1", ["m1", "m2"]), ("copy2", ["m2", "m1"])]
-    for shares in ((0.5, 0.35, 2), (1.0, 1.0, 1), (0.01, 0.35, 3)):
+    for shares in ((0.5, 0.35, 2),) if hot else ((0.5, 0.35, 2), (0.01, 0.35, 3)):
         found = similar.sharing(spark.createDataFrame(asked, SETS), spark.createDataFrame(kept, SETS), *shares, Scratch(spark, "t"))
         rows = [tuple(r) for r in found.collect()]
         assert len(rows) == len(set(rows)) and set(rows) == brute(asked, kept, *shares)
@@ -58,9 +58,9 @@ def test_common_members_bring_few_pairs(spark):
 
 def test_hook_matches_of_copies_and_odd_texts(spark):
     hooks = [("p1", "how do pumps work"), ("p2", "how do pumps work"), ("p1", "how do pumps work"), ("p3", ""), ("p4", None), ("p5", "ump"), ("p6", "unrelated thing entirely")]
-    queries = [(1, "pumps work well"), (2, "pumps work well"), (3, ""), (4, None), (5, "nothing here")]
+    queries = [(1, "pumps work well"), (2, "pumps work well"), (3, ""), (4, None), (5, "nothing here"), (6, "ated thin")]
     found = search.hook_matches(spark.createDataFrame(hooks, "path string, hook string"), spark.createDataFrame(queries, "query_id int, text string"))
-    assert sorted(tuple(r) for r in found.collect()) == sorted([(q, p, h, n) for q in (1, 2) for p, h, n in [("p1", "how do pumps work", 2), ("p2", "how do pumps work", 2), ("p5", "ump", 0)]])
+    assert sorted(tuple(r) for r in found.collect()) == sorted([(q, p, h, n) for q in (1, 2) for p, h, n in [("p1", "how do pumps work", 2), ("p2", "how do pumps work", 2), ("p5", "ump", 0)]] + [(6, "p6", "unrelated thing entirely", 0)])
 
 
 def test_hook_matches_take_no_square_of_common_terms(spark):
