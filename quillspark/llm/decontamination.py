@@ -28,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.arrow import bound_batches, slices
+from quillspark.llm.bloom import may_hold
 from quillspark.llm.shingle_hash import MARKS, window_hashes, word_hashes
+from quillspark.operators.skew import lookup, salted
 from quillspark.plans.scratch import Scratch
 
 SEED = 5
@@ -41,58 +43,94 @@ def _seed_length(words: int, seed: int) -> int:
     return min(words, seed)
 
 
+class _Words:
+    """Words with hashes of their runs of every power of two, to find how far two places agree."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.hashes = words, {}
+
+    def of(self, power: int) -> np.ndarray:
+        if power not in self.hashes:
+            self.hashes[power] = window_hashes(self.words, 1 << power)
+        return self.hashes[power]
+
+
+def _common(one: _Words, a: int, two: _Words, b: int, most: int) -> int:
+    """How many words from two places on are equal, ``most`` at most; in steps that grow with its logarithm."""
+    n = 0
+    for power in range(most.bit_length() - 1, -1, -1):
+        if n + (1 << power) <= most and one.of(power)[a + n] == two.of(power)[b + n]:
+            n += 1 << power
+    return n
+
+
 def tiles(item: np.ndarray, runs: list[np.ndarray], least: int) -> list[tuple[int, int, int, int]]:
     """Greedy string tiling: non-overlapping matches (place in item, run, place in run, length), longest first.
 
     Of matches of one length those earlier in the item, then in the document, are marked first.
     """
-    free_item = np.ones(len(item), dtype=bool)
-    free_runs = [np.ones(len(r), dtype=bool) for r in runs]
+    starts = np.cumsum([0, *(len(r) + 1 for r in runs)])
+    text = np.zeros(int(starts[-1]), dtype=np.uint64)  # runs, each with a place after it that is never free
+    free_item, free = np.ones(len(item), dtype=bool), np.ones(len(text), dtype=bool)
+    for r, at in zip(runs, starts, strict=False):
+        text[at : at + len(r)] = r
+        free[at + len(r)] = False
+    one, two = _Words(item), _Words(text)
     out: list[tuple[int, int, int, int]] = []
-    longest = max((len(r) for r in runs), default=0)
-    length = min(len(item), longest)
+    length = min(len(item), max((len(r) for r in runs), default=0))
     while length >= least and free_item.any():
-        found = _matches(item, runs, free_item, free_runs, length)
+        found = _matches(one, two, free_item, free, length)
         if not found:
             length = length // 2 if length // 2 > least else least if length > least else least - 1
             continue
-        top = max(m[3] for m in found)
-        for a, r, b, n in sorted(found, key=lambda m: (-m[3], m[0], m[1], m[2])):
-            if free_item[a : a + n].all() and free_runs[r][b : b + n].all():
+        top = max(m[2] for m in found)
+        for a, b, n in sorted(found, key=lambda m: (-m[2], m[0], m[1])):
+            if free_item[a] and free[b] and free_item[a : a + n].all() and free[b : b + n].all() and np.array_equal(item[a : a + n], text[b : b + n]):
                 free_item[a : a + n] = False
-                free_runs[r][b : b + n] = False
-                out.append((a, r, b, n))
+                free[b : b + n] = False
+                r = int(np.searchsorted(starts, b, side="right")) - 1
+                out.append((a, r, b - int(starts[r]), n))
         # What was blocked may match in a shorter form; nothing unmarked is longer than before.
         length = min(length, top)
+        if top == length and not any(free_item[a] for a, _, _ in found):
+            length -= 1
     return out
 
 
-def _matches(item: np.ndarray, runs: list[np.ndarray], free_item: np.ndarray, free_runs: list[np.ndarray], length: int) -> list[tuple[int, int, int, int]]:
-    """All maximal matches of free words of at least ``length``, found by hashes of runs of that length."""
-    table: dict[int, list[int]] = defaultdict(list)
-    for a, h in _free_windows(item, free_item, length):
-        table[h].append(a)
+def _matches(one: _Words, two: _Words, free_item: np.ndarray, free: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """All maximal matches (place in item, in text, length) of free words of at least ``length``, found by hashes of runs of that length.
+
+    Places of one hash are kept by the word before them: where these are equal too, the match begins before, so a word
+    that is repeated over and over makes as many pairs as it has places, not their square.
+    """
+    table: dict[int, dict[int | None, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for a, h, before in _free_windows(one.words, free_item, length):
+        table[h][before].append(a)
+    ends_item, ends = _next_blocked(free_item), _next_blocked(free)
     found = []
-    for r, (run, free) in enumerate(zip(runs, free_runs, strict=True)):
-        for b, h in _free_windows(run, free, length):
-            for a in table.get(h, ()):
-                if a and b and free_item[a - 1] and free[b - 1] and item[a - 1] == run[b - 1]:
-                    continue  # part of a match that begins before
-                n = 0
-                while a + n < len(item) and b + n < len(run) and free_item[a + n] and free[b + n] and item[a + n] == run[b + n]:
-                    n += 1
-                if n >= length:
-                    found.append((a, r, b, n))
+    for b, h, before in _free_windows(two.words, free, length):
+        for other, places in table.get(h, {}).items():
+            if other is None or other != before:
+                for a in places:
+                    n = _common(one, a, two, b, int(min(ends_item[a] - a, ends[b] - b)))
+                    if n >= length:
+                        found.append((a, b, n))
     return found
 
 
-def _free_windows(words: np.ndarray, free: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-    """Place and hash of each run of ``length`` free words."""
+def _next_blocked(free: np.ndarray) -> np.ndarray:
+    """For each place the first place from it on that is not free."""
+    at = np.where(free, len(free), np.arange(len(free)))
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
+def _free_windows(words: np.ndarray, free: np.ndarray, length: int) -> Iterator[tuple[int, int, int | None]]:
+    """Place and hash of each run of ``length`` free words, and the free word before it, if there is one."""
     hashes = window_hashes(words, length)
     blocked = np.concatenate([[0], np.cumsum(~free)])
     clear = np.flatnonzero(blocked[length:] == blocked[:-length]) if len(hashes) else []
     for at in clear:
-        yield int(at), int(hashes[at])
+        yield int(at), int(hashes[at]), int(words[at - 1]) if at and free[at - 1] else None
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,20 +211,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     probed = texts.mapInArrow(probe, "doc_id bigint, runs array<array<bigint>>, seeds array<bigint>")
     probed = scratch.store(probed.withColumn("row", F.monotonically_increasing_id()), "probed")
-    shared = probed.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("row", "class_id").agg(F.sum("times").alias("n"), F.max("item_words").alias("item_words"))
-    likely = shared.where(F.col("n") * SEED >= COVERAGE * F.col("item_words")).select("row", "class_id")
-    words = classes.select("class_id", F.col("words"))
-    pairs = likely.join(probed.select("row", "doc_id", "runs"), "row").join(words, "class_id").select("doc_id", F.col("class_id").alias("item_id"), "runs", "words")
+    n_seeds = probed.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    shared = salted(probed.select("row", F.explode("seeds").alias("seed")), seeds, "seed", n_seeds, "row").groupBy("row", "class_id").agg(F.sum("times").alias("n"), F.max("item_words").alias("item_words"))
+    likely = scratch.store(shared.where(F.col("n") * SEED >= COVERAGE * F.col("item_words")).select("row", "class_id"), "likely")
+    worded = lookup(likely, classes.select("class_id", "words"), "class_id", likely.count())
+    pairs = worded.join(probed.select("row", "doc_id", "runs"), "row").select("doc_id", F.col("class_id").alias("item_id"), "runs", "words")
     found = scratch.store(pairs.mapInArrow(_tile, LEAKS), "found")
     # Back from classes to all of their items; of a document's rows the best counts.
     members = items.select("words", "item_id").join(classes.select("words", F.col("class_id")), "words").select("class_id", F.col("item_id").alias("member"))
-    named = found.join(members, F.col("item_id") == F.col("class_id")).select("doc_id", F.col("member").alias("item_id"), "coverage", "n_tiles", "tiled_words", "item_words")
+    named = salted(found.withColumnRenamed("item_id", "class_id"), members, "class_id", found.count(), "doc_id").select("doc_id", F.col("member").alias("item_id"), "coverage", "n_tiles", "tiled_words", "item_words")
     out = scratch.store(named.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("coverage", "n_tiles", "tiled_words", "item_words"), F.struct("coverage", -F.col("n_tiles"))).alias("m")).select("doc_id", "item_id", "m.*"), "leaks")
-    scratch.drop("seeds", "probed", "found", "items")
+    scratch.drop("seeds", "probed", "likely", "found", "items")
     return out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose documents hold no item's passage, with their columns; rows with a null id stay."""
     found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_leak"], "left_anti")
+    held = may_hold(found, docs["doc_id"].cast("bigint"))
+    # Only rows that the filter passes meet the exact join; it never passes a null.
+    return docs.where(~held).unionByName(docs.where(held).join(found, docs["doc_id"] == found["_leak"], "left_anti"))

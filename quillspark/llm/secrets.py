@@ -63,11 +63,14 @@ def _before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
         return F.aggregate(array, start, lambda acc, x: F.struct(op(acc["at"], value(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))
 
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda i: F.slice(values, i * RUN + 1, F.lit(RUN)))
-    local = F.transform(runs, lambda r: fold(r, lambda x: x))
-    # A one-element array names the folded runs, which are used twice.
-    whole = F.transform(F.array(local), lambda own: F.zip_with(fold(own, lambda r: r["at"])["out"], own, lambda o, r: F.transform(r["out"], lambda x: op(o, x))))
-    return F.when(F.size(values) > 0, F.flatten(F.element_at(whole, 1))).otherwise(F.expr("cast(array() as array<int>)"))
+    def before(own: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / RUN).cast("int")), lambda i: F.slice(own, i * RUN + 1, F.lit(RUN)))
+        folded = F.transform(runs, lambda r: fold(r, lambda x: x))
+        spread = F.transform(F.array(folded), lambda local: F.zip_with(fold(local, lambda r: r["at"])["out"], local, lambda o, r: F.transform(r["out"], lambda x: op(o, x))))
+        return F.when(F.size(own) > 0, F.flatten(F.element_at(spread, 1))).otherwise(F.expr("cast(array() as array<int>)"))
+
+    # One-element arrays name what is used several times: else it would be worked out again for each run.
+    return F.element_at(F.transform(F.array(values), before), 1)
 
 
 def _located(text: Column, pattern: str, extra: int | None = None) -> Column:
@@ -172,8 +175,14 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with ``_spans``: base spans, and the added ones that no base span holds, by start and kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.withColumn("_base", base_spans(text)).withColumn("_added", entropy_spans(text))
-    added = F.filter("_added", lambda a: ~F.exists("_base", lambda b: (b["start"] <= a["start"]) & (b["end"] >= a["end"])))
-    return found.withColumn("_spans", F.array_sort(F.concat("_base", added))).drop("_base", "_added")
+    def apart(spans: Column) -> Column:
+        # In this order all base spans that begin no later stand before an added one.
+        reached = _before(F.transform(spans, lambda s: F.when(s["ord"] < len(BASE_KINDS), s["end"]).otherwise(F.lit(0))), F.greatest)
+        kept = F.zip_with(spans, reached, lambda s, at: F.when((s["ord"] < len(BASE_KINDS)) | (at < s["end"]), s))
+        return F.filter(kept, lambda s: s.isNotNull())
+
+    merged = F.array_sort(F.concat("_base", "_added"))
+    return found.withColumn("_spans", F.element_at(F.transform(F.array(merged), apart), 1)).drop("_base", "_added")
 
 
 def _listed(spans: Column) -> Column:

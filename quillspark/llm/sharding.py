@@ -39,7 +39,7 @@ RESULT = ("n_bytes", "shard", "depth", "page", "oversized")
 
 def _hashed(docs: DataFrame) -> DataFrame:
     """The rows, each whole in one column, with hash and size; so no column of theirs can meet a name used here."""
-    own = F.struct(*[docs[c] for c in docs.columns if c not in RESULT])
+    own = F.struct(*[docs[c] for c in docs.columns if c.lower() not in RESULT])
     size = F.coalesce(F.octet_length(docs["text"].cast("string")), F.lit(0)).cast("bigint")
     return docs.select(own.alias("_row"), F.xxhash64(F.lit(11), docs["doc_id"], docs["text"]).alias("_h"), size.alias("n_bytes"))
 
@@ -139,7 +139,7 @@ def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT) -> None:
 
 def read_shards(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
     """The rows of all shards, with what their files and folders say: depth from the shard's name, n_bytes from the text."""
-    kept = [f for f in like.schema if f.name not in RESULT]
+    kept = [f for f in like.schema if f.name.lower() not in RESULT]
     fields = [StructField("shard", StringType()), StructField("page", LongType()), StructField("oversized", BooleanType())]
     rows = spark.read.schema(StructType([*kept, *fields])).parquet(folder).withColumn("shard", F.coalesce("shard", F.lit("")))
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint")
