@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions import text as t
+from quillspark.operators.asof import as_of
 
 OVERLAP = 0.1
 # Fixed values of segmentation.
@@ -217,9 +218,11 @@ def locate(quotes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def chunk_at(places: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Places (path, start, ...) with the chunk that holds each; null where none does."""
-    held = chunks.select(F.col("path").alias("_path"), "chunk_id", "heading", "char_start", "char_end", "high_value")
-    return places.join(held, (F.col("path") == F.col("_path")) & (F.col("start") >= F.col("char_start")) & (F.col("start") < F.col("char_end")), "left").drop("_path")
+    """Places (path, start, ...) with the chunk that holds each; null where none does. A document's chunks do not overlap."""
+    columns = ("chunk_id", "heading", "char_start", "char_end", "high_value")
+    found = as_of(places, chunks.select("path", *[c for c in columns if c in chunks.columns]), "path", "start", "char_start")
+    inside = F.col("start") < F.col("held.char_end")
+    return found.select(*places.columns, *[F.when(inside, F.col(f"held.{c}")).alias(c) for c in columns if c in chunks.columns])
 
 
 def best_evidence(lines_: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions import text as t
+from quillspark.operators.chunks import chunk_at
 
 # Bounds and vocabularies of the rules.
 HOOKS_LEAST, HOOKS_MOST = 3, 5
@@ -285,8 +286,7 @@ def index_consistency(meta: DataFrame, notes: DataFrame, version: int) -> DataFr
 def progress(chunks: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
     """By document (path, high, done, status), and places (note, path, start) that hit no chunk (note, path, start, code)."""
     known = chunks.select("path").distinct().withColumn("mapped", F.lit(True))
-    held = chunks.select("path", "chunk_id", "char_start", "char_end")
-    hits = places.join(held, "path", "left").where("char_start is null or (start >= char_start and start < char_end)")
+    hits = chunk_at(places, chunks.select("path", "chunk_id", "char_start", "char_end"))
     done = hits.where("chunk_id is not null").select("chunk_id").distinct().withColumn("hit", F.lit(1))
     high = F.sum(F.col("high_value").cast("bigint"))
     counted = chunks.join(done, "chunk_id", "left").groupBy("path").agg(high.alias("high"), F.sum((F.col("high_value") & F.col("hit").isNotNull()).cast("bigint")).alias("done"))
@@ -299,8 +299,8 @@ def progress(chunks: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame
 
 def next_todo(chunks: DataFrame, places: DataFrame) -> DataFrame:
     """The first high-value chunk, by path and place, that no note names."""
-    held = chunks.where("high_value")
-    hit = held.join(places.select(F.col("path").alias("p"), "start"), (F.col("path") == F.col("p")) & (F.col("start") >= F.col("char_start")) & (F.col("start") < F.col("char_end")), "left_anti")
+    named = chunk_at(places, chunks.select("path", "chunk_id", "char_start", "char_end")).where("chunk_id is not null").select("chunk_id")
+    hit = chunks.where("high_value").join(named, "chunk_id", "left_anti").select(*chunks.columns)
     return hit.orderBy("path", "char_start").limit(1)
 
 

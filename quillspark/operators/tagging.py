@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-
 @dataclass(frozen=True)
 class Vocabulary:
     """What a base tags by: canonical tags by dimension, further words that mean them, what a project implies, the tools
@@ -44,6 +45,8 @@ SAMPLE = Vocabulary(
     tools_of=("garden", ["sensor"]),
     source_priority=["scan", "web"],
 )
+PLANNED = 400  # words that are a part of the plan; more are one automaton
+AUTOMATON = 4 << 20  # characters of the words of one automaton
 # Fixed values.
 SKIPPED_FOLDERS = ("tmp", "00_索引·规范·日志", ".trash", "__MACOSX")
 NAVIGATION_NAMES = ("清单", "索引", "日志", "待下载", "报告", "总览", "说明")
@@ -54,11 +57,19 @@ TAGGED = ("domains", "forms", "tools", "types", "projects")
 def tag_paths(paths: DataFrame, vocabulary: Vocabulary = SAMPLE) -> DataFrame:
     """Tags of each (path), by words its lower-cased path holds, what these imply, a confidence, and whether to review.
 
-    A vocabulary is some hundred words, so each path is compared with all of it, in the row.
+    A path is compared with some hundred words in the row, as a part of the plan; with more by an automaton of all of them, in one pass (``held_words``).
     """
     low = F.lower("path")
-    found = {d: _found(low, vocabulary.variants(d)) for d in (*TAGGED, "sources")}
-    tags = paths.select("path", *[found[d].alias(d) for d in TAGGED], found["sources"].alias("_sources"))
+    dimensions = (*TAGGED, "sources")
+    words = {d: vocabulary.variants(d) for d in dimensions}
+    if sum(len(v) for own in words.values() for v in own.values()) > PLANNED:
+        places = {(d, c): (i, j) for i, d in enumerate(dimensions) for j, c in enumerate(words[d])}
+        held = held_words(paths.sparkSession, low, [(v, *places[d, c]) for d in dimensions for c, own in words[d].items() for v in own], [list(words[d]) for d in dimensions])
+        rows = paths.select("path", held.alias("_held"))
+        tags = rows.select("path", *[F.col("_held")[i].alias(d) for i, d in enumerate(TAGGED)], F.col("_held")[len(TAGGED)].alias("_sources"))
+    else:
+        found = {d: _found(low, words[d]) for d in dimensions}
+        tags = paths.select("path", *[found[d].alias(d) for d in TAGGED], found["sources"].alias("_sources"))
     for d in ("domains", "forms", "tools"):
         for project, implied in vocabulary.implies.items():
             if d in implied:
@@ -77,6 +88,62 @@ def tag_paths(paths: DataFrame, vocabulary: Vocabulary = SAMPLE) -> DataFrame:
     return tags.select("path", F.substring_index("path", "/", 1).alias("bucket"), *[F.array_sort(d).alias(d) for d in TAGGED], "source_kind", "confidence", F.lit("规则").alias("classified_by"), "needs_review")
 
 
+def held_words(spark: SparkSession, low: Column, words: list[tuple[str, int, int]], names: list[list[str]]) -> Column:
+    """For each group of ``names`` an array of those, in their order, of which the text holds a word (word, group, place of the name).
+
+    Words go to automata (Aho-Corasick) of at most ``AUTOMATON`` characters each, which are broadcast and built once in each Python
+    worker; a text is read once for each of them, however many words it has. An empty word is in every text; a null text holds nothing.
+    """
+    lots, size = [[]], 0
+    for word in sorted(words):
+        if size + len(word[0]) > AUTOMATON and lots[-1]:
+            lots.append([])
+            size = 0
+        lots[-1].append(word)
+        size += len(word[0])
+    shared = [(uuid.uuid4().hex, spark.sparkContext.broadcast(lot)) for lot in lots]
+    labels = spark.sparkContext.broadcast(names)
+
+    @F.pandas_udf("array<array<string>>")
+    def held(texts: pd.Series) -> pd.Series:
+        automata, always = zip(*[_automaton(name, lot.value) for name, lot in shared], strict=True)
+        known = frozenset().union(*always)
+        out = []
+        for text in texts:
+            hits = set(known) if text is not None else set()
+            if text:
+                for automaton in automata:
+                    if len(automaton):
+                        hits.update(*(own for _, own in automaton.iter(text)))
+            found: list[list[str]] = [[] for _ in labels.value]
+            for group, at in sorted(hits):
+                found[group].append(labels.value[group][at])
+            out.append(found)
+        return pd.Series(out)
+
+    return held(low)
+
+
+_automata: dict[str, tuple] = {}
+
+
+def _automaton(name: str, lot: list[tuple[str, int, int]]) -> tuple:
+    """The automaton of a broadcast lot of words, kept by the worker, and what the empty word stands for."""
+    import ahocorasick
+
+    if name not in _automata:
+        automaton, own = ahocorasick.Automaton(), {}
+        for word, group, at in lot:
+            own.setdefault(word, set()).add((group, at))
+        for word, places in own.items():
+            if word:
+                automaton.add_word(word, tuple(places))
+        if len(automaton):
+            automaton.make_automaton()
+        _automata[name] = automaton, frozenset(own.get("", ()))
+    return _automata[name]
+
+
 def _found(low: Column, variants: dict[str, list[str]]) -> Column:
     """Array of the canonical tags of which the text holds a variant."""
     hits = []

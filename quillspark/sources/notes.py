@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillspark.functions import text as t
+from quillspark.sources import folders
 
 # Fixed values.
 AGGREGATE_PAGES = ("_流程.md", "_总览.md", "_主题地图.md", "_提示词资产.md", "_模板.md")
@@ -27,41 +27,15 @@ class EmptyInput(ValueError):
     """Nothing to build from: an empty result would look like success."""
 
 
-def _relative(root: str, full: Column) -> Column:
-    """A file's path below the root."""
-    base = "/" + root.split("://")[-1].strip("/") + "/"
-    return F.substring(F.regexp_replace(full, "^[a-z0-9]+:/+", "/"), len(base) + 1, 1 << 30)
-
-
-def underscored(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, content) of files whose name begins with an underscore, which Spark's readers pass over."""
-    system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-    found = [f.path for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File and f.base_name.startswith("_")]
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store = fs.FileSystem.from_uri(root)[0] if "://" in root else fs.LocalFileSystem()
-        for b in batches:
-            for path in b["path"]:
-                with store.open_input_file(path) as file:
-                    content = file.read()
-                yield pd.DataFrame({"path": [path[len(base.rstrip("/")) + 1 :]], "size": [len(content)], "content": [content]})
-
-    named = spark.createDataFrame([(p,) for p in found], "path string")
-    return named.repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism))).mapInPandas(read, "path string, size bigint, content binary")
-
-
 def files(spark: SparkSession, root: str) -> DataFrame:
     """(path, size) of all files below a folder but hidden ones and system folders."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_relative(root, F.col("path")).alias("path"), F.col("length").alias("size"))
-    rows = rows.union(underscored(spark, root).select("path", "size"))
-    return rows.where(~F.col("path").rlike(r"(^|/)(\.[^/]*|__MACOSX)(/|$)"))
+    return folders.load(spark, root).select("path", "size")
 
 
 def texts(spark: SparkSession, root: str, ending: str = ".md") -> DataFrame:
-    """(path, text) of text files below a folder, newlines as \\n."""
-    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{ending}").select(F.col("_metadata.file_path").alias("full"), t.newlines(F.col("value")).alias("text"))
-    rows = rows.select(F.url_decode(F.replace(_relative(root, F.col("full")), F.lit("+"), F.lit("%2B"))).alias("path"), "text")
-    return rows.union(underscored(spark, root).where(F.col("path").endswith(ending)).select("path", t.newlines(F.decode("content", "UTF-8")).alias("text")))
+    """(path, text) of text files below a folder, newlines as \\n; only files with this ending are opened."""
+    rows = folders.load(spark, root, content=True).where(F.col("path").endswith(ending))
+    return rows.select("path", t.newlines(F.decode("content", "UTF-8")).alias("text"))
 
 
 def front(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.functions import text as t
-from quillspark.operators.aggregate import upsert
+from quillspark.operators import buckets
 from quillspark.sources.notes import parse_notes
 
 
@@ -17,16 +17,13 @@ def note_stream(spark: SparkSession, root: str) -> DataFrame:
 
 
 def merge_into(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Merge parsed notes into versions of a table under ``folder``: each batch reads version n and writes version n + 1.
+    """Merge parsed notes into a table of buckets under ``folder`` (``buckets.read``): a batch rewrites only the buckets of its notes.
 
-    A batch that is repeated after a failure writes the same version again, so notes are neither lost nor doubled.
+    A batch that is repeated after a failure changes nothing, so notes are neither lost nor doubled.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = parse_notes(batch).join(batch.select("path", "arrived"), "path")
-        if number:
-            new = batch.sparkSession.read.parquet(f"{folder}/version={number - 1}").unionByName(new)
-        upsert(new, "path", "arrived").write.mode("overwrite").parquet(f"{folder}/version={number}")
+        buckets.merge(parse_notes(batch).join(batch.select("path", "arrived"), "path"), folder, "path", "arrived", number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quillspark.operators import buckets
 from quillspark.plans import catalog
 from quillspark.streaming import ingest
 
@@ -25,7 +26,9 @@ def test_note_stream_merges_by_path(spark, tmp_path):
     run()
     (inbox / "c.md").write_text(note.format("C"))
     run()
-    assert sorted(r.title for r in spark.read.parquet(f"{tmp_path}/out/version=1").collect()) == ["A", "B", "C"]
+    (inbox / "d.md").write_text(note.format("D"))
+    run()
+    assert sorted(r.title for r in buckets.read(spark, f"{tmp_path}/out").collect()) == ["A", "B", "C", "D"]
 
 
 def test_windowed_counts_match_batch(spark):
