@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.arrow import bound_batches, slices
+from quillspark.llm.arrow import bound_batches, release, slices
 from quillspark.llm.bloom import may_hold
 from quillspark.llm.shingle_hash import MARKS, window_hashes, word_hashes
 from quillspark.operators.skew import lookup, salted
@@ -188,6 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in seeds.select(F.least(F.col("item_words"), F.lit(SEED))).distinct().collect())
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         passes, shift = flags.value, np.uint64(64 - FILTER_BITS)
         for b in batches:
             texts = b.column(1).to_pylist()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.arrow import bound_batches, slices
+from quillspark.llm.arrow import bound_batches, release, slices
 from quillspark.llm.byte_bpe import ID_BYTES, default_vocabulary, encoder
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
@@ -83,10 +83,29 @@ class Item:
 
 
 class Packer:
-    """Fills bins from a pool of items; ``add`` and ``finish`` give the bins that are closed."""
+    """Fills bins from a pool of items; ``add`` and ``finish`` give the bins that are closed.
+
+    What a choice depends on stands in arrays beside the pool, a row for each item.
+    """
 
     def __init__(self, limits: Limits):
         self.limits, self.pool = limits, []
+        self.demand = np.zeros((2 * POOL, 3))  # tokens, segments, loss
+        self.place = np.zeros((2 * POOL, 3), dtype=np.int64)  # start, loss_from, loss_to
+
+    def _put(self, item: Item) -> None:
+        n = len(self.pool)
+        if n == len(self.demand):
+            self.demand, self.place = (np.concatenate([x, np.zeros_like(x)]) for x in (self.demand, self.place))
+        self.demand[n] = item.tokens, 1, item.loss()
+        self.place[n] = item.start, item.loss_from, item.loss_to
+        self.pool.append(item)
+
+    def _keep(self, which: np.ndarray) -> None:
+        """Take all but these out of the pool."""
+        n = int(which.sum())
+        self.demand[:n], self.place[:n] = self.demand[: len(which)][which], self.place[: len(which)][which]
+        self.pool = [self.pool[k] for k in np.flatnonzero(which)]
 
     def add(self, item: Item) -> Iterator[list[Item]]:
         limits = self.limits
@@ -99,7 +118,7 @@ class Packer:
         yield from self._hold(item)
 
     def _hold(self, item: Item) -> Iterator[list[Item]]:
-        self.pool.append(item)
+        self._put(item)
         while len(self.pool) >= POOL:
             yield self._fill()
 
@@ -107,22 +126,31 @@ class Packer:
         while self.pool:
             yield self._fill()
 
+    def _within(self, tokens: int, loss: int) -> np.ndarray:
+        """``Item.within`` of the whole pool."""
+        n = len(self.pool)
+        own, (start, first, last) = self.demand[:n, 0].astype(np.int64), self.place[:n].T
+        most = np.minimum(own, tokens)
+        bears = np.maximum(0, np.minimum(start + most, last) - np.maximum(start, first))
+        context = np.where(last > start, np.maximum(0, np.minimum(first - start, own)), own)
+        return np.where(bears <= loss, most, context + loss)
+
     def _fill(self) -> list[Item]:
         limits = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], dtype=float)
-        demand = np.array([[i.tokens, 1, i.loss()] for i in self.pool], dtype=float)
+        demand = self.demand[: len(self.pool)]
         room, chosen, free = limits.copy(), [], np.ones(len(self.pool), dtype=bool)
         rests: list[Item] = []
         while room[0] > 0 and room[1] > 0 and free.any():
-            fits = free & (demand <= room).all(axis=1)
+            fits = free & (demand[:, 0] <= room[0]) & (demand[:, 2] <= room[2])
             if room[1] == 1 and (free & (demand[:, 0] >= room[0])).any():
                 fits[:] = False  # the last segment takes what reaches the end, if there is such an item
             score = np.where(fits, demand @ (room / limits**2), -1.0)
             best = int(score.argmax())
             take = self.pool[best].tokens
             if score[best] < 0:
-                parts = [i.within(int(room[0]), int(room[2])) if f else 0 for i, f in zip(self.pool, free, strict=True)]
-                best = int(np.argmax(parts))
-                take = parts[best]
+                parts = np.where(free, self._within(int(room[0]), int(room[2])), 0)
+                best = int(parts.argmax())
+                take = int(parts[best])
                 if take <= 0:
                     break
             item = self.pool[best]
@@ -132,7 +160,9 @@ class Packer:
             free[best] = False
             chosen.append(item)
             room -= (item.tokens, 1, item.loss())
-        self.pool = [i for i, f in zip(self.pool, free, strict=True) if f] + rests
+        self._keep(free)
+        for rest in rests:
+            self._put(rest)
         return self._close(chosen)
 
     def _close(self, chosen: list[Item]) -> list[Item]:
@@ -147,9 +177,9 @@ class Packer:
             elif keep:
                 piece, rest = item.cut(keep)
                 out.append(piece)
-                self.pool.append(rest)
+                self._put(rest)
             else:
-                self.pool.append(item)
+                self._put(item)
             keep = max(0, keep - item.tokens)
         return out
 
@@ -198,6 +228,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits
     end = int(end_id).to_bytes(ID_BYTES, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         packer, coder = Packer(limits), encoder(vocabulary)
         breaks = coder.tokenizer.encode("\n", add_special_tokens=False).ids
         line_break = int(breaks[0]).to_bytes(ID_BYTES, "little")
