@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.llm.arrow import bound_batches, groups, longs, slices
+from quillspark.llm.arrow import bound_batches, groups, longs, release, slices
 from quillspark.llm.bloom import may_hold
 from quillspark.llm.shingle_hash import mix, shingle_set, word_hashes
 from quillspark.operators.graph import connected_components
@@ -85,6 +85,7 @@ def _as_signed(x: int) -> int:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for start, end in slices(texts):
@@ -163,6 +164,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs that are linked by a text of each; ids that have several texts come with all pairs of them."""
+    release()
     for batch in batches:
         src, dst = longs(batch.column(0)), longs(batch.column(1))
         keep, last, one = np.zeros(len(src), dtype=bool), None, None
@@ -218,6 +220,7 @@ def _prune_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between components in each cell, by full sets; a link is given only if it joins what was apart there."""
+    release()
     for cell, comp, differ in _cells(batches):
         ids = longs(cell.column("doc_id").combine_chunks())
         sets = sets_of(cell.column("text").to_pylist())
