@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillspark.functions import text as t
-from quillspark.operators import aggregate, chunks, graph, metrics, quality, recall, search, segments, tagging
+from quillspark.operators import aggregate, chunks, graph, metrics, quality, recall, search, segments, snapshots, tagging
 from quillspark.plans import adapter as a
 from quillspark.plans.scratch import Scratch
 from quillspark.sources import notes as src
@@ -477,6 +477,40 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.diff(*_snapshots(spark, sf_dir))
 
 
+@query(f"WITH {_CHANGE_SQL} SELECT path, change FROM change")
+def snapshot_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by trees of folder digests: only folders that differ are looked into."""
+    return snapshots.diff(*_snapshots(spark, sf_dir))
+
+
+@query(
+    """WITH file AS (SELECT source, octet_length(encode(text)) AS size FROM documents), folder AS (SELECT source AS folder, size FROM file UNION ALL SELECT '', size FROM file)
+SELECT folder, CASE WHEN folder <> '' THEN '' END AS parent, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS size FROM folder GROUP BY folder"""
+)
+def snapshot_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes below every folder of the documents."""
+    return snapshots.tree(_snapshots(spark, sf_dir)[0]).select("folder", "parent", "n_files", "size")
+
+
+_KINDS = {"en": "text", "de": "text", "fr": "sound", "es": "film"}
+
+
+@query(
+    f"""WITH {_CHANGE_SQL}, before AS (SELECT lang FROM documents), after AS (SELECT lang FROM documents WHERE doc_id % 17 <> 0 UNION ALL SELECT lang FROM documents WHERE doc_id % 11 = 0 AND doc_id % 17 <> 0),
+  kind AS (SELECT * FROM (VALUES ('en', 'text'), ('de', 'text'), ('fr', 'sound'), ('es', 'film')) AS v(lang, kind)),
+  media AS (SELECT kind, sum(was) AS was, sum(now) AS now FROM (SELECT kind, 1 AS was, 0 AS now FROM before JOIN kind USING (lang) UNION ALL SELECT kind, 0, 1 FROM after JOIN kind USING (lang)) GROUP BY kind)
+SELECT CASE change WHEN 'added' THEN 'added_pardoned' ELSE 'source_' || change END AS code, CASE change WHEN 'added' THEN 'info' ELSE 'fail' END AS status, count(*) AS n FROM change GROUP BY change
+UNION ALL SELECT 'media_changed:' || kind, 'warn', CAST(now - was AS BIGINT) FROM media WHERE now <> was UNION ALL SELECT 'list_changed', 'warn', 1"""
+)
+def source_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the documents' folder shows against its baseline, which knew one extension less; languages are the media's extensions."""
+    rows = a.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(".", F.col("doc_id").cast("string"), "lang").alias("path"))
+    kept = rows.where("doc_id % 17 <> 0")
+    after = kept.union(kept.where("doc_id % 11 = 0").withColumn("path", F.concat(F.lit("new/"), "path")))
+    media = [snapshots.media_counts(x, _KINDS) for x in (rows, after)]
+    return snapshots.verdict(snapshots.diff(*_snapshots(spark, sf_dir)), *media, ["md"], ["md", "html"])
+
+
 @query(f"WITH {_CHANGE_SQL} SELECT 'note/' || doc_id AS path, source || '/' || doc_id AS source FROM documents WHERE source || '/' || doc_id IN (SELECT path FROM change WHERE change <> 'added')")
 def stale_workorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes whose source changed or went."""
