@@ -553,3 +553,106 @@ def graded_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = search.best(docs, 10, (F.desc("n_chars"), "doc_id"))
     relevant = docs.where("doc_id % 4 > 0").select("query_id", "path", (F.col("doc_id") % 4).cast("double").alias("grade"))
     return metrics.retrieval(ranked, relevant, 10).select("query_id", "ndcg")
+
+
+# Files that are written and read again, and rules on texts made of the documents ----------------------------------------
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT lang AS tag FROM documents UNION ALL SELECT source FROM documents) GROUP BY tag")
+def tag_baseline_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of a CSV file's column, written from the documents with commas, quotes and line breaks in another column."""
+    path = Scratch(spark, "baseline").path("csv")
+    tags = F.concat(F.col("lang"), F.when(F.col("doc_id") % 2 == 0, "; ").otherwise("；"), F.col("source"), F.lit(";"))
+    a.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('a, "b"\n'), F.substring("text", 1, 40)).alias("note"), tags.alias("主题分类")).write.csv(path, header=True, escape='"')
+    return src.tag_baseline(spark, path)
+
+
+_UNIT_SQL = """turn AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations),
+unit AS (SELECT 'u-' || conv_id || '-' || turn AS id, conv_id, turn, text, answer FROM turn WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+@query(f"WITH {_UNIT_SQL} SELECT id, md5(text) AS question, md5(answer) AS answer, CAST(conv_id % 3 AS INTEGER) AS n_evidence, CASE WHEN conv_id % 3 > 0 THEN md5(text) END AS quote, FALSE AS corrupt FROM unit UNION ALL SELECT NULL, NULL, NULL, 0, NULL, TRUE")
+def units_from_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question-answer units from JSON lines with one, two or no pieces of evidence, among an empty and a broken line."""
+    path, conv = Scratch(spark, "units").path("jsonl"), F.split("id", "-")[1].cast("bigint") % 3
+    piece = F.struct(F.lit("f").alias("file"), F.lit("#char=0-1").alias("locator"), F.col("question").alias("quote"))
+    rows = a.qa_units(spark, sf_dir).select("id", "type", "question", "answer", conv.alias("k"), piece.alias("e"))
+    own = ("id", "type", "question", "answer")
+    one, two, none = F.struct(*own, F.col("e").alias("evidence")), F.struct(*own, F.array("e", "e").alias("evidence")), F.struct(*own)
+    line = F.when(F.col("k") == 1, F.to_json(one)).when(F.col("k") == 2, F.to_json(two)).otherwise(F.to_json(none))
+    rows.select(line.alias("value")).union(spark.createDataFrame([("  ",), ('{"id": broken',)], "value string")).write.text(path)
+    found = src.read_units(spark, path)
+    return found.select("id", F.md5("question").alias("question"), F.md5("answer").alias("answer"), F.size("evidence").alias("n_evidence"), F.md5(F.try_element_at("evidence", F.lit(1))["quote"]).alias("quote"), F.col("_corrupt").isNotNull().alias("corrupt"))
+
+
+@query("SELECT event_type, day, count(*) + count(*) FILTER (event_id % 2 = 0) AS n FROM (SELECT event_type, event_id, strftime(ts, '%Y-%m') AS day FROM events) GROUP BY ALL")
+def log_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a log to which all events and then half of them were added."""
+    path = Scratch(spark, "log").path("lines")
+    events = a.table(spark, sf_dir, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM").alias("day"))
+    src.append_log(events, path)
+    src.append_log(events.where("event_id % 2 = 0"), path)
+    return spark.read.schema("event_id bigint, event_type string, day string").json(path).groupBy("event_type", "day").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {a.NOTE_SQL}, {a.TOKEN_SQL}, own AS (SELECT DISTINCT path, gram FROM tok), df AS (SELECT gram, count(*) / (SELECT count(*) FROM note) >= 0.5 AS g FROM own GROUP BY gram)
+SELECT path, count(*) AS n_grams, CAST(count(*) FILTER (g) AS BIGINT) AS generic, round(count(*) FILTER (g) / count(*), 4) AS ratio FROM own JOIN df USING (gram) GROUP BY path"""
+)
+def note_generic_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each note's terms half of all notes have."""
+    return aggregate.generic_ratio(a.notes(spark, sf_dir), F.concat(t.index_grams(F.col("title")), t.index_grams(F.col("body"))))
+
+
+_CRC = (  # CRC-32 of the ASCII text {0}, bit by bit
+    "xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split({0}, '')],"
+    " lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+)
+
+
+@query(f"SELECT doc_id, n_chars FROM documents WHERE n_chars < 2000 AND {_CRC.format('CAST(doc_id AS VARCHAR)')} % 100 < 5")
+def low_value_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short documents that a draw of five in a hundred takes."""
+    rows = a.table(spark, sf_dir, "documents").withColumn("high_value", F.col("n_chars") >= 2000)
+    return evidence.low_value_sample(rows, "doc_id").select("doc_id", "n_chars")
+
+
+@query("SELECT doc_id, doc_id % 4 IN (0, 2, 3) AS media FROM documents")
+def media_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of which half or more of the cells hold files, placeholders or urls."""
+    k, word = F.col("doc_id") % 4, F.concat(F.lit("| "), "lang", F.lit(" | "))
+    row = F.when(k == 0, F.concat(word, F.lit("https://x.y/"), "source", F.lit(" |\n| --- | --- |"))).when(k == 1, F.concat(word, "source", F.lit(" | a.mp4 |"))).when(k == 2, F.concat(F.lit("<table><td>缺失素材</td> | "), "source", F.lit(" |")))
+    row = row.otherwise(F.concat(F.lit("| "), "source", F.lit(".PNG | ![x](y) | "), "lang", F.lit(" |")))
+    return a.table(spark, sf_dir, "documents").select("doc_id", t.media_table(row).alias("media"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat_ws(' ', CAST(1000 + doc_id AS VARCHAR), '77') WHEN doc_id % 2 = 0 THEN '' ELSE '77' END AS extra,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE '55' END AS missing, doc_id % 5 = 0 AS degraded, doc_id % 5 <> 0 AND doc_id % 2 = 0 AS cross_block FROM documents"""
+)
+def verbatim_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that notes add to the blocks they cite, or leave out of the first one; some cite two blocks, some none."""
+    docs = _docs(spark, sf_dir)
+    number = (1000 + F.col("doc_id")).cast("string")
+    body = F.concat(F.lit("says "), number, F.lit(" and 77 of these\n## AI 推断\n- 作者未提、我的推论：99"))
+    first = docs.where("doc_id % 5 <> 0").select("path", F.lit(0).alias("ord"), F.concat(F.lit("holds "), number, F.lit(" and 55 [l](u3.4)")).alias("segment"))
+    second = docs.where("doc_id % 5 <> 0 and doc_id % 2 = 0").select("path", F.lit(1).alias("ord"), F.lit("more: 77").alias("segment"))
+    found = quality.verbatim(docs.select("path", body.alias("body")), first.union(second)).join(docs.select("path", "doc_id"), "path")
+    return found.select("doc_id", F.concat_ws(" ", "extra").alias("extra"), F.concat_ws(" ", "missing").alias("missing"), "degraded", "cross_block")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id FROM documents WHERE length({_FIRST}) >= 4 AND length(regexp_replace({_FIRST}, '\\s+', '', 'g')) >= 4)
+SELECT 'u' || doc_id AS subject, 'missing_number' AS code, 'error' AS status FROM d WHERE doc_id % 2 = 0
+UNION ALL SELECT 'u' || doc_id, 'missing_code', 'warning' FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT 'u' || doc_id, 'step_order', 'error' FROM d WHERE doc_id % 5 IN (1, 2)"""
+)
+def step_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Procedures that name numbers or commands their sources lack, or number their steps with a gap or twice."""
+    docs = _docs(spark, sf_dir).where((F.length("first") >= 4) & (F.length(F.regexp_replace("first", r"\s+", "")) >= 4))
+    i, n = F.col("doc_id"), F.length("first").cast("string")
+    said = F.concat(F.lit("do it"), F.when(i % 2 == 0, " 98765.4 times").otherwise(""), F.when(i % 3 == 0, " with `rm -rf ☃`").otherwise(""))
+    item = F.struct(F.col("path").alias("file"), F.concat(F.lit("#char=0-"), n).alias("locator"), F.col("first").alias("quote"))
+    step = lambda k: F.struct(k.cast("int").alias("order"), F.lit("x").alias("action"), F.lit("#char=0-1").alias("locator"))
+    second = F.when(i % 5 == 1, F.lit(3)).when(i % 5 == 2, F.lit(1)).otherwise(F.lit(2))
+    units = docs.select(F.concat(F.lit("u"), i.cast("string")).alias("id"), F.lit("procedure").alias("type"), said.alias("text"), F.array(item).alias("evidence"), F.array(step(second), step(F.lit(1))).alias("steps"))
+    return quality.extraction(units, docs.select("path", "text")).union(quality.ordered_steps(units))

@@ -93,7 +93,7 @@ def tag_sniff(rows: DataFrame) -> DataFrame:
 
 def tag_baseline(spark: SparkSession, path: str, column: str = "主题分类") -> DataFrame:
     """(tag, n) of a CSV file's column of tags divided by semicolons."""
-    rows = spark.read.csv(path, header=True, multiLine=True)
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     column = column if column in rows.columns else next(c for c in rows.columns if c.startswith("主题"))
     tags = rows.select(F.explode(F.split(F.col(column), "[;；]")).alias("tag")).select(F.trim("tag").alias("tag"))
     return tags.where("tag <> ''").groupBy("tag").agg(F.count("*").alias("n"))
