@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions import text as t
 from quillspark.operators.asof import as_of
+from quillspark.operators.skew import lookup
+from quillspark.plans.scratch import Scratch
 
 OVERLAP = 0.1
+LOT = 4096  # quotes that are looked for in one scan of a text
+BATCH_BYTES = 4 << 20
+PLACES = "path string, quote string, verdict string, n_places int, start int, end int, n bigint"
+#: What ``functions.text.norm`` takes out, and a character that it leaves.
+UNMARKED = regex.compile(r"[ \t\n\x0b\f\r\p{P}\p{S}]+")
+MARKED_CHAR = regex.compile(r"[^ \t\n\x0b\f\r\p{P}\p{S}]")
 # Fixed values of segmentation.
 SEGMENT_LIMIT, SEGMENT_LEAST, GLUE_LEAST = 1500, 300, 400
 HEADING = r"^#{1,6}\s+(.*)$"
@@ -186,35 +197,59 @@ def segments(chunks: DataFrame, limit: int = SEGMENT_LIMIT) -> DataFrame:
 # Places ------------------------------------------------------------------------------------------------------------
 
 
-def occurrences(text: Column, quote: Column) -> Column:
-    """All places, overlapping ones too, where a quote stands in a text: the text is split before each of them."""
-    literal = F.concat(F.lit("(?=\\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    pieces = F.split(text, literal, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    # A match at the very beginning makes no piece of its own.
-    first = F.when(text.startswith(quote), F.array(F.lit(0))).otherwise(F.expr("cast(array() as array<int>)"))
-    rest = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(p))).alias("out")), lambda acc: acc["out"])
-    return F.when((F.length(quote) > 0) & text.contains(quote), F.concat(first, rest)).otherwise(F.expr("cast(array() as array<int>)"))
-
-
 def locate(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(path, quote, verdict, start, end): the span of quotes (path, quote) in texts (path, text).
+    """(path, quote, verdict, n_places, start, end): the span of quotes (path, quote) in texts (path, text).
 
-    ``unique`` and ``ambiguous`` count exact places; ``normalized`` compares without white space and marks and maps the
-    place back; else ``missing``.
+    ``unique`` and ``ambiguous`` count exact places, overlapping ones too; ``normalized`` compares without white space and marks and maps the
+    place back; else ``missing``, as are null and empty quotes and all quotes of a null text. A text's quotes are gathered, ``LOT`` at most, and
+    found in one scan by an automaton of all of them; quotes of texts that are not there are left out, repeated ones stay.
     """
-    rows = quotes.join(docs.select("path", "text"), "path").withColumn("places", occurrences(F.col("text"), F.col("quote")))
-    # The text is cut into its characters once.
-    chars = F.transform(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)), lambda c, i: F.struct((i + 1).alias("i"), c.alias("c")))
-    kept = F.filter(chars, lambda x: t.norm(x["c"]) != "")
-    at = F.instr(t.norm(F.col("text")), t.norm(F.col("quote")))
-    fuzzy = (F.size("places") == 0) & (F.length(t.norm(F.col("quote"))) > 0) & (at > 0)
-    rows = rows.withColumn("at", F.when(fuzzy, at).otherwise(F.lit(0))).withColumn("kept", F.when(F.col("at") > 0, kept))
-    first, last = F.element_at("kept", F.col("at"))["i"] - 1, F.element_at("kept", F.col("at") + F.length(t.norm(F.col("quote"))) - 1)["i"]
-    verdict = F.when(F.size("places") == 1, "unique").when(F.size("places") > 1, "ambiguous").when(F.col("at") > 0, "normalized").otherwise("missing")
-    start = F.when(F.size("places") > 0, F.try_element_at("places", F.lit(1))).when(F.col("at") > 0, first)
-    end = F.when(F.size("places") > 0, F.try_element_at("places", F.lit(1)) + F.length("quote")).when(F.col("at") > 0, last)
-    return rows.select("path", "quote", verdict.alias("verdict"), F.size("places").alias("n_places"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    spark, scratch = quotes.sparkSession, Scratch(quotes.sparkSession, "locate")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    rows = scratch.store(quotes.where("path is not null").groupBy("path", "quote").agg(F.count("*").alias("n")), "quotes")
+    lots = rows.groupBy("path").agg(F.ceil(F.count("*") / LOT).alias("lots"))
+    dealt = lookup(rows, lots, "path", rows.count()).withColumn("lot", F.pmod(F.xxhash64("quote"), "lots"))
+    asked = dealt.groupBy("path", "lot").agg(F.collect_list(F.struct("quote", "n")).alias("quotes"))
+    found = asked.join(docs.select("path", "text"), "path").select("path", "text", "quotes").mapInArrow(_located, PLACES)
+    return found.select("path", "quote", "verdict", "n_places", "start", "end", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
+
+
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for path, text, asked in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            places = _places_of({q["quote"] for q in asked}, text or "")
+            rest = {q["quote"]: UNMARKED.sub("", q["quote"]) for q in asked if q["quote"] and q["quote"] not in places} if text else {}
+            kept = [m.start() for m in MARKED_CHAR.finditer(text)] if any(rest.values()) else []
+            near = _places_of(set(rest.values()), "".join(text[i] for i in kept)) if kept else {}
+            for q in asked:
+                quote, n = q["quote"], q["n"]
+                if quote in places:
+                    count, at = places[quote]
+                    out.append((path, quote, "unique" if count == 1 else "ambiguous", count, at, at + len(quote), n))
+                elif rest.get(quote) in near:
+                    at = near[rest[quote]][1]
+                    out.append((path, quote, "normalized", 0, kept[at], kept[at + len(rest[quote]) - 1] + 1, n))
+                else:
+                    out.append((path, quote, "missing", 0, None, None, n))
+        names, types = zip(*(c.rsplit(" ", 1) for c in PLACES.split(", ")), strict=True)
+        kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[t]) for i, t in enumerate(types)], names=list(names))
+
+
+def _places_of(quotes: set[str | None], text: str) -> dict[str, tuple[int, int]]:
+    """How often each quote that is not empty stands in the text, and where first."""
+    automaton = ahocorasick.Automaton()
+    for quote in quotes:
+        if quote:
+            automaton.add_word(quote, quote)
+    found: dict[str, tuple[int, int]] = {}
+    if len(automaton) and text:
+        automaton.make_automaton()
+        for end, quote in automaton.iter(text):
+            count, first = found.get(quote, (0, end + 1 - len(quote)))
+            found[quote] = count + 1, first
+    return found
 
 
 def chunk_at(places: DataFrame, chunks: DataFrame) -> DataFrame:
