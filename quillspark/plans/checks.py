@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillspark.functions import text as t
-from quillspark.operators import aggregate, chunks, evidence, graph, metrics, planning, quality, recall, search, tagging
+from quillspark.operators import aggregate, chunks, evidence, graph, metrics, planning, quality, recall, search, tagging, vectors
 from quillspark.plans import adapter as a
 from quillspark.plans.catalog import _HOOK_MATCH_SQL, _RECALL_SQL, _tagger_sql, query
 from quillspark.plans.scratch import Scratch
@@ -656,3 +656,50 @@ def step_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.when(i % 5 == 1, F.lit(3)).when(i % 5 == 2, F.lit(1)).otherwise(F.lit(2))
     units = docs.select(F.concat(F.lit("u"), i.cast("string")).alias("id"), F.lit("procedure").alias("type"), said.alias("text"), F.array(item).alias("evidence"), F.array(step(second), step(F.lit(1))).alias("steps"))
     return quality.extraction(units, docs.select("path", "text")).union(quality.ordered_steps(units))
+
+
+# Vectors as a channel ---------------------------------------------------------------------------------------------------
+
+_VECTOR_SQL = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, [x / sqrt(list_sum([y * y FOR y IN e])) FOR x IN e] AS e FROM v),
+vec AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS score FROM u q JOIN u c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+vec_rank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vec)"""
+
+
+def _vector_ranking(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    rows = a.table(spark, sf_dir, "embeddings")
+    return vectors.search(vectors.build(rows, Scratch(spark, "vectors")), vectors.as_queries(rows, F.col("vec_id") % 100 == 0), k)
+
+
+@query(f"WITH {_VECTOR_SQL} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM vec_rank WHERE rank <= 10")
+def vector_channel_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one, by the exact way over the inverted lists."""
+    return _vector_ranking(spark, sf_dir, 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+_TITLE_SQL = a.QUERY_SQL.replace("item_id AS query_id", "doc_id AS query_id").replace("FROM benchmark", "FROM asked")
+
+
+@query(
+    f"""WITH {a.NOTE_SQL}, asked AS (SELECT doc_id, title AS text FROM note WHERE doc_id % 100 = 0), {a.TOKEN_SQL}, {_TITLE_SQL}, {a.SCORE_SQL}, {_VECTOR_SQL},
+  text_rank AS (SELECT query_id, CAST(split_part(path, '/', 2) AS BIGINT) AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), path) AS rank FROM scored),
+  fused AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 8) AS rrf FROM (SELECT query_id, id, rank FROM text_rank WHERE rank <= 20 UNION ALL SELECT query_id, id, rank FROM vec_rank WHERE rank <= 20) GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM fused)
+SELECT query_id, id, CAST(rrf AS DOUBLE) AS rrf, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5"""
+)
+def text_vector_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth note by its title in the text channel and by its vector, fused by reciprocal ranks."""
+    asked = a.notes(spark, sf_dir).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
+    scored = search.bm25(a.index(spark, sf_dir), asked).withColumn("bm25", F.round("bm25", 6))
+    text = search.best(scored, 20).select("query_id", F.element_at(F.split("path", "/"), -1).cast("bigint").alias("id"), "rank")
+    whole = vectors.fused(text, _vector_ranking(spark, sf_dir, 20))
+    return search.best(whole, 5, (F.desc("rrf"), "id")).select("query_id", "id", "rrf", "rank")
+
+
+def vector_lists_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one, in as many lists as a sample needs for 0.95 of its neighbours."""
+    rows = a.table(spark, sf_dir, "embeddings")
+    index, asked = vectors.build(rows, Scratch(spark, "vectors")), vectors.as_queries(rows, F.col("vec_id") % 100 == 0)
+    return vectors.search(index, asked, 10, vectors.probes_for(index, asked, 10)).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+query()(vector_lists_topk)
