@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from quillspark.functions import text as t
 from quillspark.operators.chunks import chunk_at
@@ -38,6 +38,14 @@ def verdicts(found: DataFrame) -> DataFrame:
     return found.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def write_rules(found: DataFrame, folder: str, statuses: tuple[str, ...] = ("pass", "info", "warning", "warn", "error", "fail", "na")) -> dict[str, int]:
+    """Write (subject, code, status) rows and return how many there are, in all (``rows``) and of each status, counted while they are written."""
+    totals = Observation()
+    each = [F.count(F.when(F.col("status") == s, F.lit(1))).alias(s) for s in statuses]
+    found.observe(totals, F.count(F.lit(1)).alias("rows"), *each).write.mode("overwrite").parquet(folder)
+    return {name: int(n or 0) for name, n in totals.get.items()}
+
+
 # Hooks -------------------------------------------------------------------------------------------------------------
 
 

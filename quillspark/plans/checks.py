@@ -703,3 +703,15 @@ def vector_lists_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query()(vector_lists_topk)
+
+
+@query(
+    f"""SELECT 'rows' AS status, count(*) + count(*) FILTER (n_chars < 500) AS n FROM documents WHERE n_chars < 2000 UNION ALL SELECT 'warning', count(*) FROM documents WHERE n_chars < 2000
+UNION ALL SELECT 'fail', count(*) FROM documents WHERE n_chars < 500"""
+)
+def rules_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the rules' rows that were taken while these were written; two rules on the documents' lengths."""
+    docs = _docs(spark, sf_dir)
+    found = quality.rules(docs, "path", [("short", "warning", F.col("n_chars") < 2000), ("tiny", "fail", F.col("n_chars") < 500)])
+    totals = quality.write_rules(found, Scratch(spark, "rules").path("rows"))
+    return spark.createDataFrame([(k, totals[k]) for k in ("rows", "warning", "fail")], "status string, n bigint")

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import asof, buckets, chunks, tagging
+from quillspark.operators import asof, buckets, chunks, quality, tagging
 from quillspark.sources import folders, notes
 
 
@@ -113,6 +113,23 @@ def test_automaton_tags_as_the_plan_does(spark, monkeypatch, lot):
     assert sorted(map(str, tagging.tag_paths(rows, words).collect())) == plan
 
 
+def test_totals_are_taken_while_rules_are_written(spark, tmp_path):
+    """One job writes the rows and counts them: each row is made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [("a", "x", "fail"), ("b", "y", "warn"), ("c", "y", "warn"), ("d", "z", "other"), (None, None, None)]
+    found = spark.createDataFrame(rows, "subject string, code string, status string").mapInArrow(count, "subject string, code string, status string")
+    totals = quality.write_rules(found, str(tmp_path / "rules"))
+    assert made.value == 5 and {k: n for k, n in totals.items() if n} == {"rows": 5, "fail": 1, "warn": 2}
+    assert spark.read.parquet(str(tmp_path / "rules")).count() == 5
+    assert quality.write_rules(found.limit(0), str(tmp_path / "none"))["rows"] == 0
+
+
 def test_a_hundred_thousand_words(spark):
     words = tagging.Vocabulary(canon={"domains": [f"word{i}x" for i in range(100_000)], "types": ["guide"]})
     rows = spark.range(2000).select(F.concat(F.lit("a/WORD"), (F.col("id") * 50).cast("string"), F.lit("x/guide.md")).alias("path"))
