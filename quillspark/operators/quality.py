@@ -206,18 +206,26 @@ def verbatim(notes: DataFrame, blocks: DataFrame) -> DataFrame:
     """(path, extra, missing, degraded, cross_block): numbers and commands of a note that its cited blocks lack, and numbers of the main block that it lacks.
 
     notes (path, body), blocks (path, ord, segment), the main block first. Without blocks the comparison is degraded;
-    with several, what is missing is told of the main one only (``cross_block``). A base that has units is checked by
-    ``extraction`` instead: then pass no notes.
+    with several, what is missing is told of the main one only (``cross_block``). Longer numbers stand before shorter ones, and commands
+    last. A base that has units is checked by ``extraction`` instead: then pass no notes.
     """
-    said = F.array_union(t.number_tokens(t.without_noise(t.inference_scope(F.col("body")))), t.command_spans(F.col("body")))
-    own = notes.select("path", F.array_distinct(said).alias("said"))
+    numbers, commands = t.number_tokens(t.without_noise(t.inference_scope(F.col("body")))), t.command_spans(F.col("body"))
+    own = notes.select("path", F.array_distinct(numbers).alias("numbers_said"), F.array_union(numbers, commands).alias("said"))
     sourced = blocks.select("path", "ord", F.array_union(t.number_tokens(t.without_noise(F.col("segment"))), t.command_spans(F.col("segment"))).alias("has"), t.number_tokens(t.without_noise(F.col("segment"))).alias("numbers"))
     held = sourced.groupBy("path").agg(F.array_distinct(F.flatten(F.collect_list("has"))).alias("has"), F.array_distinct(F.min_by("numbers", "ord")).alias("main"), F.count("*").alias("n"))
     rows = own.join(held, "path", "left")
     none = F.expr("cast(array() as array<string>)")
     noise = r"^(?:\d+[\.、]|0\d\d|[0-9]{8,})$"
     missing = F.filter(F.array_except(F.coalesce("main", none), "said"), lambda x: ~x.rlike(noise))
-    return rows.select("path", F.array_sort(F.array_except("said", F.coalesce("has", none))).alias("extra"), F.array_sort(missing).alias("missing"), F.col("has").isNull().alias("degraded"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("cross_block"))
+    extra = F.array_except("said", F.coalesce("has", none))
+    extra = F.concat(_longest_first(F.array_intersect(extra, "numbers_said")), F.array_sort(F.array_except(extra, "numbers_said")))
+    return rows.select("path", extra.alias("extra"), _longest_first(missing).alias("missing"), F.col("has").isNull().alias("degraded"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("cross_block"))
+
+
+def _longest_first(numbers: Column) -> Column:
+    """In order of falling length, those of one length by their text."""
+    keyed = F.array_sort(F.transform(numbers, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    return F.transform(keyed, lambda k: k["x"])
 
 
 def numbers_compared(left: Column, right: Column) -> tuple[Column, Column]:
