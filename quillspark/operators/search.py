@@ -24,6 +24,7 @@ LEAST_GRAMS = 2
 OF_QUERY, OF_HOOK = 0.5, 0.35  # shares of terms
 HELD_RUN = 8
 PUSHED = 200
+PART_BYTES = 8 << 20  # of text that one task takes apart
 POSTING = "gram string, path string, length bigint, tf bigint, weighted double"
 TAG_DIMENSIONS = ("domains", "forms", "tools", "types", "projects", "topics")
 RANK_KEYS = ("相关度", "时间", "类型优先级")
@@ -33,6 +34,12 @@ class QueryError(ValueError):
     """A request that cannot be answered: it says what is allowed."""
 
 
+def text_parts(rows: DataFrame, *columns: str) -> int:
+    """In how many parts texts are dealt, so that each has about ``PART_BYTES`` of them, however much a file's compression hides."""
+    size = rows.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in columns), F.lit(0).cast("bigint")))).first()[0] or 0
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+
+
 def terms(notes: DataFrame) -> DataFrame:
     """(path, length, terms): by note the number of indexed terms of all columns, and an array of (gram, weight)."""
     columns = [c for c in COLUMN_WEIGHTS if c in notes.columns]

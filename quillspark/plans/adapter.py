@@ -57,8 +57,8 @@ def index(spark: SparkSession, sf_dir: str) -> search.Index:
 
 def topic_words(rows: DataFrame) -> DataFrame:
     """(path, topics) from (path, body): the most frequent words of six characters or more, ties by the word."""
-    # Dealt by note once, words are counted and ranked without another exchange.
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    # Dealt by note once, words are counted and ranked without another exchange; a task has a bounded share of the text.
+    parts = search.text_parts(rows, "body")
     words = rows.select("path", "body").repartition(parts, "path").select("path", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).where(F.length("word") >= TOPIC_CHARS)
     order = Window.partitionBy("path").orderBy(F.desc("n"), "word")
     top = words.groupBy("path", "word").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= TOPICS)
