@@ -215,39 +215,58 @@ def hook_matches(hooks: DataFrame, queries: DataFrame) -> DataFrame:
     hook's are. Distinct texts meet on their rarest terms (``similar``); where one text holds the other without enough terms in common (part of a
     word), they meet on the rarest of the inner text's runs of ``HELD_RUN`` characters.
     """
-    # Both sides are met several times below: they are written, so that every text is tokenised once.
+    # Both sides are met several times below: they are written, so that every text is tokenised once. Pairs are of numbers: a file of pairs of
+    # repeated texts is small, and what a join would take of it into the driver's memory is not.
     scratch = Scratch(hooks.sparkSession, "hook-match")
-    asked = scratch.store(queries.select(F.col("text").alias("id")).where("id is not null").distinct().withColumn("members", t.query_grams(F.col("id"))), "asked")
-    kept = scratch.store(hooks.select(F.col("hook").alias("id")).where("id is not null").distinct().withColumn("members", t.query_grams(F.col("id"))), "kept").where(F.size("members") > 0)
-    alike = scratch.store(sharing(asked, kept, OF_QUERY, OF_HOOK, LEAST_GRAMS, scratch), "alike")
-    texts, questions = kept.select(F.col("id").alias("x")), asked.select(F.col("id").alias("y"))
-    either = held_pairs(texts, questions).union(held_pairs(questions, texts).select("x", "y")).distinct()
-    held = either.select(F.col("y").alias("asked"), F.col("x").alias("kept")).join(alike, ["asked", "kept"], "left_anti")
+
+    def numbered(texts: DataFrame, table: str) -> DataFrame:
+        return scratch.store(texts.where("text is not null").distinct().withColumn("id", F.monotonically_increasing_id()).withColumn("members", t.query_grams(F.col("text"))), table)
+
+    asked, kept = numbered(queries.select("text"), "asked"), numbered(hooks.select(F.col("hook").alias("text")), "kept").where(F.size("members") > 0)
+    alike = scratch.store(sharing(asked.select("id", "members"), kept.select("id", "members"), OF_QUERY, OF_HOOK, LEAST_GRAMS, scratch), "alike")
+    own, other = held_ids(kept, asked, scratch, "held_own"), held_ids(asked, kept, scratch, "held_other")
+    either = own.select(F.col("outer").alias("asked"), F.col("inner").alias("kept")).union(other.select(F.col("inner").alias("asked"), F.col("outer").alias("kept"))).distinct()
+    held = either.join(alike.select("asked", "kept").hint("merge"), ["asked", "kept"], "left_anti")
     # A pair that is held but not alike may still share terms.
-    counted = held.join(asked.select(F.col("id").alias("asked"), F.col("members").alias("q")), "asked").join(kept.select(F.col("id").alias("kept"), F.col("members").alias("h")), "kept")
+    counted = held.join(asked.select(F.col("id").alias("asked"), F.col("members").alias("q")), "asked").join(kept.select(F.col("id").alias("kept"), F.col("members").alias("h")).hint("merge"), "kept")
     counted = counted.select("asked", "kept", F.size(F.array_intersect("q", "h")).cast("bigint").alias("shared"))
     pairs = scratch.store(alike.unionByName(counted), "pairs")
-    paths = scratch.store(hooks.select("path", F.col("hook").alias("kept")).distinct(), "paths")
-    asking = scratch.store(queries.select("query_id", F.col("text").alias("asked")).distinct(), "asking")
-    found = scratch.store(salted(paths, pairs, "kept", paths.count(), "path"), "found")
-    return salted(found, asking, "asked", found.count(), "path").select("query_id", "path", F.col("kept").alias("hook"), "shared")
+    places, asking = hooks.select("path", F.col("hook").alias("text")).distinct(), queries.select("query_id", "text").distinct()
+    paths = scratch.store(places.join(kept.select("text", F.col("id").alias("kept")).hint("merge"), "text").select("path", "kept", F.col("text").alias("hook")), "paths")
+    asking = scratch.store(asking.join(asked.select("text", F.col("id").alias("asked")).hint("merge"), "text").select("query_id", "asked"), "asking")
+    found = scratch.store(salted(paths, pairs.hint("merge"), "kept", paths.count(), "path"), "found")
+    return salted(found, asking, "asked", found.count(), "path").select("query_id", "path", "hook", "shared")
 
 
 def held_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Pairs of texts (first columns of both) where the first one stands in the second one, under both names.
+    """Pairs of texts (first columns of both) where the first one stands in the second one, under both names."""
+    x, y, scratch = inner.columns[0], outer.columns[0], Scratch(inner.sparkSession, "held-pairs")
+    one, two = (scratch.store(f.select(F.col(f.columns[0]).alias("text")).distinct().withColumn("id", F.monotonically_increasing_id()), n) for f, n in ((inner, "inner"), (outer, "outer")))
+    found = held_ids(one, two, scratch, "held")
+    return found.join(one.select(F.col("id").alias("inner"), F.col("text").alias(x)), "inner").join(two.select(F.col("id").alias("outer"), F.col("text").alias(y)), "outer").select(x, y)
+
+
+def held_ids(inner: DataFrame, outer: DataFrame, scratch: Scratch, table: str) -> DataFrame:
+    """(inner, outer): ids of texts (id, text) of which the first one stands in the second one; both tables are read several times.
 
     An inner text is looked up by that run of its characters which the fewest outer texts have, so a run that most texts
     share brings no pairs together; one shorter than a run is looked up by itself among the outer texts' shorter runs.
+    Runs are kept as numbers (a hash brings a few pairs more together) without the texts, which are met again to be compared.
     """
-    x, y = inner.columns[0], outer.columns[0]
     # Inner texts shorter than a run need runs of their own length: at most HELD_RUN numbers.
-    lengths = [r[0] for r in inner.where(F.length(x) > 0).select(F.least(F.lit(HELD_RUN), F.length(x)).alias("n")).distinct().collect()]
+    some = inner.where(F.length("text") > 0)
+    lengths = [r[0] for r in some.select(F.least(F.lit(HELD_RUN), F.length("text")).alias("n")).distinct().collect()]
     sizes = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
-    outs = outer.where(F.length(y) > 0).select(y, F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: _runs(F.col(y), n))))).alias("run"))
+    hashed = lambda runs: F.explode(F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r)))).alias("run")
+    own = scratch.store(some.select(F.col("id").alias("inner"), hashed(_runs(F.col("text"), F.least(F.lit(HELD_RUN), F.length("text"))))), f"{table}_own")
+    outs = outer.where(F.length("text") > 0).select(F.col("id").alias("outer"), hashed(F.flatten(F.transform(sizes, lambda n: _runs(F.col("text"), n)))))
+    outs = scratch.store(outs, f"{table}_outs")
     common = outs.groupBy("run").agg(F.count("*").alias("n"))
-    own = inner.where(F.length(x) > 0).select(x, F.explode(F.array_distinct(_runs(F.col(x), F.least(F.lit(HELD_RUN), F.length(x))))).alias("run"))
-    missing = own.join(common, "run", "left").groupBy(x).agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("run"))
-    return missing.join(outs, "run").where(F.col(y).contains(F.col(x))).select(x, y)
+    rarest = own.join(common.hint("merge"), "run", "left").groupBy("inner").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("run"))
+    met = rarest.join(outs.hint("merge"), "run").select("inner", "outer")
+    one, two = inner.select(F.col("id").alias("inner"), F.col("text").alias("x")), outer.select(F.col("id").alias("outer"), F.col("text").alias("y"))
+    found = met.join(one.hint("merge"), "inner").join(two.hint("merge"), "outer").where(F.col("y").contains(F.col("x"))).select("inner", "outer")
+    return scratch.store(found, table)
 
 
 def _runs(text: Column, n: Column) -> Column:
