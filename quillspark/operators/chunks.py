@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,6 +18,7 @@ from quillspark.plans.scratch import Scratch
 OVERLAP = 0.1
 LOT = 4096  # quotes that are looked for in one scan of a text
 BATCH_BYTES = 4 << 20
+BATCH_CHUNKS = 256  # chunks whose units are in Python at a time
 PLACES = "path string, quote string, verdict string, n_places int, start int, end int, n bigint"
 #: What ``functions.text.norm`` takes out, and a character that it leaves.
 UNMARKED = regex.compile(r"[ \t\n\x0b\f\r\p{P}\p{S}]+")
@@ -148,7 +149,16 @@ class _Open:
         return last.lstrip("#").startswith(" ") and last.startswith("#") or last[-1:] in tuple(":：—-")
 
 
-def _segments_of(chunk: pd.DataFrame, limit: int) -> Iterator[dict]:
+class _Unit(NamedTuple):
+    unit: int
+    start: int
+    len: int
+    pseudo: bool
+    kind: str
+    text: str
+
+
+def _segments_of(chunk: list[_Unit], limit: int) -> Iterator[dict]:
     open_: _Open | None = None
 
     def row(start: int, size: int, pseudo: int, **flags: bool) -> dict:
@@ -158,7 +168,7 @@ def _segments_of(chunk: pd.DataFrame, limit: int) -> Iterator[dict]:
         if s:
             yield row(s.start, s.size, s.pseudo, frag=s.frag, oversized_frag=s.frag and s.size > limit)
 
-    for u in chunk.sort_values("unit").itertuples():
+    for u in chunk:
         grown = (open_.size if open_ else 0) + u.len
         if u.kind == "media_table":
             yield from closed(open_)
@@ -186,12 +196,24 @@ def _segments_of(chunk: pd.DataFrame, limit: int) -> Iterator[dict]:
 
 
 def segments(chunks: DataFrame, limit: int = SEGMENT_LIMIT) -> DataFrame:
-    """Candidate segments of high-value chunks: see ``SEGMENTS``. What is open depends on what came before, so a chunk's units go together."""
+    """Candidate segments of high-value chunks: see ``SEGMENTS``."""
+    return segments_of(units(chunks), limit)
+
+
+def segments_of(found: DataFrame, limit: int = SEGMENT_LIMIT) -> DataFrame:
+    """The same from the chunks' ``units``. What is open depends on what came before, so a chunk's units go together, as one row in their order."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    columns = {name: kinds[kind] for name, kind in (c.split() for c in SEGMENTS.split(", "))}
 
-    def run(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"chunk_id": key[0], **r} for r in _segments_of(chunk, limit)], columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, BATCH_CHUNKS):
+                keys, lists = (b.column(c).slice(i, BATCH_CHUNKS).to_pylist() for c in (0, 1))
+                rows = [{"chunk_id": key, **r} for key, chunk in zip(keys, lists, strict=True) for r in _segments_of([_Unit(**u) for u in chunk], limit)]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(columns.items())))
 
-    return units(chunks).groupBy("chunk_id").applyInPandas(run, SEGMENTS)
+    gathered = found.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct(*_Unit._fields))).alias("units"))
+    return gathered.mapInArrow(run, SEGMENTS)
 
 
 # Places ------------------------------------------------------------------------------------------------------------
