@@ -63,7 +63,7 @@ def postings(indexed: DataFrame) -> DataFrame:
 class Index:
     """The tables of an index: postings (gram, path, length, tf, weighted), lengths (path, length), terms (gram, df, tf).
 
-    One of ``segments`` also has its postings in blocks, void notes, the notes themselves, and how many there are with their mean length.
+    One of ``segments`` also has its postings in blocks, void notes, the notes themselves, how many there are with their mean length, and the terms of each.
     """
 
     postings: DataFrame
@@ -73,6 +73,7 @@ class Index:
     dead: DataFrame | None = None
     notes: DataFrame | None = None
     whole: tuple[int, float] | None = None
+    forward: DataFrame | None = None
 
     def of(self, wanted: DataFrame) -> DataFrame:
         """The postings of some terms (gram). A few are read by the files' own statistics; more meet the postings in a join."""
