@@ -185,10 +185,8 @@ FROM ideal LEFT JOIN per USING (query_id)"""
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall, reciprocal rank and gain of ten hits, where notes that hold the passage are relevant."""
     rows, asked = a.notes(spark, sf_dir).select("path", "title", "body"), a.questions(spark, sf_dir)
-    scored = search.bm25(a.index(spark, sf_dir), asked)
-    ranked = search.best(scored.where(search.above_floor()).withColumn("bm25", F.round("bm25", 6)), 10)
     # A note that holds a passage has all of its terms.
-    full = scored.where("hits = n_grams").select("query_id", "path")
+    ranked, full = segments.scanned(a.index(spark, sf_dir), asked, 10)
     relevant = full.join(asked, "query_id").join(rows, "path").where(F.col("body").contains(F.col("text"))).select("query_id", "path")
     out = metrics.retrieval(ranked, relevant, 10)
     return out.withColumn("returned", F.col("returned").cast("bigint")).withColumn("hits", F.col("hits").cast("bigint"))
