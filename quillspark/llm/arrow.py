@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from quillspark.llm import byte_bpe
+
 BATCH_BYTES = 4 << 20
 
 
@@ -61,8 +63,13 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def release() -> None:
-    """Give back to the system what earlier work has left free in this Python worker, which Spark uses again for the next stage."""
+def release(memos: bool = True) -> None:
+    """Give back to the system what earlier work has left free in this Python worker, which Spark uses again for the next stage.
+
+    ``memos``: also what the tokenizers of an earlier stage have kept.
+    """
+    if memos:
+        byte_bpe.encoder.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library

@@ -82,10 +82,11 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, without special ones added; null counts as empty."""
-        for memo in (self.spaced, self.plain):
-            if len(memo) > self.limit:
-                # What was met first is mostly frequent.
-                kept = list(islice(memo.items(), self.limit // 2))
+        # The limit is of both together; what was met first is mostly frequent.
+        whole = len(self.spaced) + len(self.plain)
+        if whole > self.limit:
+            for memo in (self.spaced, self.plain):
+                kept = list(islice(memo.items(), self.limit // 2 * len(memo) // whole))
                 memo.clear()
                 memo.update(kept)
         spaced, plain = [], []

@@ -228,7 +228,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits
     end = int(end_id).to_bytes(ID_BYTES, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        release(memos=False)
         packer, coder = Packer(limits), encoder(vocabulary)
         breaks = coder.tokenizer.encode("\n", add_special_tokens=False).ids
         line_break = int(breaks[0]).to_bytes(ID_BYTES, "little")

@@ -161,7 +161,8 @@ class TextCnn:
             unique, inverse = np.unique(ids[row], return_inverse=True)
             total = np.zeros((len(unique), SIZE), dtype=np.float32)
             np.add.at(total, inverse, grad)
-            sums[name][unique] += total**2
+            square = total**2
+            sums[name][unique] += square if sums[name].shape[1] > 1 else square.mean(axis=1, keepdims=True)
             getattr(self, name)[unique] -= rate * total / np.sqrt(sums[name][unique])
         for name, g in steps.items():
             sums[name] += g**2
@@ -169,6 +170,11 @@ class TextCnn:
         sums["offset"] += float(error.sum()) ** 2
         self.offset -= rate * float(error.sum()) / sums["offset"] ** 0.5
 
+    def by_row(self) -> None:
+        """From here on a bucket's vector has one sum, its components' mean, so that a member in learning is little larger than one that has learned."""
+        if self.sums:
+            self.sums |= {k: self.sums[k].mean(axis=1, keepdims=True) for k in ("words", "stems")}
+
     def vector(self) -> np.ndarray:
         """All parameters in a row."""
         return np.concatenate([*(p.ravel() for p in (self.words, self.stems, *self.filters, self.bias, self.weights)), np.array([self.offset], np.float32)])
@@ -251,6 +257,7 @@ def fit_member(coded: Coded, toxic: np.ndarray, fold: np.ndarray, k: int) -> Tex
     """A member fitted on all parts but one."""
     member, seen = TextCnn.new(5 + k), np.flatnonzero(fold != k)
     member.fit([coded[i] for i in seen], toxic[seen], seed=6 + k)
+    member.by_row()
     return member
 
 
@@ -358,6 +365,7 @@ def learn_all(coded: DataFrame, members: list[TextCnn], dealt: dict[int, int], z
     rows = coded.select("doc_id", "toxic", "ids").coalesce(shards).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "ids")
     moved = rows.mapInArrow(run, "fold bigint, piece bigint, shard bigint, n bigint, v binary")
     pieces = moved.groupBy("fold", "piece").applyInArrow(mean, "fold bigint, piece bigint, v binary").collect()
+    shared.destroy()
     out = list(members)
     for k in {r.fold for r in pieces}:
         out[k] = TextCnn.of_vector(np.concatenate([np.frombuffer(r.v, dtype=np.float32) for r in sorted((r for r in pieces if r.fold == k), key=lambda r: r.piece)]))
@@ -398,17 +406,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     first = first_rows(coded, labelled)
     toxic = np.array([r.toxic for r in first], dtype=np.int64)
     if min((toxic == 1).sum(), (toxic == 0).sum()) >= 2:
-        own, fold = _decoded([r.ids for r in first]), deal(toxic)
-        shared, folds = spark.sparkContext.broadcast((own, toxic, fold)), int(fold.max()) + 1
+        fold = deal(toxic)
+        shared, folds = spark.sparkContext.broadcast(([r.ids for r in first], toxic, fold)), int(fold.max()) + 1
+        dealt = {r.doc_id: int(k) for r, k in zip(first, fold, strict=True)}
+        first = None  # the driver keeps one copy, the broadcast's
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             release()
             for k in (k for b in batches for k in b.column(0).to_pylist()):
-                yield pa.RecordBatch.from_pydict({"fold": [k], "member": [pickle.dumps(fit_member(*shared.value, k))]})
+                yield pa.RecordBatch.from_pydict({"fold": [k], "member": [pickle.dumps(fit_member(_decoded(shared.value[0]), *shared.value[1:], k))]})
 
         fitted = spark.range(0, folds, 1, folds).mapInArrow(fit, "fold bigint, member binary").collect()
         members = [pickle.loads(r.member) for r in sorted(fitted, key=lambda r: r.fold)]
-        dealt = {r.doc_id: int(k) for r, k in zip(first, fold, strict=True)}
+        shared.destroy()
+        fitted = shared = None
+        release()
     else:  # a class of long texts only: members start from nothing
         members, dealt = [TextCnn.new(5 + k) for k in range(2)], {}
     members = learn_all(coded, members, dealt, sizes[0], sizes[1])
