@@ -197,7 +197,7 @@ def write_token_shards(docs: DataFrame, folder: str, vocabulary: str | None = No
         shard, done = None, []
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for start, stop in slices(texts, 1_000_000):
+            for start, stop in slices(texts, 2_000_000):
                 for doc_id, coded in zip(ids[start:stop], coder.encode(texts[start:stop]), strict=True):
                     if shard and shard.tokens >= shard_tokens:
                         done.append(shard.close())
