@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,15 +63,29 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def release(memos: bool = True) -> None:
-    """Give back to the system what earlier work has left free in this Python worker, which Spark uses again for the next stage.
+def trim() -> None:
+    """Give back to the system what earlier work has left free in this process."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if give_back:
+        give_back(0)
+
 
-    ``memos``: also what the tokenizers of an earlier stage have kept.
-    """
+def release(memos: bool = True) -> None:
+    """``trim`` after garbage is collected; ``memos``: also what the tokenizers of an earlier stage have kept."""
     if memos:
         byte_bpe.encoder.cache_clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
-    if trim:
-        trim(0)
+    trim()
+
+
+def lean(work: Callable, memos: bool = True) -> Callable:
+    """``work`` for ``mapInArrow``, in a Python worker that Spark uses again: it starts with what earlier stages have left given back,
+    and does not stay large beside stages that need no Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(memos)
+        yield from work(batches)
+        trim()
+
+    return run

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.arrow import bound_batches, release, slices
+from quillspark.llm.arrow import bound_batches, lean, slices
 from quillspark.llm.bloom import may_hold
 from quillspark.llm.shingle_hash import MARKS, window_hashes, word_hashes
 from quillspark.operators.skew import lookup, salted
@@ -173,7 +173,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bound_batches(spark)
     scratch = Scratch(spark, "decontamination")
     columns = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    items = scratch.store(columns.mapInArrow(_items, "item_id bigint, words array<bigint>, seeds array<bigint>, times array<bigint>").where("size(words) > 0"), "items")
+    items = scratch.store(columns.mapInArrow(lean(_items), "item_id bigint, words array<bigint>, seeds array<bigint>, times array<bigint>").where("size(words) > 0"), "items")
     # Items of the same words are one class, named by its least item_id.
     classes = items.groupBy("words").agg(F.min("item_id").alias("class_id"), F.first(F.arrays_zip("seeds", "times")).alias("seeds"))
     seeds = scratch.store(classes.select("class_id", F.size("words").alias("item_words"), F.explode("seeds").alias("s")).select("class_id", "item_words", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")), "seeds")
@@ -188,7 +188,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in seeds.select(F.least(F.col("item_words"), F.lit(SEED))).distinct().collect())
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         passes, shift = flags.value, np.uint64(64 - FILTER_BITS)
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -210,14 +209,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "runs", "seeds"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    probed = texts.mapInArrow(probe, "doc_id bigint, runs array<array<bigint>>, seeds array<bigint>")
+    probed = texts.mapInArrow(lean(probe), "doc_id bigint, runs array<array<bigint>>, seeds array<bigint>")
     probed = scratch.store(probed.withColumn("row", F.monotonically_increasing_id()), "probed")
     n_seeds = probed.agg(F.sum(F.size("seeds"))).first()[0] or 0
     shared = salted(probed.select("row", F.explode("seeds").alias("seed")), seeds, "seed", n_seeds, "row").groupBy("row", "class_id").agg(F.sum("times").alias("n"), F.max("item_words").alias("item_words"))
     likely = scratch.store(shared.where(F.col("n") * SEED >= COVERAGE * F.col("item_words")).select("row", "class_id"), "likely")
     worded = lookup(likely, classes.select("class_id", "words"), "class_id", likely.count())
     pairs = worded.join(probed.select("row", "doc_id", "runs"), "row").select("doc_id", F.col("class_id").alias("item_id"), "runs", "words")
-    found = scratch.store(pairs.mapInArrow(_tile, LEAKS), "found")
+    found = scratch.store(pairs.mapInArrow(lean(_tile), LEAKS), "found")
     # Back from classes to all of their items; of a document's rows the best counts.
     members = items.select("words", "item_id").join(classes.select("words", F.col("class_id")), "words").select("class_id", F.col("item_id").alias("member"))
     named = salted(found.withColumnRenamed("item_id", "class_id"), members, "class_id", found.count(), "doc_id").select("doc_id", F.col("member").alias("item_id"), "coverage", "n_tiles", "tiled_words", "item_words")

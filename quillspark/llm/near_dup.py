@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.llm.arrow import bound_batches, groups, longs, release, slices
+from quillspark.llm.arrow import bound_batches, groups, lean, longs, slices
 from quillspark.llm.bloom import may_hold
 from quillspark.llm.shingle_hash import mix, shingle_set, word_hashes
 from quillspark.operators.graph import connected_components
@@ -85,7 +85,6 @@ def _as_signed(x: int) -> int:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for start, end in slices(texts):
@@ -112,7 +111,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, sketch, high) of each row; (n_shingles, set_a, set_b) tells its shingle set."""
     columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, high binary")
+    return columns.mapInArrow(lean(_sign), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, high binary")
 
 
 def sets_of(texts: list[str | None]) -> list[np.ndarray]:
@@ -164,7 +163,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs that are linked by a text of each; ids that have several texts come with all pairs of them."""
-    release()
     for batch in batches:
         src, dst = longs(batch.column(0)), longs(batch.column(1))
         keep, last, one = np.zeros(len(src), dtype=bool), None, None
@@ -220,7 +218,6 @@ def _prune_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between components in each cell, by full sets; a link is given only if it joins what was apart there."""
-    release()
     for cell, comp, differ in _cells(batches):
         ids = longs(cell.column("doc_id").combine_chunks())
         sets = sets_of(cell.column("text").to_pylist())
@@ -315,12 +312,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the likely pairs that are links."""
         known = scratch.store(texts_of(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")), name), "known")
-        links = scratch.store(_both_sides(pairs, known, "text").mapInArrow(_confirm, PAIR), name)
+        links = scratch.store(_both_sides(pairs, known, "text").mapInArrow(lean(_confirm), PAIR), name)
         scratch.drop("known")
         return links
 
     tried = scratch.store(members.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("src"), F.greatest("doc_id", "leader").alias("dst")).distinct(), "tried")
-    likely = scratch.store(_both_sides(tried, sketches, "sketch").mapInArrow(_compare, PAIR), "likely")
+    likely = scratch.store(_both_sides(tried, sketches, "sketch").mapInArrow(lean(_compare), PAIR), "likely")
     links = confirmed(likely, "links")
     labels = scratch.store(connected_components(links), "labels")
 
@@ -329,14 +326,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = scratch.store(labelled, "labelled")
     rest = _dealt_to_cells(labelled, scratch)
     schema = "key bigint, cell bigint, part bigint, doc_id bigint, comp bigint, other bigint"
-    left = scratch.store(_dealt(rest.join(sketches, "doc_id")).mapInArrow(_prune_cells, schema), "left")
+    left = scratch.store(_dealt(rest.join(sketches, "doc_id")).mapInArrow(lean(_prune_cells), schema), "left")
     scratch.drop("members", "labelled", "nodes")
     pairs = left.where("other is not null").select(F.least("doc_id", "other").alias("src"), F.greatest("doc_id", "other").alias("dst")).distinct()
     pairs = scratch.store(pairs.join(tried, ["src", "dst"], "left_anti"), "pairs")
     few = confirmed(pairs, "few")
     dense = left.where("other is null").drop("other")
     dense_texts = texts_of(dense.select("doc_id"), "dense")
-    many = scratch.store(_dealt(dense.join(dense_texts, "doc_id")).mapInArrow(_link_cells, PAIR), "many")
+    many = scratch.store(_dealt(dense.join(dense_texts, "doc_id")).mapInArrow(lean(_link_cells), PAIR), "many")
     scratch.drop("left", "pairs", "tried", "likely")
 
     some = signed.where("doc_id is not null and n_shingles > 0")

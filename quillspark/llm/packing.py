@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.arrow import bound_batches, release, slices
+from quillspark.llm.arrow import bound_batches, lean, slices
 from quillspark.llm.byte_bpe import ID_BYTES, default_vocabulary, encoder
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
@@ -228,7 +228,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits
     end = int(end_id).to_bytes(ID_BYTES, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release(memos=False)
         packer, coder = Packer(limits), encoder(vocabulary)
         breaks = coder.tokenizer.encode("\n", add_special_tokens=False).ids
         line_break = int(breaks[0]).to_bytes(ID_BYTES, "little")
@@ -245,7 +244,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 ranges = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)) if mask else []
-                for start, stop in slices(texts, 1_000_000):
+                for start, stop in slices(texts, 2_000_000):
                     for doc_id, (row, loss) in zip(ids[start:stop], coded(texts[start:stop], ranges[start:stop]), strict=True):
                         yield from packer.add(Item(doc_id, row, 0, len(row) // ID_BYTES, *loss))
             yield from packer.finish()
@@ -254,4 +253,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits
 
     columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")]
     columns += [F.col(c).cast("bigint").alias(f"mask{i}") for i, c in enumerate(mask or ())]
-    return docs.select(*columns).mapInArrow(run, PIECES)
+    return docs.select(*columns).mapInArrow(lean(run, memos=False), PIECES)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillspark.llm.arrow import bound_batches, longs, release, slices
+from quillspark.llm.arrow import bound_batches, lean, longs, release, slices
 from quillspark.llm.bloom import may_hold
 from quillspark.llm.shingle_hash import MARKS, Words
 from quillspark.plans.scratch import Scratch
@@ -292,7 +292,6 @@ def code(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """(doc_id, lang, n, ids, toxic) of every row that has a label: its number of words, and their and their stems' buckets, two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for b in batches:
             texts = b.column(2).to_pylist()
             for start, stop in slices(texts):
@@ -304,7 +303,7 @@ def code(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # Only rows that the filter passes are coded and meet the exact join, by which texts do not move.
     likely = columns.where(may_hold(labelled.select("doc_id"), F.col("doc_id")))
-    return likely.mapInArrow(run, "doc_id bigint, lang string, n bigint, ids binary").join(labelled, "doc_id")
+    return likely.mapInArrow(lean(run), "doc_id bigint, lang string, n bigint, ids binary").join(labelled, "doc_id")
 
 
 def _decoded(ids: list[bytes]) -> Coded:
@@ -336,7 +335,6 @@ def learn_all(coded: DataFrame, members: list[TextCnn], dealt: dict[int, int], z
     shards, shared = min(SHARDS, -(-(zeros + ones) // SHARD_ROWS)), coded.sparkSession.sparkContext.broadcast((members, dealt))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         own, seen, shard = copy.deepcopy(shared.value[0]), [0] * len(shared.value[0]), TaskContext.get().partitionId()
         for b in batches:
             toxic, part = longs(b.column(1)), parts_of(longs(b.column(0)), shared.value[1], len(own))
@@ -363,7 +361,7 @@ def learn_all(coded: DataFrame, members: list[TextCnn], dealt: dict[int, int], z
 
     # In order of a hash, so that rows of one kind do not follow one another.
     rows = coded.select("doc_id", "toxic", "ids").coalesce(shards).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "ids")
-    moved = rows.mapInArrow(run, "fold bigint, piece bigint, shard bigint, n bigint, v binary")
+    moved = rows.mapInArrow(lean(run), "fold bigint, piece bigint, shard bigint, n bigint, v binary")
     pieces = moved.groupBy("fold", "piece").applyInArrow(mean, "fold bigint, piece bigint, v binary").collect()
     shared.destroy()
     out = list(members)
@@ -387,7 +385,7 @@ def score_counts(coded: DataFrame, members: list[TextCnn], dealt: dict[int, int]
                     raw[at] = member.raw(words, stems, np.concatenate([[0], np.cumsum([len(docs[i][0]) for i in at])]))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(np.rint(raw / STEP).astype(np.int64))], names=["lang", "toxic", "raw"])
 
-    scored = coded.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "toxic", "ids").mapInArrow(run, "lang string, toxic int, raw bigint")
+    scored = coded.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "toxic", "ids").mapInArrow(lean(run), "lang string, toxic int, raw bigint")
     return scored.groupBy("lang", "toxic", "raw").agg(F.count("*").alias("n"))
 
 
@@ -412,11 +410,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
         first = None  # the driver keeps one copy, the broadcast's
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            release()
             for k in (k for b in batches for k in b.column(0).to_pylist()):
                 yield pa.RecordBatch.from_pydict({"fold": [k], "member": [pickle.dumps(fit_member(_decoded(shared.value[0]), *shared.value[1:], k))]})
 
-        fitted = spark.range(0, folds, 1, folds).mapInArrow(fit, "fold bigint, member binary").collect()
+        fitted = spark.range(0, folds, 1, folds).mapInArrow(lean(fit), "fold bigint, member binary").collect()
         members = [pickle.loads(r.member) for r in sorted(fitted, key=lambda r: r.fold)]
         shared.destroy()
         fitted = shared = None
@@ -435,7 +432,6 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for b in batches:
             texts = b.column(2).to_pylist()
             for start, stop in slices(texts):
@@ -443,7 +439,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared.value.score(texts[start:stop]), pa.float64())], names=["doc_id", "lang", "score"])
 
     columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(run, SCORES)
+    return columns.mapInArrow(lean(run), SCORES)
 
 
 def thresholds(model: Classifier, lang: Column) -> Column:
@@ -470,11 +466,10 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for b in batches:
             texts, langs = b.column(names.index("text")).to_pylist(), b.column(names.index("lang")).to_pylist()
             for start, stop in slices(texts):
                 cuts = np.array([shared.value.threshold(x) for x in langs[start:stop]])
                 yield b.slice(start, stop - start).filter(pa.array(shared.value.score(texts[start:stop]) < cuts))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

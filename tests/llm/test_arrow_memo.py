@@ -1,8 +1,8 @@
-"""The tokenizer's memo cuts at line feeds and before punctuation and looks each stretch up once."""
+"""The tokenizer's memo cuts at line feeds and before punctuation, looks each stretch up once, and workers give memory back."""
 
 import struct
 
-from quillspark.llm import byte_bpe
+from quillspark.llm import arrow, byte_bpe
 
 
 def ids(coder, text):
@@ -36,3 +36,11 @@ def test_special_tokens_and_long_stretches():
     texts = ["a<|endoftext|>.\nb", "x|>! <|endoftext|>", "\n", " ", "it's\n's 't", "é" * 90 + ".", "Ⅷ. ²! 漢。,", "a\nb\n", "\nA"] * 2
     assert coder.encode(texts) == [ids(coder, t) for t in texts]
     assert all(len(x.encode()) <= 64 for x in coder.stretches.to_pylist())
+
+
+def test_tasks_give_memory_back_at_both_ends(monkeypatch):
+    seen = []
+    monkeypatch.setattr(arrow, "release", lambda memos: seen.append(("release", memos)))
+    monkeypatch.setattr(arrow, "trim", lambda: seen.append("trim"))
+    assert list(arrow.lean(lambda rows: (seen.append(r) or r for r in rows), memos=False)(iter([1, 2]))) == [1, 2]
+    assert seen == [("release", False), 1, 2, "trim"]
