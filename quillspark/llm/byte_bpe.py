@@ -143,10 +143,10 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary and Python worker."""
-    return Encoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, limit: int = 600_000) -> Encoder:
+    """The encoder of a Python worker: another one takes the place of the last, so that no memo stays beside it."""
+    return Encoder(path, limit)
 
 
 def default_vocabulary() -> str:

@@ -34,6 +34,7 @@ from quillspark.llm.byte_bpe import ID_BYTES, default_vocabulary, encoder
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
 POOL = 128
+MEMO, RUN = 250_000, 1_000_000  # stretches that the tokenizer keeps, characters in one run: a worker needs memory for both beside those of other stages
 
 
 @dataclass(frozen=True)
@@ -228,7 +229,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits
     end = int(end_id).to_bytes(ID_BYTES, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, coder = Packer(limits), encoder(vocabulary)
+        packer, coder = Packer(limits), encoder(vocabulary, MEMO)
         breaks = coder.tokenizer.encode("\n", add_special_tokens=False).ids
         line_break = int(breaks[0]).to_bytes(ID_BYTES, "little")
 
@@ -244,7 +245,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 ranges = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)) if mask else []
-                for start, stop in slices(texts, 2_000_000):
+                for start, stop in slices(texts, RUN):
                     for doc_id, (row, loss) in zip(ids[start:stop], coded(texts[start:stop], ranges[start:stop]), strict=True):
                         yield from packer.add(Item(doc_id, row, 0, len(row) // ID_BYTES, *loss))
             yield from packer.finish()

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.llm.arrow import bound_batches, lean, longs, release, slices
-from quillspark.llm.bloom import may_hold
+from quillspark.llm.bloom import filter_of, passes, places_of
 from quillspark.llm.shingle_hash import MARKS, Words
 from quillspark.plans.scratch import Scratch
 
@@ -291,8 +291,11 @@ def known(labels: DataFrame) -> DataFrame:
 def code(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """(doc_id, lang, n, ids, toxic) of every row that has a label: its number of words, and their and their stems' buckets, two bytes each."""
 
+    held, size = filter_of(labelled.select("doc_id"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(passes(held.value, b.column(3), b.column(4)))
             texts = b.column(2).to_pylist()
             for start, stop in slices(texts):
                 words, stems, edges = word_ids(texts[start:stop])
@@ -302,8 +305,8 @@ def code(docs: DataFrame, labelled: DataFrame) -> DataFrame:
 
     columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # Only rows that the filter passes are coded and meet the exact join, by which texts do not move.
-    likely = columns.where(may_hold(labelled.select("doc_id"), F.col("doc_id")))
-    return likely.mapInArrow(lean(run), "doc_id bigint, lang string, n bigint, ids binary").join(labelled, "doc_id")
+    placed = columns.where("doc_id is not null").select("*", *[p.alias(f"place{i}") for i, p in enumerate(places_of(F.col("doc_id"), size))])
+    return placed.mapInArrow(lean(run), "doc_id bigint, lang string, n bigint, ids binary").join(labelled, "doc_id")
 
 
 def _decoded(ids: list[bytes]) -> Coded:

@@ -54,3 +54,14 @@ def test_the_limit_is_of_both_memos():
     for start in range(0, 900, 300):
         coder.encode([f"h{i} s{i}" for i in range(start, start + 300)])
         assert len(coder.spaced) + len(coder.plain) <= 400 + 2 * 300
+
+
+def test_labelled_rows_are_coded_by_one_python_function_in_a_task(spark):
+    docs, labels = labelled(spark)
+    docs = docs.unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("bigint")))
+    some = toxicity.known(labels)
+    coded = toxicity.code(docs, some)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan  # two in a task are two workers for it, and both stay
+    ids = [r.doc_id for r in some.collect()]
+    assert sorted(r.doc_id for r in coded.collect()) == sorted(r.doc_id for r in docs.where(F.col("doc_id").isin(ids)).collect()) != []
