@@ -1,9 +1,10 @@
 """How many notes each note leads to by relations of their topics, counted without drawing the edges.
 
-Notes with the same topics lead to the same notes, so each set of topics is counted once. Notes that are led to are dealt to chunks; a
-chunk's notes are the bits of a row. There, a topic's row is the union of those of the topics that it is related to, and what a set
-leads to is the union of its topics' rows. Sets are dealt to parts; a cell is a part and a chunk, so no task holds more
-than the rows of one part's topics. Relations and sets come to a cell as a stream.
+Notes with the same topics lead to the same notes, so each set of topics is counted once. Notes that are led to are dealt to chunks, of which there are
+``CELLS`` at most; sets are dealt to parts; a cell is a part and a chunk. So relations and sets go to a bounded number of cells, however
+many notes there are, and a task holds those of its part as numbers, some twelve bytes for each of their topics. There, some of the chunk's notes at a
+time are the bits of a row, as many as let the rows of all subjects have ``ROW_BYTES``: a topic's row is the union of those of the topics
+that it is related to, and what a set leads to is the union of its topics' rows.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.operators.skew import lookup
 from quillspark.plans.scratch import Scratch
 
-CHUNK = 8192  # notes that are led to, bits of a row
-PART = 1 << 16  # sets of topics
+CHUNK = 8192  # notes that are led to: bits of a row at most, and notes for which a chunk of their own is too many
+CELLS = 48  # chunks of a part, or as many as there are cores
+PART = 1 << 22  # sets of topics
+ROW_BYTES = 64 << 20
+SLICE_BYTES = 1 << 20  # of rows that are met at once
 CELL = "cell bigint, kind int, a bigint, ids array<bigint>"
 OWNERS, RELATIONS, SETS = 0, 1, 2  # in this order they come to a cell
 
@@ -44,51 +48,70 @@ def _joined(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class _Cell:
-    """What a cell has met so far."""
+    """What has come to a cell: by kind the numbers ``a``, the values of their lists and these lists' lengths."""
 
     def __init__(self) -> None:
-        self.kind, self.n = OWNERS, 0
-        self.topics: list[np.ndarray] = []
-        self.bits: list[np.ndarray] = []
-
-    def own(self, values: np.ndarray, edges: np.ndarray) -> None:
-        self.topics.append(values)
-        self.bits.append(np.repeat(np.arange(self.n, self.n + len(edges) - 1), np.diff(edges)))
-        self.n += len(edges) - 1
-
-    def go_on(self, kind: int) -> None:
-        """Make rows of what the kinds before have given."""
-        if self.kind == OWNERS and kind > OWNERS:
-            topics = np.concatenate(self.topics) if self.topics else np.empty(0, dtype=np.int64)
-            bits = np.concatenate(self.bits) if self.bits else topics
-            self.keys, row = np.unique(topics, return_inverse=True)
-            plain = np.zeros((len(self.keys), -(-max(self.n, 1) // 64) * 8), dtype=np.uint8)
+        self.held: tuple[list[tuple], ...] = ([], [], [])
+
+    def add(self, kind: int, a: np.ndarray, values: np.ndarray, edges: np.ndarray) -> None:
+        self.held[kind].append((a.copy(), values.copy(), np.diff(edges)))
+
+    def _of(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, self.held[kind][:] = [*self.held[kind]], []
+        return tuple(np.concatenate(c) if rows else np.empty(0, dtype=np.int64) for c in (zip(*rows, strict=True) if rows else ((), (), ())))
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sets and how many of the chunk's notes each leads to, where it leads to any."""
+        _, topics, sizes = self._of(OWNERS)
+        keys, topic = np.unique(topics, return_inverse=True)
+        note, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+        subjects, objects, sizes = self._of(RELATIONS)
+        at, there = _find(objects, keys)
+        subjects, objects = np.repeat(subjects, sizes)[there], at[there].astype(np.int32)
+        subject_keys, subject = np.unique(subjects, return_inverse=True)
+        order = np.argsort(subject, kind="stable")
+        subject, objects = subject[order].astype(np.int32), objects[order]
+        sets, topics, sizes = self._of(SETS)
+        at, there = _find(topics, subject_keys)
+        owner, at = np.repeat(np.arange(len(sets)), sizes)[there], at[there].astype(np.int32)
+        sizes = np.bincount(owner, minlength=len(sets))
+        begin = np.cumsum(sizes) - sizes
+        # Sets with as many subjects have their rows' places in one array.
+        alike = [(own := np.flatnonzero(sizes == k), at[begin[own][:, None] + np.arange(k)]) for k in np.unique(sizes[sizes > 0])]
+        words = max(1, min(CHUNK, ROW_BYTES * 8 // max(1, len(subject_keys))) // 64)
+        step, found = max(1, SLICE_BYTES // (8 * words)), np.zeros(len(sets), dtype=np.int64)
+        rows = np.zeros((len(subject_keys), words), dtype=np.uint64)
+        for first in range(0, n if len(subject_keys) else 0, words * 64):
+            some = slice(*np.searchsorted(note, [first, first + words * 64]))
+            used, row = np.unique(topic[some], return_inverse=True)
+            bits, plain = note[some] - first, np.zeros((len(used), words * 8), dtype=np.uint8)
             np.bitwise_or.at(plain, (row, bits >> 3), (1 << (bits & 7)).astype(np.uint8))
-            self.rows = plain.view(np.uint64)
-            self.led_keys, self.led_rows = [], []
-        if self.kind < SETS and kind == SETS:
-            keys = np.concatenate(self.led_keys) if self.led_keys else np.empty(0, dtype=np.int64)
-            rows = np.concatenate(self.led_rows) if self.led_rows else np.empty((0, self.rows.shape[1]), dtype=np.uint64)
-            self.keys, self.rows = _joined(keys, rows)
-        self.kind = kind
-
-    def relate(self, subjects: np.ndarray, objects: np.ndarray) -> None:
-        for i in range(0, len(subjects), CHUNK):
-            at, there = _find(objects[i : i + CHUNK], self.keys)
-            if there.any():
-                keys, rows = _joined(subjects[i : i + CHUNK][there], self.rows[at[there]])
-                self.led_keys.append(keys)
-                self.led_rows.append(rows)
-
-    def count(self, ids: np.ndarray, values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, there = _find(values, self.keys)
-        owner = np.repeat(ids, np.diff(edges))[there]
-        keys, rows = _joined(owner, self.rows[at[there]])
-        return keys, np.bitwise_count(rows).sum(axis=1, dtype=np.int64) if len(keys) else np.empty(0, dtype=np.int64)
+            own, place = plain.view(np.uint64), np.full(len(keys), -1, dtype=np.int32)
+            place[used] = np.arange(len(used))
+            met = np.flatnonzero(place[objects] >= 0)
+            rows[:] = 0
+            for i in range(0, len(met), step):
+                part = met[i : i + step]
+                at, union = _joined(subject[part], own[place[objects[part]]])
+                rows[at] |= union
+            for which, places in alike:
+                for i in range(0, len(which), step):
+                    union = rows[places[i : i + step, 0]]
+                    for k in range(1, places.shape[1]):
+                        union |= rows[places[i : i + step, k]]
+                    found[which[i : i + step]] += np.bitwise_count(union).sum(axis=1, dtype=np.int64)
+        some = np.flatnonzero(found)
+        return sets[some], found[some]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, cell = None, _Cell()
+
+    def results() -> Iterator[pa.RecordBatch]:
+        keys, n = cell.counted()
+        for i in range(0, len(keys), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + CHUNK], pa.int64()), pa.array(n[i : i + CHUNK], pa.int64())], names=["set", "n"])
+
     for b in batches:
         number, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
         cuts = np.flatnonzero((number[1:] != number[:-1]) | (kind[1:] != kind[:-1])) + 1 if len(number) else []
@@ -96,20 +119,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if start == end:
                 continue
             if number[start] != now:
+                yield from results()
                 now, cell = number[start], _Cell()
-            if kind[start] > cell.kind:
-                cell.go_on(int(kind[start]))
-            a, (values, edges) = b.column(2).slice(start, end - start), _lists(b.column(3).slice(start, end - start))
-            if cell.kind == OWNERS:
-                cell.own(values, edges)
-            elif cell.kind == RELATIONS:
-                cell.relate(np.repeat(a.to_numpy(), np.diff(edges)), values)
-            else:
-                for i in range(0, end - start, 1024):
-                    j = min(i + 1024, end - start)
-                    keys, n = cell.count(a.to_numpy()[i:j], values[edges[i] : edges[j]], edges[i : j + 1] - edges[i])
-                    if len(keys):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["set", "n"])
+            cell.add(int(kind[start]), b.column(2).slice(start, end - start).to_numpy(), *_lists(b.column(3).slice(start, end - start)))
+    yield from results()
 
 
 def concept_degrees(relations: DataFrame, notes: DataFrame) -> DataFrame:
@@ -126,7 +139,7 @@ def concept_degrees(relations: DataFrame, notes: DataFrame) -> DataFrame:
     own = scratch.store(own.select("path", "ids"), "own")
     sets = scratch.store(own.groupBy("ids").agg(F.count("*").alias("notes")).withColumn("set", F.monotonically_increasing_id()), "sets")
     n_notes, n_sets = own.count(), sets.count()
-    chunks, parts = max(1, -(-n_notes // CHUNK)), max(1, -(-n_sets // PART))
+    chunks, parts = max(1, min(-(-n_notes // CHUNK), max(CELLS, spark.sparkContext.defaultParallelism))), max(1, -(-n_sets // PART))
     every_chunk, every_part = (F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))) for n in (chunks, parts))
     chunk, part = F.pmod(F.xxhash64("path"), F.lit(chunks)), F.pmod(F.xxhash64("set"), F.lit(parts))
 
@@ -136,10 +149,11 @@ def concept_degrees(relations: DataFrame, notes: DataFrame) -> DataFrame:
     # A relation goes to the parts that have its subject.
     wanted = sets.select(part.alias("part"), F.explode("ids").alias("s")).distinct()
     there = rows(own.select("ids", chunk.alias("chunk"), every_part.alias("part")).withColumn("a", F.lit(0)), OWNERS, "a", F.col("ids"))
-    related = rows(pairs.join(wanted, "s").select("s", "o", "part", every_chunk.alias("chunk")), RELATIONS, "s", F.array("o"))
+    led = pairs.groupBy("s").agg(F.collect_list("o").alias("led"))
+    related = rows(led.join(wanted, "s").select("s", "led", "part", every_chunk.alias("chunk")), RELATIONS, "s", F.col("led"))
     asked = rows(sets.select("set", "ids", part.alias("part"), every_chunk.alias("chunk")), SETS, "set", F.col("ids"))
-    tasks = max(spark.sparkContext.defaultParallelism, min(chunks * parts, 4096))
-    met = there.union(related).union(asked).repartition(tasks, "cell").sortWithinPartitions("cell", "kind", "a").mapInArrow(_counted, "set bigint, n bigint")
+    # Cells stand for themselves: there are few, and two in one task would let others wait.
+    met = there.union(related).union(asked).repartitionById(chunks * parts, F.col("cell").cast("int")).sortWithinPartitions("cell", "kind", "a").mapInArrow(_counted, "set bigint, n bigint")
     counted = met.groupBy("set").agg(F.sum("n").alias("n"))
     # A set that is related to itself leads its notes to themselves too.
     ends = sets.select("set", F.explode("ids").alias("s"), "ids").select("set", "s", F.explode("ids").alias("o"))

@@ -28,3 +28,29 @@ def test_without_relations_nothing_is_led_to(spark):
     notes = spark.createDataFrame([("x", ["a"])], "path string, topics array<string>")
     assert unions.concept_degrees(notes.selectExpr("path subject", "path object"), notes).isEmpty()
     assert unions.concept_degrees(notes.selectExpr("path subject", "path object"), notes.where("false")).isEmpty()
+
+
+def test_what_comes_to_cells_does_not_grow_with_the_square_of_the_notes(spark, monkeypatch):
+    """Twice the notes, relations and sets give twice the rows that are dealt to cells, not four times as many."""
+    monkeypatch.setattr(unions, "CHUNK", 16)
+    monkeypatch.setattr(unions, "CELLS", 4, raising=False)
+
+    def dealt(n):
+        notes = spark.range(n).select(F.format_string("n%d", "id").alias("path"), F.array(F.format_string("a%d", "id"), F.format_string("b%d", F.col("id") % 9)).alias("topics"))
+        relations = spark.range(n).select(F.format_string("a%d", "id").alias("subject"), F.format_string("b%d", F.col("id") % 9).alias("object"))
+        seen, counted = spark.sparkContext.accumulator(0), unions._counted
+
+        def met(batches):
+            def each():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            return counted(each())
+
+        with monkeypatch.context() as m:
+            m.setattr(unions, "_counted", met)
+            assert unions.concept_degrees(relations, notes).count() == n
+        return seen.value
+
+    assert dealt(800) < 2.2 * dealt(400)
